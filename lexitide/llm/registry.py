@@ -1,8 +1,11 @@
 """The operators' queries by name, and the SQL that gives the same rows."""
 
-from lexitide.llm import op1_tokens
+from lexitide.llm import op1_tokens, op2_urls, op3_packing, op4_pii
 
 QUERIES = {
     "op1_token_counts": op1_tokens.query,
+    "op2_url_filter": op2_urls.query,
+    "op3_packing": op3_packing.query,
+    "op4_pii": op4_pii.query,
 }
 ORACLE_SQL: dict = {}
