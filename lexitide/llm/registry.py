@@ -1,11 +1,13 @@
 """The operators' queries by name, and the SQL that gives the same rows."""
 
-from lexitide.llm import op1_tokens, op2_urls, op3_packing, op4_pii
+from lexitide.llm import op1_tokens, op2_urls, op3_packing, op4_pii, op6_neardup, op7_language
 
 QUERIES = {
     "op1_token_counts": op1_tokens.query,
     "op2_url_filter": op2_urls.query,
     "op3_packing": op3_packing.query,
     "op4_pii": op4_pii.query,
+    "op6_near_duplicates": op6_neardup.query,
+    "op7_language": op7_language.query,
 }
 ORACLE_SQL: dict = {}
