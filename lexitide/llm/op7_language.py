@@ -9,7 +9,7 @@ The network is trained in numpy by backpropagation through time on the driver, o
 (language, word, count) rows, the ones with the smallest hashes, counted over about TRAIN_DOCS labelled documents
 (the whole texts of those a hash of doc_id picks). Documents with crc32(doc_id) mod 5 = 0 never take part.
 
-Null texts and texts without a letter are `und` with score 1; so is everything if nothing is labelled (score 0).
+Null texts and texts without a letter are `und` with score 1; every other text is `und` with score 0 if nothing is labelled.
 Every input row gives one row, null or repeated doc_ids included (a null doc_id isn't held out); other
 columns are ignored; an empty table gives an empty result.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lexitide.runtime import bound_batches, table
 
 HIDDEN, SEGMENT, TRAIN_DOCS, TRAIN_WORDS, STEPS, BATCH, RATE = 12, 24, 4000, 40_000, 1500, 256, 0.01
-CACHE, SLICE = 150_000, 4096
+CACHE, SLICE = 500_000, 4096
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -36,7 +36,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def segments(text: str) -> list[bytes]:
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    return [w[i : i + SEGMENT] for w in words for i in range(0, len(w), SEGMENT)] if any(len(w) > SEGMENT for w in words) else words
+    return [w[i : i + SEGMENT] for w in words for i in range(0, len(w), SEGMENT)] if max(map(len, words), default=0) > SEGMENT else words
 
 
 def held_out(doc_id: str):
@@ -172,10 +172,12 @@ class Scorer:
     def __init__(self, net: Network):
         self.net, self.known, self.sums = net, {}, np.zeros((0, len(net.labels)), np.float32)
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known, self.sums = {}, self.sums[:0]
-        words = sorted({w for w in words if w not in self.known}, key=lambda w: (len(w), w))
+    def learn(self, words) -> None:
+        """Run the network on the words that aren't known; all of words are known afterwards."""
+        new = {w for w in words if w not in self.known}
+        if len(self.known) + len(new) > CACHE:
+            self.known, self.sums, new = {}, self.sums[:0], set(words)
+        words = sorted(new, key=len)
         out, i = [], 0
         while i < len(words):
             j = i
@@ -188,21 +190,17 @@ class Scorer:
             self.known[w] = n
         self.sums = np.concatenate([self.sums, *out]) if out else self.sums
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTER.search(text):
-            return UNKNOWN, 1.0
-        own = segments(text)
+    def __call__(self, own: list[bytes]) -> tuple[str, float]:
+        """Label and probability of a document of these segments."""
         total, count = np.zeros(len(self.net.labels)), 0
         for i in range(0, len(own), CACHE // 2):  # a very long text by parts
             part = own[i : i + CACHE // 2]
-            known = self.known
-            if not all(w in known for w in part):
-                # words of this part must be known together
-                if len(known) + len(set(part)) > CACHE:
-                    self.known, self.sums = {}, self.sums[:0]
+            try:
+                at = [self.known[w] for w in part]
+            except KeyError:  # the memory was cleared, or the words are new
                 self.learn(part)
-                known = self.known
-            total += self.sums[[known[w] for w in part]].sum(0, dtype=np.float64)
+                at = [self.known[w] for w in part]
+            total += self.sums[at].sum(0, dtype=np.float64)
             count += sum(map(len, part))
         mean = total / count
         e = np.exp(mean - mean.max())
@@ -222,18 +220,16 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(net) if net else lambda text: (UNKNOWN, 0.0)
+        score = Scorer(net) if net else None
         for b in batches:
-            texts = b.column("text").to_pylist()
-            if net:  # words of the batch's short texts at once: the network likes large slices
+            cut = [segments(t) if t and _LETTER.search(t) else [] for t in b.column("text").to_pylist()]
+            if score:  # the network likes large slices
                 fresh: set[bytes] = set()
-                for t in texts:
-                    if t and len(t) < 100_000:
-                        fresh.update(segments(t))
-                        if len(fresh) > CACHE // 2:
-                            break
-                score.learn(list(fresh))
-            out = [score(t) for t in texts]
+                for own in cut:
+                    if len(fresh) + len(own) <= CACHE // 2:
+                        fresh.update(own)
+                score.learn(fresh)
+            out = [(UNKNOWN, float(score is not None or not own)) if not own or not score else score(own) for own in cut]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, lang_pred string, score double")
