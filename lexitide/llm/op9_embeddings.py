@@ -9,10 +9,9 @@
    a correction factor, the inner product of the vector and its quantised form. In a cell, the
    inner product of the unquantised visitor with the code, over the factor, is an unbiased estimate; its error has
    a known bound. Only pairs whose upper bound reaches the threshold are computed again, exactly.
-4. Cells are dealt out in blocks of BLOCK home rows: a cell with a third of all rows is many tasks. A block
-   yields its rows' link counts and, for every row, one link to the smallest linked row of the block, not the pairs;
-   any two rows linked to one row of the block are still in one component, as each link (x, y) has y in the block and gives
-   y a way to x's smallest; see `_cell`.
+4. A cell falls into blocks of about BLOCK home rows and chunks of about SEEN rows that are there; each block meets each
+   chunk in a group of its own, so a cell with a third of all rows is many bounded groups. A group yields its rows' link
+   counts, and the smallest row that each can reach by the group's links: not the pairs.
 
 Recall is measured against brute force in the tests (over 0.99 here). No pair below the threshold is linked.
 Repeated vec_ids with equal vectors count as one vector; with different ones the smallest vector stands for
@@ -33,7 +32,7 @@ from lexitide.llm.components import components
 from lexitide.runtime import Scratch, bound_batches, table
 
 THRESHOLD, CODE, SIGMAS = 0.9, 128, 4.5
-CENTRE_SAMPLE, MOST_CELLS, PROBES, BLOCK = 20_000, 4096, 8, 1024
+CENTRE_SAMPLE, MOST_CELLS, PROBES, BLOCK, SEEN = 20_000, 4096, 8, 1024, 8192
 
 
 def rotation(size: int, seed: int = 11) -> np.ndarray:
@@ -98,13 +97,9 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _cell(home: pd.DataFrame, seen: pd.DataFrame, dim: int, size: int, threshold: float) -> pd.DataFrame:
-    """Links between a block of a cell's home rows and rows that are in the cell.
+    """Links between a block of a cell's home rows and a chunk of the rows that are there: (id, other, n).
 
-    Returns (id, other, n): n links of id, weighted by copies, and one linked row of the other side or -1. For a row that
-    visits it is the smallest linked home row, and for a home row the smallest visitor: if visitor x is linked
-    with home rows y1 < y2, y2's smallest visitor is z <= x; z is linked with y2, and x with y1. That alone could leave
-    x and y2 apart, so the few rows are also joined up here: every home row of a component that the block's links form is
-    linked to the component's smallest row."""
+    n are the links of id, counted with copies; other is the smallest row that the links of this group let it reach."""
     hx, sx = np.stack(home["unit"].to_numpy()), np.stack(seen["unit"].to_numpy())
     codes = np.stack([np.frombuffer(c, np.uint8) for c in home["code"]])
     factor = home["factor"].to_numpy()
@@ -196,22 +191,28 @@ def _meet(scratch: Scratch, classes: DataFrame, sample: np.ndarray, dim: int, th
             )
 
     coded = scratch.save(classes.select("id", "unit", "copies").mapInArrow(index, f"{CLASSED}, code binary, factor double, home int, probes array<int>"), "coded")
-    # blocks of home rows: as many as a cell's size asks for
-    blocks = coded.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    blocks = {r["home"]: r["blocks"] for r in blocks.collect()}  # at most MOST_CELLS rows
-    count = F.create_map([F.lit(x) for kv in blocks.items() for x in kv])
-    at = count[F.col("home")]
-    home = coded.withColumn("cell", F.col("home")).withColumn("block", F.pmod(F.xxhash64("id"), at).cast("int"))
-    seen = coded.withColumn("cell", F.explode("probes")).withColumn("all", F.coalesce(count[F.col("cell")], F.lit(0)))
-    # a row meets every block of its cells; rows in chunks, so that a task holds a bounded number of either side
-    seen = seen.where("`all` > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).drop("all")
+    # by cell, the numbers of blocks of home rows and of chunks of rows that are there; at most MOST_CELLS rows
+    at_home = coded.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).collect()
+    there = coded.select(F.explode("probes").alias("home")).groupBy("home").agg(F.ceil(F.count("*") / SEEN).cast("int").alias("n")).collect()
+    parts = {r["home"]: [r["n"], 1] for r in at_home}
+    for r in there:
+        parts.setdefault(r["home"], [0, 1])[1] = r["n"]
+    sizes = spark.createDataFrame([(k, *v) for k, v in parts.items()], "cell int, blocks int, chunks int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    # every block meets every chunk of its cell, so a task holds a bounded number of either
+    home = coded.withColumn("cell", F.col("home")).join(F.broadcast(sizes), "cell").withColumn("block", own("blocks")).withColumn("chunk", each("chunks"))
+    again = spark.read.schema(coded.schema).parquet(coded._scratch_path)
+    seen = again.withColumn("cell", F.explode("probes")).join(F.broadcast(sizes.where("blocks > 0")), "cell").withColumn("chunk", own("chunks")).withColumn("block", each("blocks"))
 
     def join(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
         return _cell(left, right, dim, size, threshold)
 
-    return home.drop("cell").withColumn("cell", F.col("home")).groupBy("cell", "block").cogroup(seen.groupBy("cell", "block")).applyInPandas(join, "id long, other long, n long")
+    keys, need = ("cell", "block", "chunk"), ("id", "unit", "copies", "home", "probes")
+    both = home.select(*keys, *need, "code", "factor").groupBy(*keys).cogroup(seen.select(*keys, *need).groupBy(*keys))
+    return both.applyInPandas(join, "id long, other long, n long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
