@@ -1,13 +1,28 @@
 """The operators' queries by name, and the SQL that gives the same rows."""
 
-from lexitide.llm import op1_tokens, op2_urls, op3_packing, op4_pii, op6_neardup, op7_language
+from lexitide.llm import (
+    op1_tokens,
+    op2_urls,
+    op3_packing,
+    op4_pii,
+    op5_html,
+    op6_neardup,
+    op7_language,
+    op8_decontaminate,
+    op9_embeddings,
+    op10_quality,
+)
 
 QUERIES = {
     "op1_token_counts": op1_tokens.query,
     "op2_url_filter": op2_urls.query,
     "op3_packing": op3_packing.query,
     "op4_pii": op4_pii.query,
+    "op5_html_text": op5_html.query,
     "op6_near_duplicates": op6_neardup.query,
     "op7_language": op7_language.query,
+    "op8_decontamination": op8_decontaminate.query,
+    "op9_embedding_duplicates": op9_embeddings.query,
+    "op10_quality": op10_quality.query,
 }
 ORACLE_SQL: dict = {}
