@@ -8,13 +8,14 @@ A document's set are its distinct word shingles; two documents are linked if 100
 2. Band keys that two or more classes share are buckets. Round one pairs each member with the bucket's
    smallest, so a bucket of m members makes m - 1 pairs. Pairs whose sketches put the similarity clearly below the
    threshold are dropped (the population count of the XOR estimates it), the rest is verified on the full sets.
-3. The links are joined to components. What is left to test are pairs of a bucket's members in different
-   components. Round two pairs members of each bucket with the smallest member of every component but their
-   own, round three whatever still differs; each round merges components, and in large groups of copies none remain.
-   A pair that is in one component already can't change the result.
+3. The links are joined to components. A pair that is in one component can't change the result, so what is left
+   are pairs of a bucket's members in different components. Small buckets (up to SMALL members) pair them in a join. In
+   larger ones the sketches are compared in blocks of CHUNK members and only pairs that they make likely come out: in
+   round two each member's likeliest partner in every other component, in round three, between what is
+   still apart, all of them. In large groups of copies nothing is left for it.
 
 The chance that a pair at the threshold shares no band is (1 - 0.8^8)^44, 0.03 %; further links of its
-group hide even that. The sketch's margin is six standard deviations.
+group hide even that. The sketch's margin is over four standard deviations.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing. A doc_id that is
 repeated with the same text gives one row; with different texts a row for each set, linked as the sets are;
@@ -23,11 +24,12 @@ rows with a null doc_id are left out, as they have no component_id. An empty tab
 
 from __future__ import annotations
 
-import xxhash
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ from lexitide.runtime import Scratch, bound_batches, table
 ROWS, BANDS = 8, 44
 HASHES = ROWS * BANDS
 SKETCH = 1024
-THRESHOLD, MARGIN = 0.8, 0.14
+THRESHOLD, MARGIN = 0.8, 0.11
+SMALL, CHUNK = 6, 2048
 CACHE = 300_000
 
 _rng = np.random.default_rng(20_240_601)
@@ -137,18 +140,25 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(work, SIGNED)
 
 
-def verified(scratch: Scratch, pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Links (a, b) among pairs: sketches first, then the full sets of what is left."""
-    other = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-    both = pairs.distinct().join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(other, "b")
-    flipped = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    likely = scratch.save(both.where(flipped <= MOST_FLIPPED).select("a", "b"), "likely")
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the documents whose id is in ids."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "shingles"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
+    return texts.mapInArrow(shingled, "id long, shingles binary")
+
+
+def verified(scratch: Scratch, pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among pairs: sketches first, then the full sets of what is left."""
+    other = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
+    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(other, "b")
+    flipped = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    likely = both.where(flipped <= MOST_FLIPPED).select("a", "b")
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -162,14 +172,42 @@ def verified(scratch: Scratch, pairs: DataFrame, sketches: DataFrame, docs: Data
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = scratch.save(texts.mapInArrow(shingled, "id long, shingles binary"), "sets")
     one = likely.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    links = scratch.save(two.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long"), "links")
-    scratch.drop(likely, sets)
-    return links
+    return scratch.save(two.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long"), "links")
+
+
+def likely_pairs(held: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components within large buckets (key, id, n, component, sketch), by their sketches.
+
+    A bucket falls into chunks and every two chunks meet in a group of their own, so no group is larger than two chunks."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        ids, component, chunk = (group[c].to_numpy() for c in ("id", "component", "chunk"))
+        bits = np.stack(group["sketch"].to_numpy()).view(np.uint64)
+        left = np.nonzero(chunk == group["low"].iloc[0])[0]
+        right = np.nonzero(chunk == group["high"].iloc[0])[0]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(0, len(left), 256):
+            x = left[i : i + 256]
+            flipped = np.zeros((len(x), len(right)), np.int32)
+            for word in range(bits.shape[1]):
+                flipped += np.bitwise_count(bits[x, word][:, None] ^ bits[right, word][None, :])
+            s, t = np.nonzero((flipped <= MOST_FLIPPED) & (component[x][:, None] != component[right][None, :]))
+            if best and len(s):  # of each row and component the likeliest partner
+                order = np.lexsort((flipped[s, t], component[right[t]], s))
+                s, t = s[order], t[order]
+                first = np.ones(len(s), dtype=bool)
+                first[1:] = (s[1:] != s[:-1]) | (component[right[t[1:]]] != component[right[t[:-1]]])
+                s, t = s[first], t[first]
+            out.append((ids[x[s]], ids[right[t]]))
+        a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    dealt = held.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.select("key", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "chunk", "id", "component", "sketch")
+    return dealt.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -185,32 +223,32 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     heads = scratch.save(heads, "heads")
     keyed = heads.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    buckets = scratch.save(keyed.join(shared, "key").select("key", "id", "first"), "buckets")
+    buckets = scratch.save(keyed.join(shared, "key").select("key", "id", "n", "first"), "buckets")
+    sketches = scratch.save(heads.select("id", "sketch").join(buckets.select("id").distinct(), "id", "left_semi"), "sketches")
+    sets = scratch.save(shingle_sets(docs, sketches.select("id"), width).dropDuplicates(["id"]), "sets")
 
-    links = verified(scratch, buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), heads, docs, width)
-    for rest in ("firsts", "all"):
+    tested = scratch.save(buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "tested")
+    links = verified(scratch, tested, sketches, sets)
+    for best in (True, False):
         grouped = components(scratch, links)
-        held = buckets.select("key", "id").join(grouped, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        held = buckets.select("key", "id", "n").join(grouped, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
         mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         held = scratch.save(held.join(mixed, "key"), "mixed")
-        x, y = held.alias("x"), held.alias("y")
-        if rest == "firsts":  # the smallest member that each component has in the bucket
-            y = held.groupBy("key", "component").agg(F.min("id").alias("id")).alias("y")
-        apart = x.join(y, "key").where("x.component <> y.component")
-        pairs = apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        links = scratch.save(links.unionByName(verified(scratch, tested(scratch, pairs, buckets, rest), heads, docs, width)), "links")
+        pairs = likely_pairs(held.where(F.col("n") > SMALL).join(sketches, "id"), best)
+        if best:
+            x, y = held.where(F.col("n") <= SMALL).alias("x"), held.where(F.col("n") <= SMALL).alias("y")
+            apart = x.join(y, "key").where("x.component <> y.component and x.id < y.id")
+            pairs = pairs.unionByName(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        pairs = scratch.save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = scratch.save(links.unionByName(verified(scratch, pairs, sketches, sets)), "links")
+        tested = scratch.save(tested.unionByName(pairs), "tested")
     grouped = components(scratch, links)
+    scratch.drop(sets, heads)
 
     out = signed.select("doc_id", "n_shingles", "print").distinct().join(classes, "print", "left").join(grouped, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def tested(scratch: Scratch, pairs: DataFrame, buckets: DataFrame, rest: str) -> DataFrame:
-    """Pairs without those that round one has tested."""
-    done = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    return scratch.save(pairs.distinct().join(done, ["a", "b"], "left_anti"), f"pairs-{rest}")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
