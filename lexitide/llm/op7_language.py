@@ -29,6 +29,7 @@ from lexitide.runtime import bound_batches, table
 
 HIDDEN, SEGMENT, TRAIN_DOCS, TRAIN_WORDS, STEPS, BATCH, RATE = 12, 24, 4000, 40_000, 1500, 256, 0.01
 CACHE, SLICE = 500_000, 4096
+LEAST = 0.3  # a document below it is in none of the languages
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -214,6 +215,17 @@ def fit(docs: DataFrame, docs_bound: int = TRAIN_DOCS, words_bound: int = TRAIN_
     return train(training_words(docs, docs_bound, words_bound))
 
 
+def _labels(score: Scorer | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    cut = [segments(t) if t and _LETTER.search(t) else [] for t in texts]
+    if score:  # the network likes large slices
+        fresh: set[bytes] = set()
+        for own in cut:
+            if len(fresh) + len(own) <= CACHE // 2:
+                fresh.update(own)
+        score.learn(fresh)
+    return [(UNKNOWN, float(score is not None or not own)) if not own or not score else score(own) for own in cut]
+
+
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of docs (doc_id, text)."""
     bound_batches(docs.sparkSession)
@@ -222,20 +234,27 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(net) if net else None
         for b in batches:
-            cut = [segments(t) if t and _LETTER.search(t) else [] for t in b.column("text").to_pylist()]
-            if score:  # the network likes large slices
-                fresh: set[bytes] = set()
-                for own in cut:
-                    if len(fresh) + len(own) <= CACHE // 2:
-                        fresh.update(own)
-                score.learn(fresh)
-            out = [(UNKNOWN, float(score is not None or not own)) if not own or not score else score(own) for own in cut]
+            out = _labels(score, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, lang_pred string, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def identified(docs: DataFrame, net: Network | None, least: float = LEAST) -> DataFrame:
+    """docs, all columns, without the rows whose language is unknown or scores below least."""
+    bound_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(net) if net else None
+        for b in batches:
+            out = _labels(score, b.column(at).to_pylist())
+            yield b.filter(pa.array([label != UNKNOWN and p >= least for label, p in out], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))

@@ -203,6 +203,23 @@ def contaminated(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WOR
     return reduce(DataFrame.unionByName, found)
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """docs, all columns, without the rows that hold an item."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    at = docs.columns.index("text")
+    for part in shards(items.select("item_id", "text").where("text is not null"), shard_words):
+        index = spark.sparkContext.broadcast(Index(part))
+
+        def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            own = index.value
+            for b in batches:
+                yield b.filter(pa.array([not own.matches(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
+
+
 ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
