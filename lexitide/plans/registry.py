@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from lexitide.plans import q_arcs, q_scoring  # noqa: F401  they register their queries
+from lexitide.plans.catalog import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "score_weighted"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
