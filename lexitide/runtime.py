@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +31,16 @@ def session(app: str = "lexitide", cores: int | str = "*", partitions: int = 8)
     )
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver did; a cluster gets it with --py-files."""
+    own, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if own not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), own]))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the Arrow batch limits where the session left them at their defaults."""
+    find_package(spark)
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10000:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -83,4 +93,5 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
