@@ -10,9 +10,10 @@ A document's set are its distinct word shingles; two documents are linked if 100
    threshold are dropped (the population count of the XOR estimates it), the rest is verified on the full sets.
 3. The links are joined to components. A pair that is in one component can't change the result, so what is left
    are pairs of a bucket's members in different components. Small buckets (up to SMALL members) pair them in a join. In
-   larger ones the sketches are compared in blocks of CHUNK members and only pairs that they make likely come out: in
-   round two each member's likeliest partner in every other component, in round three, between what is
-   still apart, all of them. In large groups of copies nothing is left for it.
+   larger ones the sketches are compared in blocks of CHUNK members. In round two each member's likeliest partner
+   in every other component comes out and is verified; in round three, where members are still apart, a block verifies all
+   likely partners itself, through an inverted index of its shingles, and yields one link at most between a member
+   and a component. So the rows that come out don't grow with the square of a bucket.
 
 The chance that a pair at the threshold shares no band is (1 - 0.8^8)^44, 0.03 %; further links of its
 group hide even that. The sketch's margin is over four standard deviations.
@@ -40,7 +41,7 @@ ROWS, BANDS = 8, 44
 HASHES = ROWS * BANDS
 SKETCH = 1024
 THRESHOLD, MARGIN = 0.8, 0.11
-SMALL, CHUNK = 6, 2048
+SMALL, CHUNK = 6, 1024
 CACHE = 300_000
 
 _rng = np.random.default_rng(20_240_601)
@@ -177,37 +178,85 @@ def verified(scratch: Scratch, pairs: DataFrame, sketches: DataFrame, sets: Data
     return scratch.save(two.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long"), "links")
 
 
-def likely_pairs(held: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components within large buckets (key, id, n, component, sketch), by their sketches.
+def _likely(group: pd.DataFrame, rows: np.ndarray, right: np.ndarray, component: np.ndarray):
+    """By slices of rows: row numbers, and those of right in another component that the sketches make likely, with the counts."""
+    bits = np.stack(group["sketch"].to_numpy()).view(np.uint64)
+    for i in range(0, len(rows), 256):
+        x = rows[i : i + 256]
+        flipped = np.zeros((len(x), len(right)), np.int32)
+        for word in range(bits.shape[1]):
+            flipped += np.bitwise_count(bits[x, word][:, None] ^ bits[right, word][None, :])
+        s, t = np.nonzero((flipped <= MOST_FLIPPED) & (component[x][:, None] != component[right][None, :]))
+        yield x[s], right[t], flipped[s, t]
+
+
+def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    chunk, component = group["chunk"].to_numpy(), group["component"].to_numpy()
+    return np.nonzero(chunk == group["low"].iloc[0])[0], np.nonzero(chunk == group["high"].iloc[0])[0], component
+
+
+def _paired(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
+    x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+
+def best_partners(group: pd.DataFrame) -> pd.DataFrame:
+    """Of each member, its likeliest partner in every other component."""
+    left, right, component = _sides(group)
+    ids, a, b = group["id"].to_numpy(), [], []
+    for s, t, flipped in _likely(group, left, right, component):
+        order = np.lexsort((flipped, component[t], s))
+        s, t = s[order], t[order]
+        first = np.ones(len(s), dtype=bool)
+        first[1:] = (s[1:] != s[:-1]) | (component[t[1:]] != component[t[:-1]])
+        a.append(ids[s[first]])
+        b.append(ids[t[first]])
+    return _paired(a, b)
+
+
+def links_between(group: pd.DataFrame) -> pd.DataFrame:
+    """Between a member and another component one link, if there is any: all likely partners are verified on full sets.
+
+    Members of the block's largest component needn't look: the others find them."""
+    left, right, component = _sides(group)
+    ids, a, b = group["id"].to_numpy(), [], []
+    names, counts = np.unique(component, return_counts=True)
+    largest = names[counts.argmax()]
+    low, high = group["low"].iloc[0], group["high"].iloc[0]
+    sides = [(left, right)] if low == high else [(left, right), (right, left)]
+    index = None
+    for rows, others in sides:
+        rows = rows[component[rows] != largest]
+        for s, t, _ in _likely(group, rows, others, component):
+            if not len(s):
+                continue
+            if index is None:  # shingle -> members
+                sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+                size = np.array([len(x) for x in sets])
+                values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                order = np.argsort(values, kind="stable")
+                index = values[order], owner[order]
+            for x in np.unique(s):
+                lo, hi = (np.searchsorted(index[0], sets[x], side) for side in ("left", "right"))
+                length = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+                common = np.bincount(index[1][at], minlength=len(sets))
+                y = t[s == x]
+                y = y[100 * common[y] >= 80 * (size[x] + size[y] - common[y])]
+                y = y[np.unique(component[y], return_index=True)[1]]
+                a.append(np.full(len(y), ids[x]))
+                b.append(ids[y])
+    return _paired(a, b)
+
+
+def in_blocks(held: DataFrame, work) -> DataFrame:
+    """work over blocks of large buckets (key, id, n, component, ...): (a, b).
 
     A bucket falls into chunks and every two chunks meet in a group of their own, so no group is larger than two chunks."""
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, component, chunk = (group[c].to_numpy() for c in ("id", "component", "chunk"))
-        bits = np.stack(group["sketch"].to_numpy()).view(np.uint64)
-        left = np.nonzero(chunk == group["low"].iloc[0])[0]
-        right = np.nonzero(chunk == group["high"].iloc[0])[0]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(0, len(left), 256):
-            x = left[i : i + 256]
-            flipped = np.zeros((len(x), len(right)), np.int32)
-            for word in range(bits.shape[1]):
-                flipped += np.bitwise_count(bits[x, word][:, None] ^ bits[right, word][None, :])
-            s, t = np.nonzero((flipped <= MOST_FLIPPED) & (component[x][:, None] != component[right][None, :]))
-            if best and len(s):  # of each row and component the likeliest partner
-                order = np.lexsort((flipped[s, t], component[right[t]], s))
-                s, t = s[order], t[order]
-                first = np.ones(len(s), dtype=bool)
-                first[1:] = (s[1:] != s[:-1]) | (component[right[t[1:]]] != component[right[t[:-1]]])
-                s, t = s[first], t[first]
-            out.append((ids[x[s]], ids[right[t]]))
-        a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     dealt = held.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("key", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "chunk", "id", "component", "sketch")
-    return dealt.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")
+    dealt = dealt.withColumn("low", F.least("chunk", "with")).withColumn("high", F.greatest("chunk", "with")).drop("with", "n")
+    return dealt.groupBy("key", "low", "high").applyInPandas(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -229,19 +278,20 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
     tested = scratch.save(buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "tested")
     links = verified(scratch, tested, sketches, sets)
-    for best in (True, False):
+    for last in (False, True):
         grouped = components(scratch, links)
         held = buckets.select("key", "id", "n").join(grouped, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
         mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         held = scratch.save(held.join(mixed, "key"), "mixed")
-        pairs = likely_pairs(held.where(F.col("n") > SMALL).join(sketches, "id"), best)
-        if best:
+        large = held.where(F.col("n") > SMALL).join(sketches, "id")
+        if last:
+            new = in_blocks(large.join(sets, "id"), links_between)
+        else:
             x, y = held.where(F.col("n") <= SMALL).alias("x"), held.where(F.col("n") <= SMALL).alias("y")
             apart = x.join(y, "key").where("x.component <> y.component and x.id < y.id")
-            pairs = pairs.unionByName(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        pairs = scratch.save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = scratch.save(links.unionByName(verified(scratch, pairs, sketches, sets)), "links")
-        tested = scratch.save(tested.unionByName(pairs), "tested")
+            pairs = in_blocks(large, best_partners).unionByName(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+            new = verified(scratch, scratch.save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs"), sketches, sets)
+        links = scratch.save(links.unionByName(new), "links")
     grouped = components(scratch, links)
     scratch.drop(sets, heads)
 
