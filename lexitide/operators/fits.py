@@ -19,7 +19,7 @@ def _by(points: DataFrame, keys: list[str], fit, schema: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = fit(pdf)
         if out is None:
-            return pd.DataFrame({c: [] for c in [*keys, *names]})
+            return pd.DataFrame()
         out = pd.DataFrame(out)
         for k in keys:
             out[k] = pdf[k].iloc[0]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.functions.bins import word_class
+from lexitide.functions.numeric import correlation
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def correlations(norms: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson's r and the number of complete rows for each pair a < b of columns."""
     pairs = [(a, b) for i, a in enumerate(sorted(columns)) for b in sorted(columns)[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias("r"), F.count_if(both(a, b)).alias("n")) for a, b in pairs]
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col(a), F.col(b)).alias("r"), F.count_if(both(a, b)).alias("n")) for a, b in pairs]
     return norms.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.functions.bins import bin_start
+from lexitide.functions.numeric import correlation
 from lexitide.functions.text import only_letters
 
 
@@ -39,7 +40,7 @@ def shares(decades: DataFrame, norms: DataFrame, least: int = 1) -> DataFrame:
 def trends(share: DataFrame) -> DataFrame:
     """Each word's Pearson correlation with the overall score of the decades; null for a constant word."""
     score = share.groupBy("decade").agg(F.sum(F.col("p") * F.col("z")).alias("score"))
-    return share.join(F.broadcast(score), "decade").groupBy("word", "z").agg(F.corr("p", "score").alias("r"), F.avg("p").alias("mean_p"))
+    return share.join(F.broadcast(score), "decade").groupBy("word", "z").agg(correlation(F.col("p"), F.col("score")).alias("r"), F.avg("p").alias("mean_p"))
 
 
 def contributions(share: DataFrame, early: tuple[int, int], late: tuple[int, int]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexitide.functions import bins
 from lexitide.functions import text as T
+from lexitide.functions.numeric import correlation
 from lexitide.operators import embeddings, graphs, joins, shape
 from lexitide.operators import norms as N
 from lexitide.plans import stand_in as S
@@ -62,7 +63,7 @@ def join_filled_grid(spark, sf):
 @query(f"WITH {S.LONG} SELECT x.norm AS a, y.norm AS b, count(*) AS n, round(corr(x.z, y.z), 6) AS r FROM long x JOIN long y ON x.lang = y.lang AND x.word = y.word AND x.norm < y.norm GROUP BY ALL")
 def join_pairs(spark, sf):
     long = S.norms_long(spark, sf).withColumn("key", F.struct("lang", "word"))
-    return rounded(joins.pairs_below(long, "key", "norm", "z").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")))
+    return rounded(joins.pairs_below(long, "key", "norm", "z").groupBy("a", "b").agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("r")))
 
 
 @query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')")
