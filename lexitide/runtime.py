@@ -58,7 +58,6 @@ def scratch_root(spark: SparkSession) -> str:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             shared = tempfile.mkdtemp(prefix="lexitide-")
-            spark.conf.set("spark.checkpoint.dir", shared)
         _scratch[app] = f"{shared.rstrip('/')}/lexitide-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, _scratch[app])
     return _scratch[app]
