@@ -10,8 +10,8 @@ A document's set are its distinct word shingles; two documents are linked if 100
    threshold are dropped (the population count of the XOR estimates it), the rest is verified on the full sets.
 3. The links are joined to components. A pair that is in one component can't change the result, so what is left
    are pairs of a bucket's members in different components. Small buckets (up to SMALL members) pair them in a join. In
-   larger ones the sketches are compared in blocks of CHUNK members. In round two each member's likeliest partner
-   in every other component comes out and is verified; in round three, where members are still apart, a block verifies all
+   larger ones the sketches are compared in blocks of CHUNK members. In round two the likeliest partner of each member outside a block's
+   largest component, in every other component, comes out and is verified; in round three, where members are still apart, a block verifies all
    likely partners itself, through an inverted index of its shingles, and yields one link at most between a member
    and a component. So the rows that come out don't grow with the square of a bucket.
 
@@ -190,9 +190,14 @@ def _likely(group: pd.DataFrame, rows: np.ndarray, right: np.ndarray, component:
         yield x[s], right[t], flipped[s, t]
 
 
-def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sides(group: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(who looks, at whom) of a block, and the components. Members of its largest component needn't look: the others find them."""
     chunk, component = group["chunk"].to_numpy(), group["component"].to_numpy()
-    return np.nonzero(chunk == group["low"].iloc[0])[0], np.nonzero(chunk == group["high"].iloc[0])[0], component
+    low, high = group["low"].iloc[0], group["high"].iloc[0]
+    names, counts = np.unique(component, return_counts=True)
+    other = component != names[counts.argmax()]
+    ways = [(low, low)] if low == high else [(low, high), (high, low)]
+    return [(np.nonzero((chunk == x) & other)[0], np.nonzero(chunk == y)[0]) for x, y in ways], component
 
 
 def _paired(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
@@ -201,32 +206,26 @@ def _paired(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
 
 
 def best_partners(group: pd.DataFrame) -> pd.DataFrame:
-    """Of each member, its likeliest partner in every other component."""
-    left, right, component = _sides(group)
+    """Of each member outside the largest component, its likeliest partner in every other one."""
+    sides, component = _sides(group)
     ids, a, b = group["id"].to_numpy(), [], []
-    for s, t, flipped in _likely(group, left, right, component):
-        order = np.lexsort((flipped, component[t], s))
-        s, t = s[order], t[order]
-        first = np.ones(len(s), dtype=bool)
-        first[1:] = (s[1:] != s[:-1]) | (component[t[1:]] != component[t[:-1]])
-        a.append(ids[s[first]])
-        b.append(ids[t[first]])
+    for rows, others in sides:
+        for s, t, flipped in _likely(group, rows, others, component):
+            order = np.lexsort((flipped, component[t], s))
+            s, t = s[order], t[order]
+            first = np.ones(len(s), dtype=bool)
+            first[1:] = (s[1:] != s[:-1]) | (component[t[1:]] != component[t[:-1]])
+            a.append(ids[s[first]])
+            b.append(ids[t[first]])
     return _paired(a, b)
 
 
 def links_between(group: pd.DataFrame) -> pd.DataFrame:
-    """Between a member and another component one link, if there is any: all likely partners are verified on full sets.
-
-    Members of the block's largest component needn't look: the others find them."""
-    left, right, component = _sides(group)
+    """Between a member and another component one link, if there is any: all likely partners are verified on full sets."""
+    sides, component = _sides(group)
     ids, a, b = group["id"].to_numpy(), [], []
-    names, counts = np.unique(component, return_counts=True)
-    largest = names[counts.argmax()]
-    low, high = group["low"].iloc[0], group["high"].iloc[0]
-    sides = [(left, right)] if low == high else [(left, right), (right, left)]
     index = None
     for rows, others in sides:
-        rows = rows[component[rows] != largest]
         for s, t, _ in _likely(group, rows, others, component):
             if not len(s):
                 continue
