@@ -224,13 +224,11 @@ class Trees:
     value: np.ndarray
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        out, rows = np.full(len(x), self.start), np.arange(len(x))
-        for feature, cut, value in zip(self.feature, self.cut, self.value):
-            at = np.zeros(len(x), dtype=np.int64)
-            for _ in range(DEPTH):
-                at = 2 * at + 1 + (x[rows, feature[at]] > cut[at])
-            out += value[at - (2**DEPTH - 1)]
-        return out
+        rows, trees = np.arange(len(x))[:, None], np.arange(len(self.feature))
+        at = np.zeros((len(x), len(trees)), dtype=np.int64)
+        for _ in range(DEPTH):
+            at = 2 * at + 1 + (x[rows, self.feature[trees, at]] > self.cut[trees, at])
+        return self.start + self.value[trees, at - (2**DEPTH - 1)].sum(1)
 
 
 def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = TREES) -> Trees:
@@ -287,10 +285,10 @@ def decode(page: Page, score: np.ndarray) -> np.ndarray:
     return kept
 
 
-def node_scores(page: Page, x: np.ndarray, trees: Trees) -> np.ndarray:
+def node_scores(page: Page, x: np.ndarray, odds: np.ndarray) -> np.ndarray:
     """Log-odds, weighted by how much an element says itself; containers of everything count nothing."""
     own = x[:, NAMES.index("own_chars")]
-    score = np.clip(trees.log_odds(x), -4, 4) * (1 + own)
+    score = np.clip(odds, -4, 4) * (1 + own)
     score[[t in ("#", "html", "body", "head") for t in page.tag]] = 0.0
     return score
 
@@ -303,9 +301,10 @@ def main_text(html: str | None, trees: Trees | None) -> str:
     if not blocks:
         return ""
     x = features(page, blocks)
-    kept = decode(page, node_scores(page, x, trees))
+    odds = trees.log_odds(x)
+    kept = decode(page, node_scores(page, x, odds))
     # text beside everything, in body itself, goes by its own score
-    loose = trees.log_odds(x) > 0
+    loose = odds > 0
     root = [t in ("#", "html", "body") for t in page.tag]
     return "\n".join(t for node, t in blocks if (loose[node] if root[node] else kept[node]))
 
