@@ -1,11 +1,13 @@
 """Scratch tables in a session that names no shared folder."""
 
-from lexitide.runtime import Scratch
+from lexitide import runtime
 
 
-def test_scratch_without_checkpoint_dir(spark):
-    assert spark.conf.get("spark.checkpoint.dir", None) is None
-    scratch = Scratch(spark, "t")
+def test_scratch_without_checkpoint_dir(spark, monkeypatch):
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: default[0] if key == "spark.checkpoint.dir" else get(self, key, *default))
+    monkeypatch.setattr(runtime, "_scratch", {})
+    scratch = runtime.Scratch(spark, "t")
     saved = scratch.save(spark.range(3), "a")
-    assert saved.count() == 3
+    assert saved.count() == 3 and "lexitide-" in saved._scratch_path
     scratch.drop(saved)
