@@ -6,7 +6,7 @@ card number that stands beside other digits, an IPv6 address. Each candidate, ba
 (yes, no, abstain) of five labelers: pattern, check digits or structure, gazetteer, context words,
 and boundary. The votes are counted by pattern of votes in Spark: at most kinds x 3^5 rows, however large the
 corpus. Expectation-maximisation over these counts estimates every labeler's reliabilities; the
-posteriors label a bounded sample of candidates (SAMPLE rows with the smallest hashes), on which a
+posteriors label a bounded sample of candidates (at most SAMPLE rows with the smallest hashes), on which a
 logistic span classifier over shape and context features is trained. It alone decides about candidates that
 aren't base spans.
 
@@ -25,6 +25,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexitide.runtime import Scratch, bound_batches, table
 
@@ -231,7 +232,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             p, theta, prior = expectation_maximisation(np.array([r["votes"] for r in own]), np.array([r["count"] for r in own], dtype=float))
             posterior |= {(kind, tuple(r["votes"])): x for r, x in zip(own, p)}
             reliability[KINDS[kind]] = {"prior": prior, "vote_given_class": theta}
-    rows = found.orderBy("key", "kind", "features").limit(sample).collect()
+    # a limit sends up to sample rows of every partition to the driver: hashes that can't be among the smallest stay behind
+    total = sum(r["count"] for r in tally)
+    low = found.where(F.col("key") < int((1 << 32) * 2 * sample / total)) if total > 2 * sample else found
+    rows = low.orderBy("key", "kind", "features").limit(sample).collect()
     scratch.drop(found)
     weights, bias = logistic([r["features"] for r in rows], np.array([posterior[r["kind"], tuple(r["votes"])] for r in rows]))
     return Model(weights, bias, reliability)
