@@ -102,3 +102,17 @@ def gini_of(df: DataFrame, by: list[str], value: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(value))
     out = df.withColumn("__r", rank).groupBy(*by).agg(F.sum(F.col("__r") * F.col(value)).alias("rv"), F.sum(value).alias("v"), F.count("*").alias("n"))
     return out.select(*by, F.try_divide(2 * F.col("rv") - (F.col("n") + 1) * F.col("v"), F.col("n") * F.col("v")).alias("gini"))
+
+
+def from_baseline(df: DataFrame, period: str, value: str) -> DataFrame:
+    """Adds baseline, the mean of value in the period, and the row's deviation from it."""
+    mean = F.avg(value).over(Window.partitionBy(period))
+    return df.withColumn("baseline", mean).withColumn("deviation", F.col(value) - F.col("baseline"))
+
+
+def detrended_means(df: DataFrame, by: str, x: str, y: str, least: int = 1) -> DataFrame:
+    """Mean, 1.96 standard errors and count by group of what a straight line in x leaves of y; two aggregations, one row broadcast."""
+    line = df.agg(F.regr_slope(y, x).alias("__slope"), F.regr_intercept(y, x).alias("__base"))
+    left = df.crossJoin(F.broadcast(line)).withColumn("__left", F.col(y) - F.col("__base") - F.col("__slope") * F.col(x))
+    out = left.groupBy(by).agg(F.count("__left").alias("n"), F.avg("__left").alias("mean"), (1.96 * F.stddev_samp("__left") / F.sqrt(F.count("__left"))).alias("ci"))
+    return out.where(F.col("n") >= least)
