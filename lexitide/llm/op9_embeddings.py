@@ -2,9 +2,11 @@
 
 1. Vectors are scaled to length one in double precision; equal ones become one class. Those that are null, zero, or hold
    null or non-finite components are set aside and link with nothing.
-2. The index: CELLS centres, drawn by hash from at most CENTRE_SAMPLE vectors and moved by a few rounds of
-   k-means. Every class is at home in its nearest cell and visits its PROBES - 1 next nearest. Two vectors meet if one visits
-   the other's home; of two meetings, one counts.
+2. The index: a centre for each CELL_ROWS rows, at most MOST_CELLS, drawn by hash from at most CENTRE_SAMPLE vectors
+   and moved by a few rounds of k-means. Every class is at home in its nearest cell and visits each earlier cell that is
+   the home of any vector within the threshold's angle (reach() has the bound, which is exact), so every pair at the
+   threshold meets, once, in the earlier of its two homes. Tight groups visit few cells; vectors without groups visit
+   nearly all of them, and the work then grows with the square of the table.
 3. Each class has a code: the signs of its coordinates after padding to CODE dimensions and a random rotation, and
    a correction factor, the inner product of the vector and its quantised form. In a cell, the
    inner product of the unquantised visitor with the code, over the factor, is an unbiased estimate; its error has
@@ -13,7 +15,8 @@
    chunk in a group of its own, so a cell with a third of all rows is many bounded groups. A group yields its rows' link
    counts, and the smallest row that each can reach by the group's links: not the pairs.
 
-Recall is measured against brute force in the tests (over 0.99 here). No pair below the threshold is linked.
+Only the codes' bound (SIGMAS) can lose a pair at the threshold; no pair below the threshold is linked. The README has
+the recall measured against brute force.
 Repeated vec_ids with equal vectors count as one vector; with different ones the smallest vector stands for
 the id; rows with a null vec_id are left out. An empty table gives an empty result; labels and other columns are ignored.
 """
@@ -32,7 +35,7 @@ from lexitide.llm.components import components
 from lexitide.runtime import Scratch, bound_batches, table
 
 THRESHOLD, CODE, SIGMAS = 0.9, 128, 4.5
-CENTRE_SAMPLE, MOST_CELLS, PROBES, BLOCK, SEEN = 20_000, 4096, 8, 1024, 8192
+CENTRE_SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK, SEEN = 20_000, 4096, 4096, 8192, 8192
 
 
 def rotation(size: int, seed: int = 11) -> np.ndarray:
@@ -75,6 +78,19 @@ def centres(sample: np.ndarray, cells: int, rounds: int = 4) -> np.ndarray:
     return c
 
 
+def reach(unit: np.ndarray, centre: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home cells of unit vectors, and [vector, cell]: may a vector at the threshold or above be at home there?
+
+    y at home in c is no farther from c than from x's home h. The plane between them is x (h - c) / |h - c| away from x,
+    and a vector within the threshold's angle comes no closer to it than that angle's sine allows."""
+    near = unit @ centre.T
+    home = near.argmax(1)
+    if threshold <= 0:
+        return home, np.ones(near.shape, bool)
+    between = np.sqrt(np.maximum(0, 2 - 2 * (centre[home] @ centre.T)))
+    return home, near[np.arange(len(unit)), home][:, None] - near <= np.sqrt(max(0, 1 - threshold**2)) * between + 1e-6
+
+
 CLASSED = "id long, unit array<double>, copies long"
 
 
@@ -105,8 +121,6 @@ def _cell(home: pd.DataFrame, seen: pd.DataFrame, dim: int, size: int, threshold
     factor = home["factor"].to_numpy()
     hid, sid = home["id"].to_numpy(), seen["id"].to_numpy()
     hcell, scell = home["home"].to_numpy(), seen["home"].to_numpy()
-    probes = np.stack(seen["probes"].to_numpy())
-    hprobes = np.stack(home["probes"].to_numpy())
     found = []
     turn = rotation(size)
     for i in range(0, len(seen), 512):
@@ -115,12 +129,9 @@ def _cell(home: pd.DataFrame, seen: pd.DataFrame, dim: int, size: int, threshold
         turned[:, :dim] = sx[part]
         est, bound = estimate(turned @ turn.T, codes, factor, size)
         s, h = np.nonzero(est + bound >= threshold)
-        # one meeting counts: at home together, the smaller id looks; else the smaller home cell is where they meet,
-        # unless only one of them visits the other
+        # at home together, the smaller id looks; visitors only come from later cells
         s += i
-        same = scell[s] == hcell[h]
-        back = (hprobes[h] == scell[s][:, None]).any(1)
-        take = np.where(same, sid[s] < hid[h], (hcell[h] < scell[s]) | ~back)
+        take = (scell[s] != hcell[h]) | (sid[s] < hid[h])
         s, h = s[take], h[take]
         exact = np.einsum("nd,nd->n", sx[s], hx[h]) if len(s) else np.zeros(0)
         ok = exact >= threshold
@@ -140,7 +151,7 @@ def _cell(home: pd.DataFrame, seen: pd.DataFrame, dim: int, size: int, threshold
     return pd.DataFrame({"id": ids[keep], "other": low[keep], "n": n[keep].astype(np.int64)})
 
 
-def linked(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -153,7 +164,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBE
     tallies, links = [], []
     for dim in sorted(dims):  # vectors of different lengths can't be compared
         own = [x for x in sample if len(x) == dim] or [np.array(classes.where(F.size("unit") == dim).orderBy("id").first()["unit"])]
-        got = scratch.save(_meet(scratch, classes.where(F.size("unit") == dim), np.stack(own), dim, threshold, probes, block), "met")
+        got = scratch.save(_meet(scratch, classes.where(F.size("unit") == dim), np.stack(own), dim, threshold, block), "met")
         tallies.append(got.groupBy("id").agg(F.sum("n").alias("n")))
         links.append(got.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     if not dims:
@@ -172,28 +183,28 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBE
     )
 
 
-def _meet(scratch: Scratch, classes: DataFrame, sample: np.ndarray, dim: int, threshold: float, probes: int, block: int) -> DataFrame:
+def _meet(scratch: Scratch, classes: DataFrame, sample: np.ndarray, dim: int, threshold: float, block: int) -> DataFrame:
     spark = scratch.spark
     n = classes.count()
-    cells = int(min(MOST_CELLS, len(sample), max(1, round(2 * n**0.5))))
+    cells = int(min(MOST_CELLS, len(sample), max(1, -(-n // CELL_ROWS))))
     size, centre = code_size(dim), spark.sparkContext.broadcast(centres(sample, cells))
-    visits = min(probes, cells)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, c = rotation(size), centre.value
         for b in batches:
             x = np.array(b.column("unit").to_pylist(), dtype=np.float64).reshape(-1, dim)
             _, codes, factor = encode(x, turn)
-            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :visits].astype(np.int32)
+            own, may = reach(x, c, threshold)
+            visits = [np.nonzero(m[: k + 1])[0].astype(np.int32) for m, k in zip(may, own)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("unit"), b.column("copies"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(factor), pa.array(near[:, 0]), pa.array(list(near), pa.list_(pa.int32()))],
-                ["id", "unit", "copies", "code", "factor", "home", "probes"],
+                [b.column("id"), b.column("unit"), b.column("copies"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(factor), pa.array(own.astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))],
+                ["id", "unit", "copies", "code", "factor", "home", "visits"],
             )
 
-    coded = scratch.save(classes.select("id", "unit", "copies").mapInArrow(index, f"{CLASSED}, code binary, factor double, home int, probes array<int>"), "coded")
+    coded = scratch.save(classes.select("id", "unit", "copies").mapInArrow(index, f"{CLASSED}, code binary, factor double, home int, visits array<int>"), "coded")
     # by cell, the numbers of blocks of home rows and of chunks of rows that are there; at most MOST_CELLS rows
     at_home = coded.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).collect()
-    there = coded.select(F.explode("probes").alias("home")).groupBy("home").agg(F.ceil(F.count("*") / SEEN).cast("int").alias("n")).collect()
+    there = coded.select(F.explode("visits").alias("home")).groupBy("home").agg(F.ceil(F.count("*") / SEEN).cast("int").alias("n")).collect()
     parts = {r["home"]: [r["n"], 1] for r in at_home}
     for r in there:
         parts.setdefault(r["home"], [0, 1])[1] = r["n"]
@@ -203,14 +214,14 @@ def _meet(scratch: Scratch, classes: DataFrame, sample: np.ndarray, dim: int, th
     # every block meets every chunk of its cell, so a task holds a bounded number of either
     home = coded.withColumn("cell", F.col("home")).join(F.broadcast(sizes), "cell").withColumn("block", own("blocks")).withColumn("chunk", each("chunks"))
     again = spark.read.schema(coded.schema).parquet(coded._scratch_path)
-    seen = again.withColumn("cell", F.explode("probes")).join(F.broadcast(sizes.where("blocks > 0")), "cell").withColumn("chunk", own("chunks")).withColumn("block", each("blocks"))
+    seen = again.withColumn("cell", F.explode("visits")).join(F.broadcast(sizes.where("blocks > 0")), "cell").withColumn("chunk", own("chunks")).withColumn("block", each("blocks"))
 
     def join(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
         return _cell(left, right, dim, size, threshold)
 
-    keys, need = ("cell", "block", "chunk"), ("id", "unit", "copies", "home", "probes")
+    keys, need = ("cell", "block", "chunk"), ("id", "unit", "copies", "home")
     both = home.select(*keys, *need, "code", "factor").groupBy(*keys).cogroup(seen.select(*keys, *need).groupBy(*keys))
     return both.applyInPandas(join, "id long, other long, n long")
 

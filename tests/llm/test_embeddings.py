@@ -46,6 +46,37 @@ def test_like_brute_force(spark, block, monkeypatch):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_every_pair_meets_without_groups(spark, monkeypatch):
+    """Vectors around no centres, pairs just above the threshold: none is lost, whatever the number of cells."""
+    monkeypatch.setattr(op9, "CELL_ROWS", 100, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.9005, 0.92, (len(x), 1))
+    both = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * side])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>").repartition(4)
+    near = both @ both.T >= 0.9
+    got = {r.vec_id: r.n_links for r in op9.linked(df).collect()}
+    assert [got[i] for i in range(len(both))] == (near.sum(1) - 1).tolist()
+
+
+def test_reach_holds_homes_of_all_within_the_angle():
+    rng = np.random.default_rng(6)
+    for dim in (2, 3, 64):
+        c, x, side = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(3, 300, dim)))
+        c = c[:40]
+        side -= (side * x).sum(1, keepdims=True) * x
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        home, may = op9.reach(x, c, 0.9)
+        assert (home == (x @ c.T).argmax(1)).all()
+        for toward in (side, *(c[k] - (x @ c[k])[:, None] * x for k in range(40))):  # at random, and straight at a centre
+            y = 0.9 * x + np.sqrt(1 - 0.81) * toward / np.linalg.norm(toward, axis=1, keepdims=True)
+            assert may[np.arange(300), (y @ c.T).argmax(1)].all()
+
+
 def test_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 0.0]), (7, [1.0, -0.0]), (7, [1.0, -0.0]), (8, [1e-30, 0.0]), (9, [0.0, 1.0, 0.0]), (None, [1.0, 0.0])]
