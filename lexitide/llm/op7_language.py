@@ -6,8 +6,10 @@ word it meets and counts it as often as it occurs. Every byte gets a label distr
 forward and the backward state; a document's probabilities are the normalised geometric mean over all its positions.
 
 The network is trained in numpy by backpropagation through time on the driver, on at most TRAIN_WORDS
-(language, word, count) rows, the ones with the smallest hashes, counted over about TRAIN_DOCS labelled documents
-(the whole texts of those a hash of doc_id picks). Documents with crc32(doc_id) mod 5 = 0 never take part.
+(language, word, count) rows, counted over at most TRAIN_DOCS labelled documents (whole texts; repeated rows count
+once). Both bounds are shared out by language, rare ones whole and the others alike, each with the smallest hashes: the number
+of unlabelled rows doesn't matter, and every language has at least one document, even beyond the bound.
+Documents with crc32(doc_id) mod 5 = 0 never take part.
 
 Null texts and texts without a letter are `und` with score 1; every other text is `und` with score 0 if nothing is labelled.
 Every input row gives one row, null or repeated doc_ids included (a null doc_id isn't held out); other
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.runtime import bound_batches, table
+from lexitide.runtime import Scratch, bound_batches, table
 
 HIDDEN, SEGMENT, TRAIN_DOCS, TRAIN_WORDS, STEPS, BATCH, RATE = 12, 24, 4000, 40_000, 1500, 256, 0.01
 CACHE, SLICE = 500_000, 4096
@@ -150,10 +152,37 @@ def train(rows: list[tuple[str, bytes, int]], steps: int = STEPS, seed: int = 7)
     return net
 
 
+def shares(counts: dict[str, int], bound: int) -> dict[str, int]:
+    """How many of its rows each language gives: all of a rare one, the same of the others, at least one."""
+    out, left = {}, bound
+    for i, (n, lang) in enumerate(sorted((n, lang) for lang, n in counts.items())):
+        out[lang] = min(n, max(1, left // (len(counts) - i)))
+        left -= out[lang]
+    return out
+
+
+def smallest(rows: DataFrame, bound: int) -> DataFrame:
+    """(lang, cut): the share of bound of each language are its rows (lang, h), distinct, with h up to cut."""
+    spark, most = rows.sparkSession, (1 << 63) - 1
+    tally = {r["lang"]: (r["n"], r["low"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("low")).collect()}
+    share = shares({lang: n for lang, (n, _) in tally.items()}, bound)
+    # hashes that are surely enough, a little over the bound in all, come to the driver
+    tops = [(lang, max(low, int(min(1, (share[lang] + 6 * share[lang] ** 0.5 + 20) / n) * most))) for lang, (n, low) in tally.items() if share[lang] < n]
+    near: dict[str, list[int]] = {}
+    if tops:
+        for r in rows.join(F.broadcast(spark.createDataFrame(tops, "lang string, top long")), "lang").where("h <= top").select("lang", "h").collect():
+            near.setdefault(r["lang"], []).append(r["h"])
+    cuts = [(lang, sorted(near[lang])[: share[lang]][-1] if lang in near else most) for lang in tally]
+    return spark.createDataFrame(cuts, "lang string, cut long")
+
+
 def training_words(docs: DataFrame, docs_bound: int = TRAIN_DOCS, words_bound: int = TRAIN_WORDS) -> list[tuple[str, bytes, int]]:
+    scratch = Scratch(docs.sparkSession, "language")
+    own_hash = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 1).alias("h")
     labelled = docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    every = max(1, docs.count() // docs_bound)
-    sample = labelled.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(every)) == 0).select("text", F.col("lang").cast("string").alias("lang"))
+    labelled = labelled.select("text", F.col("lang").cast("string").alias("lang"), own_hash(F.col("doc_id").cast("string"), F.col("text")))
+    cuts = smallest(scratch.save(labelled.select("lang", "h").distinct(), "hashes"), docs_bound)
+    sample = labelled.join(F.broadcast(cuts), "lang").where("h <= cut").groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,8 +192,10 @@ def training_words(docs: DataFrame, docs_bound: int = TRAIN_DOCS, words_bound: i
                     tally[lang, w] = tally.get((lang, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.binary()), pa.array(list(tally.values()), pa.int64())], ["lang", "word", "n"])
 
-    words = sample.mapInArrow(cut, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return [(r["lang"], bytes(r["word"]), r["n"]) for r in words.orderBy(F.xxhash64("word"), "lang").limit(words_bound).collect()]
+    words = sample.mapInArrow(cut, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.first(own_hash("word")).alias("h"))
+    words = scratch.save(words, "words")
+    words = words.join(F.broadcast(smallest(words.select("lang", "h"), words_bound)), "lang").where("h <= cut")
+    return [(r["lang"], bytes(r["word"]), r["n"]) for r in words.collect()]
 
 
 class Scorer:

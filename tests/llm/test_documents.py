@@ -243,6 +243,20 @@ def test_language(spark, small, awkward, empty):
     assert {r.lang_pred for r in op7_language.identify(awkward, None).collect()} == {"und"}
 
 
+def test_training_rows_are_shared_by_language(spark):
+    """Unlabelled rows don't thin the sample, and a rare language stays in it."""
+    rows = [(i, f"common{i} word", "a") for i in range(2000)] + [(i, f"other{i} word", "b") for i in range(2000, 3000)] + [(i, f"rare{i} word", "c") for i in range(3000, 3008)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    unlabelled = spark.range(10_000, 30_000).selectExpr("id doc_id", "'no label here' text", "cast(null as string) lang")
+    want = sorted(op7_language.training_words(labelled, 60))
+    assert sorted(op7_language.training_words(labelled.unionByName(unlabelled), 60)) == want
+    n = {k: sum(r[0] == k and r[1] != b"word" for r in want) for k in "abc"}
+    rare = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(3000, 3008))
+    assert 0 < n["c"] == rare and n["a"] + n["b"] + n["c"] == 60 and abs(n["a"] - n["b"]) <= 1
+    few = op7_language.training_words(labelled, 60, 30)
+    assert {r[0] for r in few} == set("abc") and len(few) == 30
+
+
 def test_a_word_counts_as_often_as_it_occurs(small):
     net = op7_language.Network.fresh(["a", "b"])
     score = op7_language.Scorer(net)
