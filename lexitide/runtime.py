@@ -52,10 +52,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A folder of this process under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A folder of this process under spark.checkpoint.dir; a temporary one only where that is unset and the master local."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         if not shared:
             shared = tempfile.mkdtemp(prefix="lexitide-")
         _scratch[app] = f"{shared.rstrip('/')}/lexitide-{uuid.uuid4().hex}"
