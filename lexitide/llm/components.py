@@ -9,7 +9,7 @@ from lexitide.runtime import Scratch
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(id, component) for every id in links (a, b): component is the smallest id that can be reached.
+    """(id, component) for every id in links (a, b) but the smallest of each component, which is the component.
 
     Alternates two steps until nothing changes: every node hangs its larger neighbours, and then its smaller
     ones, on the smallest node it knows (large star, small star). The number of edges never grows, no
@@ -33,3 +33,10 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         before = now
+
+
+def smallest_names(grouped: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """(id, component_id): for every id of the components, the smallest name, of names (id, name), in its component."""
+    everyone = grouped.select("id", "component").unionByName(grouped.select(F.col("component").alias("id"), "component").distinct())
+    lowest = everyone.join(names.select("id", name), "id").groupBy("component").agg(F.min(name).alias("component_id"))
+    return everyone.join(lowest, "component").select("id", "component_id")
