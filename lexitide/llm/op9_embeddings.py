@@ -1,12 +1,12 @@
 """Embedding near-duplicates: randomised-rotation binary codes decide which pairs need exact recomputation.
 
-1. Vectors are scaled to length one in double precision; equal ones become one class. Those that are null, zero, or hold
-   null or non-finite components are set aside and link with nothing.
-2. The index: a centre for each CELL_ROWS rows, at most MOST_CELLS, drawn by hash from at most CENTRE_SAMPLE vectors
-   and moved by a few rounds of k-means. Every class is at home in its nearest cell and visits each earlier cell that is
-   the home of any vector within the threshold's angle (reach() has the bound, which is exact), so every pair at the
-   threshold meets, once, in the earlier of its two homes. Tight groups visit few cells; vectors without groups visit
-   nearly all of them, and the work then grows with the square of the table.
+1. Vectors are scaled to length one in double precision; equal ones become one class, found by a 128-bit fingerprint. Those
+   that are null, zero, or hold null or non-finite components are set aside and link with nothing.
+2. The index, for each vector length: a centre for each CELL_ROWS rows, at most MOST_CELLS in all, drawn by hash from at most
+   CENTRE_SAMPLE vectors and moved by a few rounds of k-means; a length that the sample lacks has one cell. Every class is at
+   home in its nearest cell and visits each earlier cell that is the home of any vector within the threshold's angle (reach()
+   has the bound, which is exact), so every pair at the threshold meets, once, in the earlier of its two homes. Tight groups
+   visit few cells; vectors without groups visit nearly all of them, and the work then grows with the square of the table.
 3. Each class has a code: the signs of its coordinates after padding to CODE dimensions and a random rotation, and
    a correction factor, the inner product of the vector and its quantised form. In a cell, the
    inner product of the unquantised visitor with the code, over the factor, is an unbiased estimate; its error has
@@ -17,27 +17,32 @@
 
 Only the codes' bound (SIGMAS) can lose a pair at the threshold; no pair below the threshold is linked. The README has
 the recall measured against brute force.
-Repeated vec_ids with equal vectors count as one vector; with different ones the smallest vector stands for
-the id; rows with a null vec_id are left out. An empty table gives an empty result; labels and other columns are ignored.
+Vectors of different lengths don't link. Repeated vec_ids with equal vectors count as one vector; with different ones each
+vector has its row, linked as it is. Rows with a null vec_id are left out. An empty table gives an empty result; labels and
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm.components import components
+from lexitide.llm.bounds import join_counted, sample
+from lexitide.llm.components import components, smallest_names
 from lexitide.runtime import Scratch, bound_batches, table
 
 THRESHOLD, CODE, SIGMAS = 0.9, 128, 4.5
-CENTRE_SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK, SEEN = 20_000, 4096, 4096, 8192, 8192
+CENTRE_SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK, SEEN = 20_000, 4096, 16_384, 16_384, 16_384
 
 
+@lru_cache(maxsize=4)
 def rotation(size: int, seed: int = 11) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))
     return q * np.sign(np.diag(r))
@@ -91,64 +96,95 @@ def reach(unit: np.ndarray, centre: np.ndarray, threshold: float) -> tuple[np.nd
     return home, near[np.arange(len(unit)), home][:, None] - near <= np.sqrt(max(0, 1 - threshold**2)) * between + 1e-6
 
 
-CLASSED = "id long, unit array<double>, copies long"
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows in double precision, of length one; neither large nor tiny components overflow. Rows of zeros and
+    non-finite numbers give non-finite rows."""
+    raw = raw.astype(np.float64)
+    with np.errstate(all="ignore"):
+        x = raw / np.abs(raw).max(1, initial=0, keepdims=True)
+        return x / np.sqrt((x * x).sum(1, keepdims=True)) + 0.0
 
 
-def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, unit): unit is null for what links with nothing."""
+def stacked(vecs, dim: int) -> np.ndarray:
+    """The rows of binary vectors of one length, in the precision they have."""
+    data = b"".join(bytes(v) for v in vecs)
+    return np.frombuffer(data, "<f4" if len(data) == 4 * dim * len(vecs) else "<f8").reshape(len(vecs), dim)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for v in b.column("embedding").to_pylist():
-                x = None if not v or any(c is None for c in v) else np.array(v, dtype=np.float64)
-                if x is not None and np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
-                    x = x / top
-                    out.append(x / np.sqrt(x @ x) + 0.0)
-                else:
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "unit"])
 
-    return vectors.where("vec_id is not null").select("vec_id", "embedding").mapInArrow(work, "vec_id long, unit array<double>")
+def by_length(dims: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for dim in np.unique(dims):
+        yield int(dim), np.nonzero(dims == dim)[0]
 
 
-def _cell(home: pd.DataFrame, seen: pd.DataFrame, dim: int, size: int, threshold: float) -> pd.DataFrame:
-    """Links between a block of a cell's home rows and a chunk of the rows that are there: (id, other, n).
+def fingerprinted(vectors: DataFrame) -> DataFrame:
+    """(vec_id, dim, vec, print): print, of the direction, is null for what links with nothing; vec are the components."""
+    narrow = "array<float>" in vectors.schema["embedding"].dataType.simpleString()
 
-    n are the links of id, counted with copies; other is the smallest row that the links of this group let it reach."""
-    hx, sx = np.stack(home["unit"].to_numpy()), np.stack(seen["unit"].to_numpy())
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("embedding")
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype("<f4" if narrow else "<f8")  # null components become nan
+            start = np.cumsum(size) - size
+            vecs, prints = [None] * len(size), [None] * len(size)
+            for dim, at in by_length(size):
+                raw = values[start[at][:, None] + np.arange(dim)]
+                unit = scaled(raw)
+                for i, x, u in zip(at, raw, unit):
+                    if dim and np.isfinite(u).all():
+                        vecs[i], prints[i] = x.tobytes(), xxhash.xxh3_128_digest(u.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), pa.array(size, pa.int32()), pa.array(vecs, pa.binary()), pa.array(prints, pa.binary())], ["vec_id", "dim", "vec", "print"])
+
+    return vectors.where("vec_id is not null").select("vec_id", "embedding").mapInArrow(work, "vec_id long, dim int, vec binary, print binary")
+
+
+def _cell(home: pd.DataFrame, seen: pd.DataFrame, dim: int, threshold: float) -> pd.DataFrame:
+    """Links between a block of a cell's home rows and a chunk of the rows that are there: (key, other, n).
+
+    n are the links of key, counted with copies; other is the smallest key that the links of this group let it reach."""
+    hx, sx = (scaled(stacked(list(side["vec"]), dim)) for side in (home, seen))
     codes = np.stack([np.frombuffer(c, np.uint8) for c in home["code"]])
     factor = home["factor"].to_numpy()
-    hid, sid = home["id"].to_numpy(), seen["id"].to_numpy()
+    hid, sid = home["key"].to_numpy(), seen["key"].to_numpy()
     hcell, scell = home["home"].to_numpy(), seen["home"].to_numpy()
-    found = []
+    size = code_size(dim)
     turn = rotation(size)
-    for i in range(0, len(seen), 512):
+    nodes, of = np.unique(np.concatenate([sid, hid]), return_inverse=True)
+    snode, hnode = of[: len(sid)], of[len(sid) :]
+    scopies, hcopies = seen["copies"].to_numpy(), home["copies"].to_numpy()
+    n, low = np.zeros(len(nodes)), np.arange(len(nodes))
+    for i in range(0, len(seen), 512):  # pairs are held for one slice only: in a dense group nearly all are links
         part = slice(i, i + 512)
         turned = np.zeros((len(sx[part]), size))
         turned[:, :dim] = sx[part]
         est, bound = estimate(turned @ turn.T, codes, factor, size)
-        s, h = np.nonzero(est + bound >= threshold)
-        # at home together, the smaller id looks; visitors only come from later cells
+        may = est + bound >= threshold
+        # at home together, the smaller key looks; visitors only come from later cells
+        may &= (scell[part][:, None] != hcell[None, :]) | (sid[part][:, None] < hid[None, :])
+        if may.mean() > 0.02:
+            s, h = np.nonzero(may & (sx[part] @ hx.T >= threshold))
+        else:
+            s, h = np.nonzero(may)
+            ok = np.einsum("nd,nd->n", sx[s + i], hx[h]) >= threshold
+            s, h = s[ok], h[ok]
         s += i
-        take = (scell[s] != hcell[h]) | (sid[s] < hid[h])
-        s, h = s[take], h[take]
-        exact = np.einsum("nd,nd->n", sx[s], hx[h]) if len(s) else np.zeros(0)
-        ok = exact >= threshold
-        found.append((s[ok], h[ok]))
-    s, h = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    ids, copies = np.concatenate([sid, hid]), np.concatenate([seen["copies"].to_numpy(), home["copies"].to_numpy()])
-    n = np.bincount(s, copies[len(sid) + h], len(ids)) + np.bincount(len(sid) + h, copies[s], len(ids))
-    low = ids.astype(np.int64).copy()
-    while True:  # smallest id reached through this block's links
-        new = low.copy()
-        np.minimum.at(new, s, low[len(sid) + h])
-        np.minimum.at(new, len(sid) + h, new[s])
-        if (new == low).all():
-            break
-        low = new
+        n += np.bincount(snode[s], hcopies[h], len(nodes)) + np.bincount(hnode[h], scopies[s], len(nodes))
+        low = joined(low, snode[s], hnode[h])
     keep = n > 0
-    return pd.DataFrame({"id": ids[keep], "other": low[keep], "n": n[keep].astype(np.int64)})
+    return pd.DataFrame({"key": nodes[keep], "other": nodes[low[keep]], "n": n[keep].astype(np.int64)})
+
+
+def joined(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """low has the smallest node of each node's component; the same with links between a and b added."""
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            return low
+        low = low.copy()
+        np.minimum.at(low, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (low[low] != low).any():
+            low = low[low]
 
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -156,74 +192,84 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
     spark = vectors.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "embeddings")
-    units = scratch.save(unit_vectors(vectors).groupBy("vec_id").agg(F.min("unit").alias("unit")), "units")
-    classes = scratch.save(units.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
-    sample = [np.array(r["unit"]) for r in classes.orderBy(F.xxhash64("id"), "id").limit(CENTRE_SAMPLE).select("unit").toLocalIterator()]
-    dims = {len(x) for x in sample} | {r[0] for r in classes.select(F.size("unit")).distinct().limit(64).collect()}
-    membership = units.join(classes.select("unit", "id", "copies"), "unit", "left")
-    tallies, links = [], []
-    for dim in sorted(dims):  # vectors of different lengths can't be compared
-        own = [x for x in sample if len(x) == dim] or [np.array(classes.where(F.size("unit") == dim).orderBy("id").first()["unit"])]
-        got = scratch.save(_meet(scratch, classes.where(F.size("unit") == dim), np.stack(own), dim, threshold, block), "met")
-        tallies.append(got.groupBy("id").agg(F.sum("n").alias("n")))
-        links.append(got.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    if not dims:
-        return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    tally, link = tallies[0], links[0]
-    for t, x in zip(tallies[1:], links[1:]):
-        tally, link = tally.unionByName(t), link.unionByName(x)
-    grouped = components(scratch, link)
-    out = membership.join(tally, "id", "left").join(grouped, "id", "left")
-    component = F.coalesce("component", "id", "vec_id")
+    rows = scratch.save(fingerprinted(vectors), "rows")
+    members = scratch.save(rows.select("vec_id", "print").distinct(), "members")
+    counted = members.where("print is not null").groupBy("print").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    heads = rows.where("print is not null").groupBy("print").agg(F.first("dim").alias("dim"), F.min("vec").alias("vec"))
+    classes = scratch.save(heads.join(counted, "print").withColumn("key", F.monotonically_increasing_id()), "classes")
+
+    met = scratch.save(_meet(scratch, classes, threshold, block), "met")
+    tally = met.groupBy("key").agg(F.sum("n").alias("n"))
+    grouped = components(scratch, met.where("key <> other").select(F.col("key").alias("a"), F.col("other").alias("b")))
+    lowest = smallest_names(grouped, classes.select(F.col("key").alias("id"), F.col("id").alias("vec_id")), "vec_id").withColumnRenamed("id", "key")
+    info = classes.select("print", "key", "id", "copies").join(tally, "key", "left").join(lowest, "key", "left")
+    info = scratch.save(info.select("print", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component_id", "id").alias("component_id")), "info")
+    out = join_counted(members, info, "print", "copies", members.count())
+    component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id",
-        F.coalesce(F.col("copies") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("copies") - 1 + F.col("n"), F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         (F.col("vec_id") == component).alias("kept"),
     )
 
 
-def _meet(scratch: Scratch, classes: DataFrame, sample: np.ndarray, dim: int, threshold: float, block: int) -> DataFrame:
+def _index(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Centres by vector length, at most MOST_CELLS and one for each length in the sample."""
+    n, found = classes.count(), {}
+    for r in sample(classes.select("print", "dim", "vec"), CENTRE_SAMPLE, "print").toLocalIterator():
+        found.setdefault(r["dim"], []).append(r["vec"])
+    drawn, out = sum(map(len, found.values())), {}
+    for dim, vecs in found.items():
+        share = len(vecs) / drawn
+        cells = max(1, min(len(vecs), int(share * MOST_CELLS), -(-int(share * n) // CELL_ROWS)))
+        out[dim] = centres(scaled(stacked(sorted(vecs, key=xxhash.xxh3_64_intdigest), dim)), cells)
+    return out
+
+
+def _meet(scratch: Scratch, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(key, other, n) of all groups; see _cell."""
     spark = scratch.spark
-    n = classes.count()
-    cells = int(min(MOST_CELLS, len(sample), max(1, -(-n // CELL_ROWS))))
-    size, centre = code_size(dim), spark.sparkContext.broadcast(centres(sample, cells))
+    shared = spark.sparkContext.broadcast(_index(classes))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, c = rotation(size), centre.value
         for b in batches:
-            x = np.array(b.column("unit").to_pylist(), dtype=np.float64).reshape(-1, dim)
-            _, codes, factor = encode(x, turn)
-            own, may = reach(x, c, threshold)
-            visits = [np.nonzero(m[: k + 1])[0].astype(np.int32) for m, k in zip(may, own)]
+            vecs, dims = b.column("vec").to_pylist(), b.column("dim").to_numpy()
+            codes, visits = [b""] * len(vecs), [None] * len(vecs)
+            factor, home = np.zeros(len(vecs)), np.zeros(len(vecs), np.int32)
+            for dim, at in by_length(dims):
+                x, c = scaled(stacked([vecs[i] for i in at], dim)), shared.value.get(dim)
+                _, code, factor[at] = encode(x, rotation(code_size(dim)))
+                own, may = reach(x, c, threshold) if c is not None else (np.zeros(len(x), np.int64), np.ones((len(x), 1), bool))
+                home[at] = own
+                for i, row, m, k in zip(at, code, may, own):
+                    codes[i], visits[i] = row.tobytes(), np.nonzero(m[: k + 1])[0].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("unit"), b.column("copies"), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(factor), pa.array(own.astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))],
-                ["id", "unit", "copies", "code", "factor", "home", "visits"],
+                [b.column("key"), b.column("dim"), b.column("vec"), b.column("copies"), pa.array(codes, pa.binary()), pa.array(factor), pa.array(home), pa.array(visits, pa.list_(pa.int32()))],
+                ["key", "dim", "vec", "copies", "code", "factor", "home", "visits"],
             )
 
-    coded = scratch.save(classes.select("id", "unit", "copies").mapInArrow(index, f"{CLASSED}, code binary, factor double, home int, visits array<int>"), "coded")
-    # by cell, the numbers of blocks of home rows and of chunks of rows that are there; at most MOST_CELLS rows
-    at_home = coded.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).collect()
-    there = coded.select(F.explode("visits").alias("home")).groupBy("home").agg(F.ceil(F.count("*") / SEEN).cast("int").alias("n")).collect()
-    parts = {r["home"]: [r["n"], 1] for r in at_home}
-    for r in there:
-        parts.setdefault(r["home"], [0, 1])[1] = r["n"]
-    sizes = spark.createDataFrame([(k, *v) for k, v in parts.items()], "cell int, blocks int, chunks int")
+    coded = classes.select("key", "dim", "vec", "copies").mapInArrow(index, "key long, dim int, vec binary, copies long, code binary, factor double, home int, visits array<int>")
+    coded = scratch.save(coded, "coded")
+    # by cell, the numbers of blocks of home rows and of chunks of rows that are there; one row for each cell
+    at_home = coded.groupBy("dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    there = coded.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count("*") / SEEN).cast("int").alias("chunks"))
+    sizes = scratch.save(at_home.join(there, ["dim", "cell"]), "cells")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     # every block meets every chunk of its cell, so a task holds a bounded number of either
-    home = coded.withColumn("cell", F.col("home")).join(F.broadcast(sizes), "cell").withColumn("block", own("blocks")).withColumn("chunk", each("chunks"))
+    home = coded.withColumn("cell", F.col("home")).join(sizes, ["dim", "cell"]).withColumn("block", own("blocks")).withColumn("chunk", each("chunks"))
     again = spark.read.schema(coded.schema).parquet(coded._scratch_path)
-    seen = again.withColumn("cell", F.explode("visits")).join(F.broadcast(sizes.where("blocks > 0")), "cell").withColumn("chunk", own("chunks")).withColumn("block", each("blocks"))
+    seen = again.withColumn("cell", F.explode("visits")).join(sizes, ["dim", "cell"]).withColumn("chunk", own("chunks")).withColumn("block", each("blocks"))
 
     def join(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-        return _cell(left, right, dim, size, threshold)
+            return pd.DataFrame({"key": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
+        return _cell(left, right, int(key[0]), threshold)
 
-    keys, need = ("cell", "block", "chunk"), ("id", "unit", "copies", "home")
+    keys, need = ("dim", "cell", "block", "chunk"), ("key", "vec", "copies", "home")
     both = home.select(*keys, *need, "code", "factor").groupBy(*keys).cogroup(seen.select(*keys, *need).groupBy(*keys))
-    return both.applyInPandas(join, "id long, other long, n long")
+    return both.applyInPandas(join, "key long, other long, n long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

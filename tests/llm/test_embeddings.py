@@ -84,6 +84,36 @@ def test_awkward(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op9.linked(df).collect()}
     assert got == {i: (0, i, True) for i in (0, 1, 2, 3, 4, 5, 9)} | {6: (2, 6, True), 7: (2, 6, False), 8: (2, 6, False)}
     assert op9.linked(df.limit(0)).collect() == []
+    apart = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in op9.linked(apart).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 1, 2), (3, 1, 2)]  # each vector of a repeated vec_id has its own links
+
+
+def test_many_lengths(spark, monkeypatch):
+    """No length is left out, whether or not the sample for the centres has it."""
+    monkeypatch.setattr(op9, "CENTRE_SAMPLE", 10)
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim in range(2, 102):
+        v = rng.normal(size=dim)
+        rows += [(2 * dim, v.tolist()), (2 * dim + 1, (v + 0.01 * rng.normal(size=dim)).tolist())]
+    got = {r.vec_id: r.n_links for r in op9.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_links(rows) and set(got.values()) == {1}
+
+
+def brute_links(rows):
+    return {i: n for i, (n, _) in brute(dict(rows)).items()}
+
+
+def test_one_dense_group(spark, monkeypatch):
+    """Nearly all pairs link, over several blocks and chunks."""
+    for name in ("SEEN", "CELL_ROWS"):
+        monkeypatch.setattr(op9, name, 128)
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([np.ones((700, 16)) + 0.2 * rng.normal(size=(700, 16)), rng.normal(size=(60, 16))]))]
+    want = brute(dict(rows))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op9.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=128).collect()}
+    assert got == want
 
 
 def test_estimates_are_unbiased_and_bounded():
