@@ -7,7 +7,8 @@ of line feeds, and what follows up to the next), and its count is the sum over t
 
 1. Every partition tallies pre-tokens and flushes its tally at a bounded size; a shuffle sums them.
 2. The model counts the pieces of each distinct pre-token once; the dictionary is written to scratch.
-3. The HEAD most frequent pre-tokens of at most HEAD_CHARS characters, a fixed bound, go to the tasks. A
+3. The most frequent pre-tokens go to the tasks: all above the frequency that a histogram of 16 classes for each
+   doubling puts within HEAD pre-tokens and HEAD_BYTES bytes, so nothing is sorted and no task gathers them. A
    second pass over the texts sums what the head knows and emits (row, pre-token, frequency) for the rest,
    which meet the dictionary in a shuffle join. No ids are made.
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from lexitide.runtime import Scratch, bound_batches, table
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
-HEAD, HEAD_CHARS, FLUSH = 1 << 18, 48, 400_000
+HEAD, HEAD_BYTES, HEAD_LONGEST = 1 << 18, 12 << 20, 1 << 16
+FLUSH, FLUSH_CHARS = 400_000, 32 << 20
 
 MARK = "▁"
 PRETOKENS = re.compile(f"{MARK}+[^{MARK}\n]*|\n+[^{MARK}\n]*")
@@ -48,6 +50,7 @@ def piece_counts(model, tokens: list[str]) -> list[int]:
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
+    chars = 0  # of the texts since the last flush: more than the tally holds
 
     def flush():
         out = pa.RecordBatch.from_pydict({"pretoken": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
@@ -57,8 +60,12 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text in b.column("text").to_pylist():
             seen.update(pretokens(text))
-            if len(seen) >= FLUSH:
+            chars += len(text or "")
+            if len(seen) >= FLUSH or (chars >= FLUSH_CHARS and sum(map(len, seen)) >= FLUSH_CHARS // 2):
                 yield flush()
+                chars = 0
+            elif chars >= FLUSH_CHARS:
+                chars = 0
     if seen:
         yield flush()
 
@@ -77,6 +84,20 @@ def dictionary(docs: DataFrame, model_path: str) -> DataFrame:
     return tallied.mapInArrow(count, "pretoken string, n long, pieces long")
 
 
+def frequent(pieces: DataFrame, head: int = HEAD, head_bytes: int = HEAD_BYTES) -> DataFrame:
+    """(pretoken, pieces) of the most frequent ones, at most head of them and head_bytes bytes."""
+    short = pieces.where(F.octet_length("pretoken") <= HEAD_LONGEST)
+    level = F.floor(16 * F.log2("n")).cast("int")
+    histogram = short.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum(F.octet_length("pretoken")).alias("size")).collect()  # at most 16 x 64 rows
+    least, n, size = 1 << 30, 0, 0
+    for r in sorted(histogram, reverse=True):
+        n, size = n + r["n"], size + r["size"]
+        if n > head or size > head_bytes:
+            break
+        least = r["level"]
+    return short.where(level >= least).select("pretoken", "pieces")
+
+
 def token_counts(docs: DataFrame, model_path: str | None = None, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -84,8 +105,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, head: int = HEA
     scratch = Scratch(spark, "tokens")
     docs = docs.select("doc_id", "text")
     pieces = scratch.save(dictionary(docs, model_path or public_tokenizers.path(MODEL)), "dictionary")
-    top = pieces.where(F.length("pretoken") <= HEAD_CHARS).orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", "pieces")
-    known = spark.sparkContext.broadcast({r[0]: r[1] for r in top.toLocalIterator()})  # at most HEAD x HEAD_CHARS characters
+    known = spark.sparkContext.broadcast({r[0]: r[1] for r in frequent(pieces, head).collect()})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = known.value.get
