@@ -6,8 +6,8 @@ card number that stands beside other digits, an IPv6 address. Each candidate, ba
 (yes, no, abstain) of five labelers: pattern, check digits or structure, gazetteer, context words,
 and boundary. The votes are counted by pattern of votes in Spark: at most kinds x 3^5 rows, however large the
 corpus. Expectation-maximisation over these counts estimates every labeler's reliabilities; the
-posteriors label a bounded sample of candidates (at most SAMPLE rows with the smallest hashes), on which a
-logistic span classifier over shape and context features is trained. It alone decides about candidates that
+posteriors label a bounded sample of distinct candidates (at most SAMPLE rows with the smallest hashes, each counted as
+often as it occurs), on which a logistic span classifier over shape and context features is trained. It alone decides about candidates that
 aren't base spans.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Every input row gives one
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitide.llm.bounds import sample as bounded
 from lexitide.runtime import Scratch, bound_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,7 +35,7 @@ LABELERS, SAMPLE, FEATURES, ACCEPT = 5, 20_000, 1 << 10, 0.9
 
 # A run of digits is tried at its start only: each pattern takes it to its end or fails at every digit of it.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -49,6 +50,9 @@ _LOOSE = (
     (3, re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
 )
 
+#: What the base patterns find inside a looser span: they were dropped there by their check.
+_STRICT = (None, _IP, _CARD, _PHONE)
+
 # Gazetteers and context words of the labelers.
 TOP_DOMAINS = frozenset("com net org edu gov mil int info biz io de fr es it uk us eu ch at nl be pl ru jp cn br in ca au".split())
 CONTEXT_YES = {
@@ -75,15 +79,17 @@ def _digits(s: str) -> str:
 
 
 def emails(text: str) -> list[Span]:
-    """As the pattern's leftmost matches, from one @ to the next: a long run without @ costs nothing."""
+    """As the pattern's leftmost matches, from one @ to the next, backwards from each: a long run without @ costs nothing."""
     out, end, at = [], 0, text.find("@")
     while at >= 0:
-        start = at
-        for low in (max(end, at - 256), end):  # the part before @ is nearly always short
-            m = _LOCAL_TAIL.search(text[low:at]) if low < at else None
-            start = low + m.start() if m else at
-            if start > low or low == end:
+        start, width = at, 64
+        while start > end:  # the part before @ is nearly always short; no character is read more than twice
+            low = max(end, start - width)
+            run = _LOCAL.match(text[low:start][::-1]).end()
+            start -= run
+            if start > low:
                 break
+            width *= 2
         m = _DOMAIN.match(text, at + 1) if start < at else None
         if m:
             out.append((start, 0, m.end()))
@@ -131,12 +137,22 @@ def _apart(more: list[Span], base: list[Span]) -> list[Span]:
     return out
 
 
+def address_like(own: str) -> int:
+    """1 if the parts of a mail address are well-formed, spelled out or not: no stray dots or hyphens, a last part of letters."""
+    plain = re.sub(r" ?[\[({]? ?(?:dot|DOT) ?[\])}] ?", ".", re.sub(r" ?[\[({] ?(?:at|AT|@) ?[\])}] ?", "@", own)).replace(" ", "")
+    name, _, domain = plain.partition("@")
+    parts = domain.split(".")
+    good = name and name[0] != "." and name[-1] != "." and ".." not in name and len(name) <= 64
+    return int(bool(good and len(parts) > 1 and parts[-1].isalpha() and len(parts[-1]) > 1 and all(p and p[0] != "-" and p[-1] != "-" and len(p) <= 63 for p in parts)))
+
+
 def votes(text: str, span: Span, is_base: bool) -> list[int]:
     """1 yes, 0 no, -1 abstains: pattern, structure, gazetteer, context, boundary."""
     s, k, e = span
     own, d = text[s:e], _digits(text[s:e])
     before = re.findall(r"[\w-]+", text[max(0, s - 40) : s].lower())[-4:]
-    structure = (1 if k == 0 else int(":" in own or all(int(p) <= 255 for p in own.split(".") if p)) if k == 1 else int(luhn(d)) if k == 2 else int(10 <= len(d) <= 15))
+    pattern = 1 if is_base else 0 if _STRICT[k] and _STRICT[k].search(own) else -1
+    structure = (address_like(own) if k == 0 else int(":" in own or all(int(p) <= 255 for p in own.split(".") if p)) if k == 1 else int(luhn(d)) if k == 2 else int(10 <= len(d) <= 15))
     if k == 0:
         last = re.findall(r"[A-Za-z0-9-]+", own)[-1].lower()
         listed = 1 if last in TOP_DOMAINS else 0 if last.isdigit() else -1
@@ -148,7 +164,7 @@ def votes(text: str, span: Span, is_base: bool) -> list[int]:
         listed = 1 if own[0] == "+" and d[:1] != "0" else -1
     context = 1 if CONTEXT_YES[k] & set(before) else 0 if CONTEXT_NO & set(before[-2:]) else -1
     edge = int(not (text[s - 1 : s] if s else "").isalnum() and not text[e : e + 1].isalnum())
-    return [1 if is_base else -1, structure, listed, context, edge]
+    return [pattern, structure, listed, context, edge]
 
 
 def features(text: str, span: Span) -> list[int]:
@@ -191,15 +207,16 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return p, theta, prior
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Full-batch gradient descent on soft labels over sparse binary rows."""
+def logistic(rows: list[list[int]], y: np.ndarray, times: np.ndarray, rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Full-batch gradient descent on soft labels over sparse binary rows that count so many times each."""
     weights, bias = np.zeros(FEATURES), 0.0
     if not rows:
         return weights, -10.0
     at, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.array(r, dtype=np.int64) for r in rows])
+    share = times / times.sum()
     for _ in range(rounds):
         z = bias + np.bincount(at, weights[feature], len(rows))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
         weights -= rate * (np.bincount(feature, g[at], FEATURES) + decay * weights)
         bias -= rate * g.sum()
     return weights, float(bias)
@@ -232,12 +249,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             p, theta, prior = expectation_maximisation(np.array([r["votes"] for r in own]), np.array([r["count"] for r in own], dtype=float))
             posterior |= {(kind, tuple(r["votes"])): x for r, x in zip(own, p)}
             reliability[KINDS[kind]] = {"prior": prior, "vote_given_class": theta}
-    # a limit sends up to sample rows of every partition to the driver: hashes that can't be among the smallest stay behind
-    total = sum(r["count"] for r in tally)
-    low = found.where(F.col("key") < int((1 << 32) * 2 * sample / total)) if total > 2 * sample else found
-    rows = low.orderBy("key", "kind", "features").limit(sample).collect()
-    scratch.drop(found)
-    weights, bias = logistic([r["features"] for r in rows], np.array([posterior[r["kind"], tuple(r["votes"])] for r in rows]))
+    # copies of one context count as often as they occur, but are one row of the sample
+    apart = scratch.save(found.groupBy("key", "kind", "votes", "features").agg(F.count("*").alias("times")), "contexts")
+    rows = bounded(apart, sample, "key", "kind", "votes", "features").collect()
+    scratch.drop(found, apart)
+    y = np.array([posterior[r["kind"], tuple(r["votes"])] for r in rows])
+    weights, bias = logistic([r["features"] for r in rows], y, np.array([float(r["times"]) for r in rows]))
     return Model(weights, bias, reliability)
 
 
