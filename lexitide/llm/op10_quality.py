@@ -9,7 +9,7 @@ doc_id; a training row has at most FEATURES numbers. The expected grade and the
 the top grade are given for every document; `selected` is that probability at SELECT or more.
 
 Null and empty texts have no features and get what the thresholds alone say. A document that is labelled more than
-once counts with its lowest grade; labels with nulls are left out. Without labels every output is null and
+once counts with its lowest grade, one with several texts trains with the smallest; labels with nulls are left out. Without labels every output is null and
 selected false. Every input row gives one row; null doc_ids are kept; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitide.llm.bounds import sample
 from lexitide.runtime import bound_batches, table
 
 FEATURES, TRAIN_ROWS, EPOCHS, BATCH, RATE, DECAY, SELECT = 1 << 15, 12_000, 25, 256, 0.05, 1e-5, 0.5
@@ -120,7 +121,7 @@ def fit(docs: DataFrame, grades: DataFrame, rows_bound: int = TRAIN_ROWS) -> Ord
     """grades: doc_id, grade."""
     bound_batches(docs.sparkSession)
     lowest = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    chosen = lowest.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_bound)  # bounded, so it can be broadcast
+    chosen = sample(lowest, rows_bound, "doc_id")  # bounded, so it can be broadcast
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -129,8 +130,9 @@ def fit(docs: DataFrame, grades: DataFrame, rows_bound: int = TRAIN_ROWS) -> Ord
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([o[0].astype("<i4").tobytes() for o in out], pa.binary()), pa.array([o[1].astype("<f4").tobytes() for o in out], pa.binary())], ["doc_id", "grade", "places", "values"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = labelled.mapInArrow(featured, f"doc_id {kind}, grade int, places binary, values binary").orderBy("doc_id", "grade").limit(rows_bound).toLocalIterator()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = labelled.mapInArrow(featured, f"doc_id {kind}, grade int, places binary, values binary").toLocalIterator()
+    rows = sorted(rows, key=lambda r: str(r["doc_id"]))
     return train([(np.frombuffer(r["places"], "<i4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float), r["grade"]) for r in rows])
 
 
