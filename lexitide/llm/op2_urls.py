@@ -7,7 +7,8 @@ share of the host's pages. Trust is personalised PageRank along the links betwee
 against the links, so a host that links to bad ones becomes bad. Both are scaled by the number of hosts, and
 a host is blocked if its distrust exceeds its trust by more than THRESHOLD.
 
-Links between two hosts are summed before anything is joined, so the graph has a row for each pair of hosts.
+Links between two hosts are summed before anything is joined, so the graph has a row for each pair of hosts. Hosts with
+more than a thousandth of the pages, under a thousand, are broadcast to their pages; the others are joined.
 Rules are a parameter of a few rows and become one column expression. Ranks are written to scratch after
 every round.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexitide.llm.bounds import join_counted
 from lexitide.runtime import Scratch, table
 
 #: (verdict, rule): host up to the first /, then the path.
@@ -49,7 +51,10 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links from pages of one host to another host, summed."""
-    hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?((?:https?:)?//[^\"'\s>]+)"), F.lit(1))
+    # cut before every <a, so that each tag is looked at once, however many never end
+    tags = F.split(F.coalesce("html", F.lit("")), r"(?i)<a(?=\s)")
+    target = lambda tag: F.regexp_extract(tag, r"(?i)^[^>]*?\shref\s*=\s*[\"']?((?:https?:)?//[^\"'\s>]+)", 1)
+    hrefs = F.filter(F.transform(F.slice(tags, 2, F.greatest(F.size(tags), F.lit(1))), target), lambda x: x != "")
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(hrefs).alias("to"))
     links = links.select("src", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))).alias("dst"))
     return links.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
@@ -67,15 +72,14 @@ def propagate(scratch: Scratch, links: DataFrame, seeds: DataFrame, rounds: int
     edges = scratch.save(links.join(degree, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("share")), "edges")
     if edges.isEmpty():
         return start.withColumnRenamed("seed", "rank")
-    sinks = scratch.save(degree.select(F.col("src").alias("host")), "linking")
     rank = scratch.save(start.withColumnRenamed("seed", "rank"), "rank")
     for _ in range(rounds):
-        kept = rank.join(sinks, "host", "left_semi").agg(F.sum("rank").alias("k")).collect()[0]["k"] or 0.0
-        mass = rank.agg(F.sum("rank").alias("m")).collect()[0]["m"]
         moved = rank.join(edges, rank["host"] == edges["src"]).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("part"))
-        back = start.select("host", ((1 - damping + damping * (mass - kept)) * F.col("seed")).alias("part"))
+        moved = scratch.save(moved, "moved")
+        left = 1.0 - (moved.agg(F.sum("part").alias("m")).collect()[0]["m"] or 0.0)  # the sum of all ranks is 1
+        back = start.select("host", (left * F.col("seed")).alias("part"))
         new = scratch.save(moved.unionByName(back).groupBy("host").agg(F.sum("part").alias("rank")), "rank")
-        scratch.drop(rank)
+        scratch.drop(rank, moved)
         rank = new
     return rank
 
@@ -93,20 +97,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, rounds: int =
     links = scratch.save(host_links(pages), "links")
 
     share = lambda v: F.avg(F.when(F.col("by_rule") == v, 1.0).otherwise(0.0))
-    hosts = scratch.save(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block")), "hosts")
+    hosts = scratch.save(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block"), F.count("*").alias("pages")), "hosts")
     trust = propagate(scratch, links, hosts.select("host", F.col("allow").alias("weight")), rounds, damping)
     reverse = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(scratch, reverse, hosts.select("host", F.col("block").alias("weight")), rounds, damping)
     n = hosts.count()
     scores = (
-        hosts.select("host")
+        hosts.select("host", "pages")
         .join(trust.withColumnRenamed("rank", "t"), "host", "left")
         .join(distrust.withColumnRenamed("rank", "d"), "host", "left")
-        .select("host", (n * F.coalesce("t", F.lit(0.0))).alias("trust"), (n * F.coalesce("d", F.lit(0.0))).alias("distrust"))
+        .select("host", "pages", (n * F.coalesce("t", F.lit(0.0))).alias("trust"), (n * F.coalesce("d", F.lit(0.0))).alias("distrust"))
     )
     by_host = F.when(F.col("distrust") - F.col("trust") > threshold, F.lit("block")).otherwise(F.lit("allow"))
-    out = judged.join(scores, "host", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    known = judged.withColumn("host", F.when(F.col("host") != "", F.col("host")))
+    out = join_counted(known, scratch.save(scores, "scores"), "host", "pages", judged.count())
+    return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
