@@ -1,20 +1,22 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the tree.
 
 A small reader turns a page into a tree of block-level elements; inline elements are transparent, and script,
-style and the like hold no text. Every element has features: its tag, tokens of class, id and role, depth, subtree
+style and the like hold no text. Every element has features: its tag, its tokens of class, id and role, hashed, depth, subtree
 text density, link share, sibling statistics, place on the page, and whether a tag or token on the way down to it is a cue. The trees give
 each element the log-odds of being main content. Decoding keeps or drops whole subtrees: an element can
 only be kept if all its ancestors are, and the choice with the largest sum over the page wins, from the leaves up.
 
-The trees are trained in numpy on the driver, on elements of at most TRAIN_PAGES pages (those with the
-smallest hashes) of at most TRAIN_CHARS characters, whose labels follow from the vocabulary of tags and
-tokens (nav, footer, class="ad", article ...). Each row is used three more times: with these cues hidden, so
-densities and siblings are learned too, and under a good and a bad cue with the label that the cue gives, so a
+The trees are trained in numpy on the driver, on at most TRAIN_NODES elements, evenly spaced, of each of at most TRAIN_PAGES
+pages (those with the smallest hashes), whose labels follow from the vocabulary of tags and
+tokens (nav, footer, class="ad", article ...). Each row is used four more times: with these cues hidden, with the tokens
+hidden too, so densities and siblings are learned, and under a good and a bad cue with the label that the cue gives, so a
 cue of a kind that the sample lacks (a reader comment in an article) still counts. Elements without any cue are not
-trained on.
+trained on. A page that has no cue at all is labelled by density instead: long text with punctuation and few links is content,
+lists of links and scraps aren't. Where the sample has neither, there are no trees, and all text outside silent elements is kept.
 
 Kept text: character references decoded, white space inside a block made one space, blocks trimmed and
-joined by one line feed in page order, empty blocks left out. Null and empty html gives an empty text. Every input row
+joined by one line feed in page order, empty blocks left out. Null and empty html gives an empty text. A tag ends at the first >
+outside a quoted value; one that never ends is text if no > follows, else it takes the rest of the page. Every input row
 gives one row; repeated and null page_ids are kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -22,17 +24,21 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.runtime import bound_batches, table
+from lexitide.llm.bounds import sample
+from lexitide.runtime import Scratch, bound_batches, table
 
-TRAIN_PAGES, TRAIN_CHARS, TREES, DEPTH, BINS, RATE = 1000, 200_000, 30, 3, 32, 0.3
+TRAIN_PAGES, TRAIN_NODES, TREES, DEPTH, BINS, RATE = 1000, 256, 30, 3, 32, 0.3
+TOKEN_PLACES = 32
 
 # The vocabulary of markup.
 SILENT = frozenset("script style noscript template svg math iframe object select option button textarea title head canvas audio video map".split())
@@ -52,10 +58,13 @@ BLOCK_TAGS = ("p", "div", "li", "h1", "h2", "h3", "ul", "td", "section", "blockq
 NAMES = (
     *(f"is_{t}" for t in BLOCK_TAGS), "good_path", "bad_path",
     "depth", "own_chars", "chars", "density", "links", "elements", "paragraphs", "siblings", "same_siblings", "order", "chars_of_siblings", "start", "stops", "word_length",
+    *(f"token_{i}" for i in range(TOKEN_PLACES)),
 )
+TOKENS = NAMES.index("token_0")
 CUES = tuple(i for i, n in enumerate(NAMES) if n.endswith("_path"))
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^<>]*>", re.S)
+# Every alternative that begins to match goes on to an end, so no character is tried again and again.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
 _CUE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -69,12 +78,15 @@ class Page:
         self.tag, self.words, self.parent = ["#"], [frozenset()], [-1]
         self.links = [0]  # characters inside links
         self.pieces: list[tuple[int, str]] = []
-        open_, link, silent, at = [0], 0, 0, 0
-        end = len(text)
+        self.opened, self.silent = Counter(), 0  # open elements by tag, and how many of them are silent
+        open_, link, at = [0], 0, 0
+        end, last = len(text), text.rfind(">")
         while at < end:
             m = _MARKUP.search(text, at)
+            if m and m.start() > last:  # no tag ends any more
+                m = None
             stop = m.start() if m else end
-            if stop > at and not silent:
+            if stop > at and not self.silent:
                 self._say(open_[-1], entities.unescape(text[at:stop]), link)
             if not m:
                 break
@@ -87,7 +99,6 @@ class Page:
                     link = 0
                 elif name not in INLINE:
                     self._close(open_, name)
-                    silent = sum(self.tag[i] in SILENT for i in open_)
                     self._say(open_[-1], None, 0)
                 elif name in SILENT:
                     continue
@@ -105,7 +116,6 @@ class Page:
                 at = close.end() if close else end
                 continue
             self._open(open_, name, m[3] or "")
-            silent += name in SILENT
 
     def _say(self, node: int, text: str | None, link: int) -> None:
         """Text of an element; None ends its block."""
@@ -116,19 +126,26 @@ class Page:
             self.pieces.append((node, text))
             self.links[node] += link * len(text.strip())
 
+    def _cut(self, open_: list[int], i: int) -> None:
+        for node in open_[i:]:
+            self.opened[self.tag[node]] -= 1
+            self.silent -= self.tag[node] in SILENT
+        del open_[i:]
+
     def _close(self, open_: list[int], name: str) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if self.tag[open_[i]] == name:
-                del open_[i:]
-                return
+        if self.opened[name] > 0:
+            i = len(open_) - 1
+            while self.tag[open_[i]] != name:
+                i -= 1
+            self._cut(open_, i)
 
     def _open(self, open_: list[int], name: str, attributes: str) -> None:
         if self.tag[open_[-1]] == "p":  # a block ends an open paragraph
-            open_.pop()
-        if name in CLOSES:
+            self._cut(open_, len(open_) - 1)
+        if name in CLOSES and any(self.opened[t] for t in CLOSES[name]):
             for i in range(len(open_) - 1, 0, -1):
                 if self.tag[open_[i]] in CLOSES[name]:
-                    del open_[i:]
+                    self._cut(open_, i)
                     break
                 if self.tag[open_[i]] in SCOPES:
                     break
@@ -142,6 +159,8 @@ class Page:
         self.parent.append(open_[-1])
         self.links.append(0)
         open_.append(len(self.tag) - 1)
+        self.opened[name] += 1
+        self.silent += name in SILENT
 
     def blocks(self) -> list[tuple[int, str]]:
         """(element, text) of each run of text that no block-level tag interrupts."""
@@ -195,6 +214,8 @@ def features(page: Page, blocks: list[tuple[int, str]]) -> np.ndarray:
         good[i] |= good[p]
         if (k := col.get("is_" + page.tag[i])) is not None:
             x[i, k] = 1
+        for w in page.words[i]:
+            x[i, TOKENS + crc32(w.encode()) % TOKEN_PLACES] = 1
     good &= ~bad  # a bad cue on the way down wins
     for i in range(1, n):
         same[i] = tags[parent[i], page.tag[i]]
@@ -214,6 +235,14 @@ def cue_labels(x: np.ndarray) -> np.ndarray:
     return np.where(x[:, NAMES.index("bad_path")] > 0, 0, np.where(x[:, NAMES.index("good_path")] > 0, 1, -1))
 
 
+def density_labels(x: np.ndarray) -> np.ndarray:
+    """The same for a page without cues: 1 for long text with punctuation and few links, 0 for links and scraps."""
+    own, links, stops = (x[:, NAMES.index(k)] for k in ("own_chars", "links", "stops"))
+    heading = x[:, [NAMES.index(f"is_h{i}") for i in (1, 2, 3)]].any(1)
+    scrap = (links > 0.5) | ((own < np.log1p(25)) & (stops < 0.04))
+    return np.where((own == 0) | heading, -1, np.where((own >= np.log1p(80)) & (links < 0.3) & (stops > 0.04), 1, np.where(scrap, 0, -1)))
+
+
 @dataclass
 class Trees:
     """Complete binary trees of one depth: feature and cut of each inner node, value of each leaf."""
@@ -294,12 +323,12 @@ def node_scores(page: Page, x: np.ndarray, odds: np.ndarray) -> np.ndarray:
 
 
 def main_text(html: str | None, trees: Trees | None) -> str:
-    if not html or trees is None:
+    if not html:
         return ""
     page = Page(html)
     blocks = page.blocks()
-    if not blocks:
-        return ""
+    if not blocks or trees is None:
+        return "\n".join(t for _, t in blocks)
     x = features(page, blocks)
     odds = trees.log_odds(x)
     kept = decode(page, node_scores(page, x, odds))
@@ -320,26 +349,30 @@ def fit(pages: DataFrame, pages_bound: int = TRAIN_PAGES) -> Trees | None:
                 page = Page(html)
                 x = features(page, page.blocks())
                 y = cue_labels(x)
-                rows.append(x[y >= 0].astype("<f4").tobytes())
-                labels.append(y[y >= 0].astype("u1").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(labels, pa.binary())], ["x", "y"])
-
-    some = pages.where((F.length("html") > 0) & (F.length("html") <= TRAIN_CHARS)).select("page_id", "html")
-    key = F.xxhash64("page_id", F.length("html"))
-    total = max(1, pages.count() // (2 * pages_bound))  # about twice as many go on to the exact choice
-    some = some.where(F.pmod(key, F.lit(total)) == 0).orderBy(key, "page_id").limit(pages_bound)
-    found = [(np.frombuffer(r["x"], "<f4").reshape(-1, n).astype(float), np.frombuffer(r["y"], "u1")) for r in some.mapInArrow(look, "x binary, y binary").toLocalIterator()]
+                y = y if (y >= 0).any() else density_labels(x)
+                at = np.nonzero(y >= 0)[0]
+                at = at[np.linspace(0, len(at) - 1, min(len(at), TRAIN_NODES)).astype(int)] if len(at) else at
+                rows.append(x[at].astype("<f4").tobytes())
+                labels.append(y[at].astype("u1").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(rows, pa.binary()), pa.array(labels, pa.binary())], ["h", "x", "y"])
+
+    own = pages.where(F.length("html") > 0).select(F.xxhash64("page_id", "html").alias("h"), "html")
+    chosen = Scratch(pages.sparkSession, "html").save(sample(own.select("h").distinct(), pages_bound, "h"), "chosen")
+    some = own.join(F.broadcast(chosen), "h").mapInArrow(look, "h long, x binary, y binary").groupBy("h").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    found = sorted(some.collect())
+    found = [(np.frombuffer(r["x"], "<f4").reshape(-1, n).astype(float), np.frombuffer(r["y"], "u1")) for r in found]
     if not found or not sum(len(f[1]) for f in found):
         return None
     x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(float)
     share = max(y.mean(), 1e-6), max(1 - y.mean(), 1e-6)
     weight = np.where(y == 1, 0.5 / share[0], 0.5 / share[1])
-    forms = []  # as it is, cues hidden, under a good cue, under a bad one
-    for cues, labels, w in ((None, y, 1.0), ((0, 0), y, 0.3), ((1, 0), np.ones(len(y)), 0.3), ((0, 1), np.zeros(len(y)), 0.3)):
+    forms = [(x, y, weight)]
+    for cues, tokens, labels in (((0, 0), True, y), ((0, 0), False, y), ((1, 0), False, np.ones(len(y))), ((0, 1), False, np.zeros(len(y)))):
         form = x.copy()
-        if cues:
-            form[:, CUES] = cues
-        forms.append((form, labels, w * weight))
+        form[:, CUES] = cues
+        if not tokens:
+            form[:, TOKENS:] = 0
+        forms.append((form, labels, 0.3 * weight))
     x, y, weight = (np.concatenate([f[k] for f in forms]) for k in range(3))
     return boost(x, y, weight)
 

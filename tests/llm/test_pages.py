@@ -2,8 +2,10 @@
 
 import html
 import re
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lexitide.llm import op2_urls, op5_html
@@ -121,4 +123,102 @@ def test_awkward_pages(spark, trees):
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert {r.text for r in got if r.page_id in (1, 2, 7)} == {""}
     assert op5_html.fit(df.limit(0)) is None and op5_html.extract(df.limit(0), trees).collect() == []
-    assert {r.text for r in op5_html.extract(df, None).collect()} == {""}
+    kept = {r.page_id: r.text for r in op5_html.extract(df, None).collect()}  # without trees all text stays
+    assert kept[3] == "no markup at all" and kept[None] == "unclosed bold" and kept[2] == ""
+
+
+def test_pages_without_cues(spark, pages):
+    """Without telling tags and tokens anywhere, density labels: nearly all of the article stays, most of the rest goes."""
+    source = pages.limit(300).collect()
+    plain = [(r.page_id, r.url, re.sub(r"(</?)(?:article|nav|footer|header|aside|main|section|form)\b", r"\1div", re.sub(r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", r.html))) for r in source]
+    bare = spark.createDataFrame(plain, "page_id long, url string, html string")
+    trees = op5_html.fit(bare)
+    assert trees is not None and not any((op5_html.cue_labels(op5_html.features(p, p.blocks())) >= 0).any() for p in map(op5_html.Page, (r[2] for r in plain[:20])))
+    cued = op5_html.fit(pages)
+    want = {r.page_id: op5_html.main_text(r.html, cued) for r in source}
+    got = {r.page_id: r.text for r in op5_html.extract(bare, trees).collect()}
+    common = {i: len(set(got[i].split("\n")) & set(want[i].split("\n"))) for i in want}
+    assert all(got.values())
+    assert np.mean([common[i] / len(set(want[i].split("\n"))) for i in want]) > 0.9
+    assert np.mean([common[i] / len(set(got[i].split("\n"))) for i in want]) > 0.7
+
+
+def test_long_pages_cost_little():
+    pages = ['<a "' * 250_000, '<a "' * 250_001 + ">", '<a b="' * 150_001 + ">", "<!" * 500_000, "<div>" * 50_000 + "</ul>" * 50_000, "<div>" * 50_000 + "</div>" * 50_000, "<center>" * 50_000 + "<li>" * 50_000, "<a " * 300_000]
+    began = time.monotonic()
+    for html in pages:
+        page = op5_html.Page(html)
+        op5_html.features(page, page.blocks())
+    assert time.monotonic() - began < 60
+
+
+def test_links_of_long_pages(spark):
+    html = '<a "' * 250_000 + '<a title=x href="http://other.org/x">t</a>'
+    began = time.monotonic()
+    assert [(r.src, r.dst, r.n) for r in op2_urls.host_links(spark.createDataFrame([("http://h/", html)], "url string, html string")).collect()] == [("h", "other.org", 1)]
+    assert time.monotonic() - began < 60
+
+
+def test_rank_of_many_hosts(spark):
+    """100,000 hosts, one of which a third of all links come from, against power iteration; trust and distrust alike."""
+    rng = np.random.default_rng(3)
+    n = 100_000
+    src, dst = np.where(rng.random(400_000) < 0.33, 0, rng.integers(0, n - 1000, 400_000)), (n * rng.random(400_000) ** 2).astype(int)
+    src, dst = src[src != dst], dst[src != dst]
+    both = np.unique(np.stack([src, dst], 1), axis=0, return_counts=True)
+    links = spark.createDataFrame(pd.DataFrame({"src": [f"h{i}" for i in both[0][:, 0]], "dst": [f"h{i}" for i in both[0][:, 1]], "n": both[1]}))
+    for a, b in ((0, 1), (1, 0)):
+        edges = links if a == 0 else links.select(links.dst.alias("src"), links.src.alias("dst"), "n")
+        seeds = np.zeros(n)
+        seeds[::1000] = 1.0
+        got = op2_urls.propagate(Scratch(spark, "t"), edges, spark.createDataFrame([(f"h{i}", 1.0) for i in range(0, n, 1000)], "host string, weight double"), rounds=2)
+        got = {r.host: r.rank for r in got.collect()}
+        out, x, start = np.bincount(both[0][:, a], both[1], n), seeds / seeds.sum(), seeds / seeds.sum()
+        for _ in range(2):
+            share = np.where(out[both[0][:, a]] > 0, x[both[0][:, a]] * both[1] / np.maximum(out[both[0][:, a]], 1), 0)
+            moved = 0.85 * np.bincount(both[0][:, b], share, n)
+            x = moved + (1 - moved.sum()) * start
+        assert np.allclose([got.get(f"h{i}", 0.0) for i in range(n)], x, atol=1e-12)
+
+
+def test_verdicts_like_brute_force(spark):
+    """Rules, hosts, trust and distrust of generated pages, written plainly."""
+    rng = np.random.default_rng(11)
+    hosts = ["a.org", "example.org", "x.com", "y.com", "HUB.net", *(f"n{i}.net" for i in range(25))]
+    rows = []
+    for i in range(400):
+        host = "HUB.net" if i % 3 == 0 else hosts[int(rng.integers(len(hosts)))]
+        path = ["", "/", "/fr/1", "/de/2", "/es/", "/en/1", "/x?y", "#z"][int(rng.integers(8))]
+        links = "".join(f'<A class="k" HREF = \'//{hosts[int(rng.integers(len(hosts)))]}/q\'>t</A>' for _ in range(int(rng.integers(4))))
+        rows.append((i, None if i % 50 == 7 else f"http://{host}{path}", links))
+    cut = lambda url: (lambda m: (m[1].lower(), m[2]) if m else ("", ""))(re.match(r".*?://([^/?#]*)([^?#]*)", url or ""))
+    where, by_rule, n = {}, {}, {}
+    for i, url, _ in rows:
+        host, path = where[i] = cut(url)
+        fits = [(len(r), v, r) for v, r in op2_urls.RULES if (host == r[: r.index("/")] or host.endswith("." + r[: r.index("/")])) and path.startswith(r[r.index("/") :])]
+        by_rule[i] = max(fits)[1:] if fits else (None, None)
+        n[host] = n.get(host, 0) + 1
+    names = sorted(set(n) - {""})
+    every = sorted(set(names) | {h.lower() for h in hosts})
+    a = np.zeros((len(every), len(every)))
+    for i, _, html in rows:
+        for to in re.findall(r"//([^/]+)/q", html):
+            if where[i][0] and where[i][0] != to.lower():
+                a[every.index(where[i][0]), every.index(to.lower())] += 1
+
+    def rank(links, verdict):
+        start = np.array([sum(by_rule[i][0] == verdict for i in where if where[i][0] == h) / n[h] if h in names else 0.0 for h in every])
+        start /= start.sum()
+        x, out = start, links.sum(1)
+        for _ in range(op2_urls.ROUNDS):
+            moved = op2_urls.DAMPING * ((x / np.maximum(out, 1)) @ links)
+            x = moved + (1 - moved.sum()) * start
+        return len(names) * x
+
+    trust, distrust = rank(a, "allow"), rank(a.T, "block")
+    got = {r.page_id: r for r in op2_urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (host, path) in where.items():
+        r, k = got[i], every.index(host) if host else None
+        assert (r.host, r.path, r.rule) == (host, path, by_rule[i][1])
+        assert (r.trust, r.distrust) == pytest.approx((trust[k], distrust[k]) if host else (0, 0))
+        assert r.verdict == (by_rule[i][0] or ("block" if host and distrust[k] - trust[k] > op2_urls.THRESHOLD else "allow"))
