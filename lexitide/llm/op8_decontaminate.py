@@ -2,17 +2,19 @@
 
 The items are the collection, the passages of every training document the queries: windows of words that
 overlap so far that any occurrence of an item lies in one of them whole. Impacts are divided by the item's score against itself, so one
-threshold holds for all items: a passage retrieves every item of which it reaches RETRIEVE of the own score.
+threshold holds for all items: a passage retrieves every item of which it reaches RETRIEVE of the own score. Items are indexed by
+length, from one power of two to the next, so a long item widens no other's windows.
 Items lie in blocks; each term has its largest impact for each block. A block is skipped if the sum of these for a
 passage's terms doesn't reach the threshold; inside a block WAND moves to the pivot, the first item that the terms up to it could lift over the threshold. All this skips only what
 can't reach the threshold.
 
 Retrieved pairs are verified on the window's text: at least OVERLAP of the item's five-word shingles, of question and
-answer together, and of the words of its answer. The question is what stands before the last ? or, without one,
+answer together, QUESTION of the question's and OVERLAP of the words of its answer. The question is what stands before the last ? or, without one,
 before the last sentence; an item of one sentence is split at three quarters.
 
 Items are collected and broadcast in shards of at most SHARD_WORDS words, one pass over the documents for each, so
-the broadcast is bounded whatever the size of the benchmark. Null and empty texts, and items without words, match nothing.
+the broadcast is bounded whatever the size of the benchmark. Document frequencies and the mean length are those of all items,
+counted in Spark where there are several shards, so scores don't depend on the shards. Null and empty texts, and items without words, match nothing.
 Every input row gives its own rows; null doc_ids are kept; an empty table, of either kind, gives an empty result; other
 columns are ignored.
 """
@@ -22,17 +24,19 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexitide.runtime import bound_batches, table
+from lexitide.runtime import Scratch, bound_batches, table
 
 K1, B = 1.2, 0.75
-RETRIEVE, OVERLAP, SHINGLE = 0.65, 0.8, 5
+RETRIEVE, OVERLAP, QUESTION, SHINGLE = 0.65, 0.8, 0.6, 5
 BLOCKS, STRIDE, SHARD_WORDS = 64, 64, 200_000
 
 _WORD = re.compile(r"\w+")
@@ -58,17 +62,31 @@ def shingles(own: list[str]) -> set[tuple[str, ...]]:
     return {tuple(own[i : i + SHINGLE]) for i in range(max(1, len(own) - SHINGLE + 1))} if own else set()
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items with words: their number, mean length, and how many have each word (at least the words needed)."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, items: list[tuple]) -> Statistics:
+        tokens = [x for x in (words(t) for _, t in items) if x]
+        return cls(len(tokens), float(np.mean([len(x) for x in tokens])) if tokens else 1.0, Counter(w for x in tokens for w in set(x)))
+
+
 class Index:
-    """Postings of the items, by term: item numbers ascending and normalised impacts."""
+    """Postings of items of similar length, by term: item numbers ascending and normalised impacts."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple], known: Statistics | None = None):
         items = [(i, t) for i, t in items if words(t)]
+        known = known or Statistics.of(items)
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
         tokens = [words(t) for t in self.texts]
-        n, mean = len(items), np.mean([len(x) for x in tokens]) if items else 1.0
-        df = Counter(w for x in tokens for w in set(x))
-        self.vocabulary = {w: k for k, w in enumerate(sorted(df))}
+        n, mean, df = known.n, known.mean, known.df
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for x in tokens for w in x}))}
         own: list[dict[int, float]] = []
         for x in tokens:
             norm = K1 * (1 - B + B * len(x) / mean)
@@ -81,8 +99,8 @@ class Index:
                 postings[t].append((i, v))
         self.items = [np.array([p[0] for p in ps], dtype=np.int64) for ps in postings]
         self.impacts = [np.array([p[1] for p in ps]) for ps in postings]
-        self.block = max(1, -(-n // BLOCKS))  # items of a block
-        self.block_most = np.zeros((len(postings) or 1, max(1, -(-n // self.block))), np.float32)
+        self.block = max(1, -(-len(items) // BLOCKS))  # items of a block
+        self.block_most = np.zeros((len(postings) or 1, max(1, -(-len(items) // self.block))), np.float32)
         for t, (x, v) in enumerate(zip(self.items, self.impacts)):
             np.maximum.at(self.block_most[t], x // self.block, np.nextafter(v.astype(np.float32), np.float32(2)))
         # a passage must reach past every item's length twice over
@@ -151,9 +169,8 @@ class Index:
         q = len(asked & held) / len(asked) if len(question) >= SHINGLE else len(set(question) & bag) / max(1, len(set(question)))
         return len(want & held) / len(want), q, len(set(answer) & bag) / max(1, len(set(answer)))
 
-    def matches(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
-        """(item, score, overlap, question, answer) of the verified items of a text, each item's best passage."""
-        own = words(text)
+    def matches(self, own: list[str]) -> list[tuple]:
+        """(item_id, score, overlap, question, answer) of the verified items in a text of these words, each item's best passage."""
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in own], dtype=np.int64)
         best: dict[int, tuple] = {}
@@ -163,29 +180,61 @@ class Index:
                 terms = terms[1:] if terms[0] < 0 else terms
                 for item, score in self.retrieve(terms) if len(terms) else ():
                     overlap, q, a = self.verify(item, own[start:end])
-                    if overlap >= OVERLAP and a >= OVERLAP and (item not in best or (overlap, score) > (best[item][1], best[item][0])):
+                    if overlap >= OVERLAP and q >= QUESTION and a >= OVERLAP and (item not in best or (overlap, score) > (best[item][1], best[item][0])):
                         best[item] = (score, overlap, q, a)
-        return [(i, *v) for i, v in sorted(best.items())]
+        return [(self.ids[i], *v) for i, v in sorted(best.items())]
+
+
+class Indexes:
+    """An index for each class of lengths: up to STRIDE words, twice that, four times, and so on."""
 
+    def __init__(self, items: list[tuple], known: Statistics | None = None):
+        known, classes = known or Statistics.of(items), {}
+        for i, t in items:
+            if n := len(words(t)):
+                classes.setdefault(max(0, (n - 1) // STRIDE).bit_length(), []).append((i, t))
+        self.parts = [Index(own, known) for _, own in sorted(classes.items())]
+
+    def matches(self, text: str | None) -> list[tuple]:
+        own = words(text)
+        return [m for part in self.parts for m in part.matches(own)]
+
+
+def shards(items: DataFrame, shard_words: int) -> Iterator[Indexes]:
+    """Indexes of at most shard_words words (or one item) each, read one at a time."""
+    spark = items.sparkSession
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [words(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(map(len, own), pa.int64()), pa.array([sorted(set(x)) for x in own], pa.list_(pa.string()))], ["shard", "length", "terms"])
 
-def shards(items: DataFrame, shard_words: int) -> list[list[tuple[int, str]]]:
-    """The items in lists of at most shard_words words (or one item), read one shard at a time."""
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).collect()[0][0] or 0
     n = max(1, -(-total // shard_words))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    if n > 1:
+        scratch = Scratch(spark, "benchmark")
+        counted = scratch.save(items.select("shard", "text").mapInArrow(terms, "shard int, length long, terms array<string>").where("length > 0"), "terms")
+        number, mean = counted.agg(F.count("*"), F.avg("length")).collect()[0]
+        each = counted.select("shard", F.explode("terms").alias("term"))
+        df = scratch.save(each.groupBy("term").agg(F.count("*").alias("n")), "frequencies")
     for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
+        part = [(r["item_id"], r["text"]) for r in items.where(F.col("shard") == k).orderBy("item_id", "text").collect()]
+        known = None
+        if n > 1:  # the frequencies of the shard's own terms, at most shard_words
+            known = Statistics(number, mean, dict(df.join(each.where(F.col("shard") == k).select("term").distinct(), "term").select("term", "n").toLocalIterator()))
+        yield Indexes(part, known)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap and answer_overlap of every leaked item in docs."""
     spark = docs.sparkSession
     bound_batches(spark)
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    kind, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
     names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
     found = []
     for part in shards(items.select("item_id", "text").where("text is not null"), shard_words):
-        index = spark.sparkContext.broadcast(Index(part))
+        index = spark.sparkContext.broadcast(part)
 
         def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
@@ -196,10 +245,10 @@ def contaminated(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WOR
                         at.append(i)
                         rows.append(m)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array([own.ids[r[0]] for r in rows]).cast(ITEM[item_kind]), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(1, 5))], names
+                    [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array([r[0] for r in rows], to_arrow_type(item_type)), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(1, 5))], names
                 )
 
-        found.append(docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, item_id {item_kind}, score double, overlap double, question_overlap double, answer_overlap double"))
+        found.append(docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, item_id {item_type.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -209,7 +258,7 @@ def uncontaminated(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_W
     bound_batches(spark)
     at = docs.columns.index("text")
     for part in shards(items.select("item_id", "text").where("text is not null"), shard_words):
-        index = spark.sparkContext.broadcast(Index(part))
+        index = spark.sparkContext.broadcast(part)
 
         def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
@@ -220,8 +269,5 @@ def uncontaminated(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_W
     return docs
 
 
-ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
