@@ -4,16 +4,18 @@ A document's set are its distinct word shingles; two documents are linked if 100
 
 1. One pass makes a 128-bit fingerprint of each set, HASHES MinHash values, BANDS band keys of ROWS values each,
    and an odd sketch: each MinHash value with its position flips one of SKETCH bits. Documents with equal fingerprints are one
-   class and go on as their smallest doc_id.
+   class, with a number of its own, whose text is read from the document with the smallest doc_id.
 2. Band keys that two or more classes share are buckets. Round one pairs each member with the bucket's
    smallest, so a bucket of m members makes m - 1 pairs. Pairs whose sketches put the similarity clearly below the
    threshold are dropped (the population count of the XOR estimates it), the rest is verified on the full sets.
 3. The links are joined to components. A pair that is in one component can't change the result, so what is left
    are pairs of a bucket's members in different components. Small buckets (up to SMALL members) pair them in a join. In
-   larger ones the sketches are compared in blocks of CHUNK members. In round two the likeliest partner of each member outside a block's
-   largest component, in every other component, comes out and is verified; in round three, where members are still apart, a block verifies all
+   larger ones the members outside the bucket's largest component look at all members, by sketches: blocks of up to CHUNK lookers
+   meet blocks of up to CHUNK members, so members are copied once for each block of lookers. In round two the likeliest partner
+   of each looker in every other component comes out and is verified; in round three, where members are still apart, a block verifies all
    likely partners itself, through an inverted index of its shingles, and yields one link at most between a member
    and a component. So the rows that come out don't grow with the square of a bucket.
+4. Classes with over a thousandth of the documents, under a thousand, are broadcast to their documents; the others are joined.
 
 The chance that a pair at the threshold shares no band is (1 - 0.8^8)^44, 0.03 %; further links of its
 group hide even that. The sketch's margin is over four standard deviations.
@@ -34,7 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexitide.llm.components import components
+from lexitide.llm.bounds import join_counted
+from lexitide.llm.components import components, smallest_names
 from lexitide.runtime import Scratch, bound_batches, table
 
 ROWS, BANDS = 8, 44
@@ -87,6 +90,10 @@ class Shingler:
         return np.unique(out)
 
 
+def fingerprint(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def minhashes(shingles: np.ndarray) -> np.ndarray:
     """HASHES minima over 32-bit images of the shingles; long sets in slices."""
     low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
@@ -118,7 +125,7 @@ def sketch_similarity(flipped):
 #: The count above which the estimate is under the threshold by more than the margin.
 MOST_FLIPPED = int(SKETCH / 2 * (1 - np.exp(-4 * HASHES / SKETCH * (1 - THRESHOLD + MARGIN))))
 
-SIGNED = "doc_id long, n_shingles long, print binary, keys array<long>, sketch array<long>"
+SIGNED = "doc_id long, text_key long, n_shingles long, print binary, keys array<long>, sketch array<long>"
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -130,27 +137,29 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 s = shingle(text)
                 low = minhashes(s)
                 n.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
+                prints.append(fingerprint(s))
                 keys.append(band_keys(low) if len(s) else np.zeros(0, np.int64))
                 sketches.append(np.frombuffer(odd_sketch(low), dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "print", "keys", "sketch"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n_shingles", "print", "keys", "sketch"],
             )
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(work, SIGNED)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(work, SIGNED)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the documents whose id is in ids."""
+def shingle_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the classes (id, doc_id, print), from the texts of their doc_ids."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(width)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["id", "shingles"])
+            sets = [shingle(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(fingerprint, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "print", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
-    return texts.mapInArrow(shingled, "id long, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(classes.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(shingled, "doc_id long, print binary, shingles binary")
+    return sets.join(classes.hint("merge"), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select("id", "shingles")
 
 
 def verified(scratch: Scratch, pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,14 +199,10 @@ def _likely(group: pd.DataFrame, rows: np.ndarray, right: np.ndarray, component:
         yield x[s], right[t], flipped[s, t]
 
 
-def _sides(group: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """(who looks, at whom) of a block, and the components. Members of its largest component needn't look: the others find them."""
-    chunk, component = group["chunk"].to_numpy(), group["component"].to_numpy()
-    low, high = group["low"].iloc[0], group["high"].iloc[0]
-    names, counts = np.unique(component, return_counts=True)
-    other = component != names[counts.argmax()]
-    ways = [(low, low)] if low == high else [(low, high), (high, low)]
-    return [(np.nonzero((chunk == x) & other)[0], np.nonzero(chunk == y)[0]) for x, y in ways], component
+def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a block that look, rows that they look at, and the components."""
+    looks = group["looks"].to_numpy()
+    return np.nonzero(looks)[0], np.nonzero(~looks)[0], group["component"].to_numpy()
 
 
 def _paired(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
@@ -206,81 +211,89 @@ def _paired(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
 
 
 def best_partners(group: pd.DataFrame) -> pd.DataFrame:
-    """Of each member outside the largest component, its likeliest partner in every other one."""
-    sides, component = _sides(group)
+    """Of each looker, its likeliest partner in every other component."""
+    rows, others, component = _sides(group)
     ids, a, b = group["id"].to_numpy(), [], []
-    for rows, others in sides:
-        for s, t, flipped in _likely(group, rows, others, component):
-            order = np.lexsort((flipped, component[t], s))
-            s, t = s[order], t[order]
-            first = np.ones(len(s), dtype=bool)
-            first[1:] = (s[1:] != s[:-1]) | (component[t[1:]] != component[t[:-1]])
-            a.append(ids[s[first]])
-            b.append(ids[t[first]])
+    for s, t, flipped in _likely(group, rows, others, component):
+        order = np.lexsort((flipped, component[t], s))
+        s, t = s[order], t[order]
+        first = np.ones(len(s), dtype=bool)
+        first[1:] = (s[1:] != s[:-1]) | (component[t[1:]] != component[t[:-1]])
+        a.append(ids[s[first]])
+        b.append(ids[t[first]])
     return _paired(a, b)
 
 
 def links_between(group: pd.DataFrame) -> pd.DataFrame:
-    """Between a member and another component one link, if there is any: all likely partners are verified on full sets."""
-    sides, component = _sides(group)
+    """Between a looker and another component one link, if there is any: all likely partners are verified on full sets."""
+    rows, others, component = _sides(group)
     ids, a, b = group["id"].to_numpy(), [], []
     index = None
-    for rows, others in sides:
-        for s, t, _ in _likely(group, rows, others, component):
-            if not len(s):
-                continue
-            if index is None:  # shingle -> members
-                sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-                size = np.array([len(x) for x in sets])
-                values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-                order = np.argsort(values, kind="stable")
-                index = values[order], owner[order]
-            for x in np.unique(s):
-                lo, hi = (np.searchsorted(index[0], sets[x], side) for side in ("left", "right"))
-                length = hi - lo
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-                common = np.bincount(index[1][at], minlength=len(sets))
-                y = t[s == x]
-                y = y[100 * common[y] >= 80 * (size[x] + size[y] - common[y])]
-                y = y[np.unique(component[y], return_index=True)[1]]
-                a.append(np.full(len(y), ids[x]))
-                b.append(ids[y])
+    for s, t, _ in _likely(group, rows, others, component):
+        if not len(s):
+            continue
+        if index is None:  # shingle -> members
+            sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+            size = np.array([len(x) for x in sets])
+            values, owner = np.concatenate([sets[i] for i in others]), np.repeat(others, size[others])
+            order = np.argsort(values, kind="stable")
+            index = values[order], owner[order]
+        for x in np.unique(s):
+            lo, hi = (np.searchsorted(index[0], sets[x], side) for side in ("left", "right"))
+            length = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+            common = np.bincount(index[1][at], minlength=len(sets))
+            y = t[s == x]
+            y = y[100 * common[y] >= 80 * (size[x] + size[y] - common[y])]
+            y = y[np.unique(component[y], return_index=True)[1]]
+            a.append(np.full(len(y), ids[x]))
+            b.append(ids[y])
     return _paired(a, b)
 
 
 def in_blocks(held: DataFrame, work) -> DataFrame:
-    """work over blocks of large buckets (key, id, n, component, ...): (a, b).
-
-    A bucket falls into chunks and every two chunks meet in a group of their own, so no group is larger than two chunks."""
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    dealt = held.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.withColumn("low", F.least("chunk", "with")).withColumn("high", F.greatest("chunk", "with")).drop("with", "n")
+    """work over blocks of large buckets (key, id, n, component, most, apart, ...): (a, b).
+
+    The apart members outside the component most look; blocks of them meet blocks of all n members, each in a group of its own."""
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), chunks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    lookers = held.where("component <> most").withColumn("low", own("apart")).withColumn("high", each("n")).withColumn("looks", F.lit(True))
+    everyone = held.withColumn("high", own("n")).withColumn("low", each("apart")).withColumn("looks", F.lit(False))
+    dealt = lookers.unionByName(everyone).drop("n", "most", "apart")
     return dealt.groupBy("key", "low", "high").applyInPandas(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, width: int = 5, by_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document of docs (doc_id, text).
+
+    by_text adds text_key, xxhash64 of the text, and gives a row for each pair of doc_id and text_key."""
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "neardup")
     signed = scratch.save(signatures(docs, width), "signed")
 
     full = signed.where("n_shingles > 0")
-    classes = scratch.save(full.groupBy("print").agg(F.min("doc_id").alias("id")), "classes")
-    heads = full.join(classes, (full["print"] == classes["print"]) & (full["doc_id"] == classes["id"])).dropDuplicates(["id"]).select("id", "keys", "sketch")
+    classes = full.select("print", "doc_id").distinct().groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    heads = full.join(classes.select("print", "doc_id", "id"), ["print", "doc_id"]).dropDuplicates(["print", "doc_id"]).select("id", "keys", "sketch")
     heads = scratch.save(heads, "heads")
     keyed = heads.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     buckets = scratch.save(keyed.join(shared, "key").select("key", "id", "n", "first"), "buckets")
-    sketches = scratch.save(heads.select("id", "sketch").join(buckets.select("id").distinct(), "id", "left_semi"), "sketches")
-    sets = scratch.save(shingle_sets(docs, sketches.select("id"), width).dropDuplicates(["id"]), "sets")
+    bucketed = scratch.save(buckets.select("id").distinct(), "bucketed")
+    sketches = scratch.save(heads.select("id", "sketch").join(bucketed, "id", "left_semi"), "sketches")
+    sets = scratch.save(shingle_sets(docs, classes.select("id", "doc_id", "print").join(bucketed, "id", "left_semi"), width), "sets")
+    scratch.drop(heads)
 
     tested = scratch.save(buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "tested")
     links = verified(scratch, tested, sketches, sets)
     for last in (False, True):
         grouped = components(scratch, links)
         held = buckets.select("key", "id", "n").join(grouped, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        size = F.struct("size", "component")
+        mixed = held.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(size).alias("top"))
+        mixed = mixed.where("parts > 1").select("key", F.col("top.component").alias("most"), (F.col("all") - F.col("top.size")).alias("apart"))
         held = scratch.save(held.join(mixed, "key"), "mixed")
         large = held.where(F.col("n") > SMALL).join(sketches, "id")
         if last:
@@ -292,11 +305,15 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
             new = verified(scratch, scratch.save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs"), sketches, sets)
         links = scratch.save(links.unionByName(new), "links")
     grouped = components(scratch, links)
-    scratch.drop(sets, heads)
-
-    out = signed.select("doc_id", "n_shingles", "print").distinct().join(classes, "print", "left").join(grouped, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    scratch.drop(sets)
+
+    info = classes.join(smallest_names(grouped, classes, "doc_id"), "id", "left")
+    info = scratch.save(info.select("print", "copies", F.coalesce("component_id", "doc_id").alias("component_id")), "info")
+    names = ["doc_id", "n_shingles", *(["text_key"] if by_text else [])]
+    members = scratch.save(signed.select(*names, F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")).distinct(), "members")
+    component = F.coalesce("component_id", "doc_id")
+    out = join_counted(members, info, "print", "copies", members.count())
+    return out.select(*names, component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from lexitide.llm import op1_tokens, op3_packing, op4_pii, op6_neardup, op7_language, op8_decontaminate, op10_quality
 from tests.llm.conftest import LONG, awkward_rows
@@ -44,6 +46,15 @@ def test_token_counts(awkward, model, head):
     assert got == want
 
 
+def test_frequent_pretokens_are_bounded(spark):
+    rows = [(f"p{i}", max(1, 4000 // (i + 1)), 2) for i in range(2000)] + [("long" * 400, 3000, 9)]
+    pieces = spark.createDataFrame(rows, "pretoken string, n long, pieces long")
+    for head, size in ((100, 1 << 20), (1 << 18, 3000)):
+        got = op1_tokens.frequent(pieces, head, size).collect()
+        assert 0 < len(got) <= head and sum(len(r.pretoken) for r in got) <= size and "p0" in {r.pretoken for r in got}
+    assert "long" * 400 in {r.pretoken for r in op1_tokens.frequent(pieces).collect()}  # a common long one is no hot key
+
+
 def test_token_counts_empty(empty):
     assert op1_tokens.token_counts(empty).collect() == []
 
@@ -105,6 +116,17 @@ def test_base_spans_like_the_patterns():
 def test_long_runs_cost_little():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "a@" * 150_000, "(at) " * 50_000):
         op4_pii.candidates(text)
+    began = time.monotonic()
+    for text in ("a" * 1_000_000 + " " + "b" * 300 + "@x.com", "b" * 1_000_000 + "@x.com", "a.@" * 300_000, "x (at) " * 140_000):
+        op4_pii.candidates(text)
+    assert time.monotonic() - began < 30
+
+
+def test_hot_contexts_are_one_row(spark):
+    """A context that most documents share is one row of the bounded sample, and counts as often as it occurs."""
+    docs = spark.createDataFrame([(i, "call (212) 555-0100 today") for i in range(400)] + [(1000 + i, f"fax {i} at (212) 555-01{i:02d} now") for i in range(60)], "doc_id long, text string")
+    model = op4_pii.fit(docs, sample=20)
+    assert all("phone" in r.spans for r in op4_pii.annotate(docs, model).where("doc_id < 1000").collect())
 
 
 def test_pii(spark, awkward, empty):
@@ -188,6 +210,32 @@ def test_near_duplicates_like_brute_force(spark, width):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_large_mixed_buckets(spark, monkeypatch):
+    """Buckets of many chunks of lookers and members lose nothing."""
+    monkeypatch.setattr(op6_neardup, "CHUNK", 16)
+    rng = random.Random(6)
+    texts = {}
+    for k in range(3):  # groups that share much, so that they meet in buckets without being one component
+        base = [f"w{i}" for i in range(56)] + [f"g{k}x{i}" for i in range(4 * k)]
+        for i in range(90):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = f"n{rng.randint(0, 400)}"
+            texts[100 * k + i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    component, size = brute_components(texts, 2)
+    got = op6_neardup.near_duplicates(docs, 2).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (component[i], size[i]) for i in texts}
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Every text of a doc_id is linked as it is."""
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one + " more"), (3, two), (4, None), (4, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op6_neardup.near_duplicates(docs, 2).collect())
+    assert got == [(1, 29, 1), (1, 29, 1), (2, 30, 1), (3, 29, 1), (4, 0, 4)] or got == [(1, 29, 1), (2, 30, 1), (3, 29, 1), (4, 0, 4)]
+
+
 def test_near_duplicates_awkward(awkward, empty):
     rows = {r.doc_id: r for r in op6_neardup.near_duplicates(awkward).collect()}
     assert set(rows) == set(range(9)) and rows[4].component_id == 3 and not rows[4].kept and rows[0].component_id == 0 and rows[1].n_shingles == 0
@@ -273,6 +321,7 @@ def test_a_word_counts_as_often_as_it_occurs(small):
 def test_retrieval_skips_nothing(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     index = op8_decontaminate.Index(items)
+    assert index.ids == [i for i, _ in items]
     rng = random.Random(4)
     pool = [w for _, t in items for w in op8_decontaminate.words(t)]
     for _ in range(400):
@@ -294,15 +343,33 @@ def test_leaks(spark, sf, awkward, empty):
         "doc_id long, text string",
     )
     ids = [r.item_id for r in items.orderBy("item_id").limit(3).collect()]
+    scores = []
     for shard in (200_000, 300):
-        got = sorted(((r.doc_id or -1), r.item_id) for r in op8_decontaminate.contaminated(docs, items, shard).collect())
-        assert got == sorted([(1, ids[0]), (2, ids[1]), (5, ids[0]), (5, ids[2]), (-1, ids[0])])
+        found = op8_decontaminate.contaminated(docs, items, shard).collect()
+        assert sorted(((r.doc_id or -1), r.item_id) for r in found) == sorted([(1, ids[0]), (2, ids[1]), (5, ids[0]), (5, ids[2]), (-1, ids[0])])
+        scores.append(sorted(((r.doc_id or -1), r.item_id, round(r.score, 9)) for r in found))
+    assert scores[0] == scores[1]  # statistics are those of all items, whatever the shards
+    for kind in ("smallint", "string", "decimal(20,0)"):
+        assert op8_decontaminate.contaminated(docs, items.select(F.col("item_id").cast(kind), "text")).count() == 5
     assert op8_decontaminate.contaminated(awkward, items).collect() == []
     assert sorted(r.doc_id for r in op8_decontaminate.uncontaminated(docs, items).collect()) == [3, 4, 6, 6]
     assert op8_decontaminate.uncontaminated(awkward, items).columns == awkward.columns
     assert op8_decontaminate.contaminated(empty, items).collect() == [] == op8_decontaminate.contaminated(docs, items.limit(0)).collect()
 
 
+def test_items_of_all_lengths(spark):
+    """A long item and a short one are each found, in windows of their own; a question that is another's isn't."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate((3, 12, 63, 64, 65, 500, 5000))]
+    docs = [(k, "start " * 70 + t + " end" * 90) for k, t in items] + [(100, "nothing of it " * 300)]
+    got = op8_decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k, _ in items]
+    question, answer = "one two three four five six?", " ".join(f"a{i}" for i in range(40)) + "."
+    index = op8_decontaminate.Indexes([(1, f"{question} {answer}")])
+    assert index.matches(f"{question} {answer}") and not index.matches(f"six five four three two one? {answer}")
+
+
 def test_question_and_answer():
     assert op8_decontaminate.question_and_answer("Who? Me, of course.") == (["who"], ["me", "of", "course"])
     assert op8_decontaminate.question_and_answer("First part. Second part.") == (["first", "part"], ["second", "part"])
