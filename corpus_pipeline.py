@@ -5,7 +5,7 @@ Rows with null doc_ids pass the stages that go by doc_id; extra columns are carr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexitide.llm import op3_packing, op4_pii, op6_neardup, op7_language, op8_decontaminate
@@ -18,9 +18,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id; one of repeated rows."""
-    gone = op6_neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates, the one with the smallest doc_id.
+
+    Of rows with one doc_id and text the one whose columns, written as JSON, sort first stays. Rows with null doc_ids all stay."""
+    text_key = F.xxhash64("text")
+    found = op6_neardup.near_duplicates(docs, by_text=True).select("doc_id", "text_key", "kept")
+    rows = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key")).agg(F.count("*").alias("n"))
+    # only what goes or repeats travels on: a document that is neither meets nothing
+    known = found.join(rows, ["doc_id", "text_key"]).where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("kept").alias("__kept"))
+    known = Scratch(spark, "pipeline").save(known, "copies")
+    here = (docs["doc_id"].cast("long") == known["__id"]) & (text_key == known["__key"])
+    clean = docs.join(known, here, "left_anti")
+    first = Window.partitionBy("__id", "__key").orderBy(F.to_json(F.struct(*docs.columns)))
+    repeated = docs.join(known.where("__kept"), here).withColumn("__n", F.row_number().over(first)).where("__n = 1").select(docs.columns)
+    return clean.unionByName(repeated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
