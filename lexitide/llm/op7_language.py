@@ -31,7 +31,7 @@ from lexitide.runtime import Scratch, bound_batches, table
 
 HIDDEN, SEGMENT, TRAIN_DOCS, TRAIN_WORDS, STEPS, BATCH, RATE = 12, 24, 4000, 40_000, 1500, 256, 0.01
 CACHE, SLICE = 500_000, 4096
-LEAST = 0.3  # a document below it is in none of the languages
+LEAST = 0.5  # a document below it is in none of the languages; chance gives one over their number
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -272,8 +272,8 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, net: Network | None, least: float = LEAST) -> DataFrame:
-    """docs, all columns, without the rows whose language is unknown or scores below least."""
+def identified(docs: DataFrame, net: Network | None, least: float = LEAST, languages: frozenset[str] | None = None) -> DataFrame:
+    """docs, all columns, without the rows whose language is unknown, scores below least or isn't one of languages (None: all that were learned)."""
     bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -281,7 +281,7 @@ def identified(docs: DataFrame, net: Network | None, least: float = LEAST) -> Da
         score = Scorer(net) if net else None
         for b in batches:
             out = _labels(score, b.column(at).to_pylist())
-            yield b.filter(pa.array([label != UNKNOWN and p >= least for label, p in out], pa.bool_()))
+            yield b.filter(pa.array([label != UNKNOWN and p >= least and (languages is None or label in languages) for label, p in out], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
