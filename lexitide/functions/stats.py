@@ -70,7 +70,7 @@ def piecewise(x: np.ndarray, y: np.ndarray, grid: np.ndarray, extra: np.ndarray
         return None
     best, extra = None, extra if extra is not None else np.zeros((len(x), 0))
     for knee in grid:
-        if min((x < knee).sum(), (x >= knee).sum()) < side:
+        if min((x <= knee).sum(), (x > knee).sum()) < side:
             continue
         fit = ols(y, np.column_stack([np.ones_like(x), x - knee, np.maximum(x - knee, 0), extra]))
         if best is None or fit["r2"] > best["r2"]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.functions import stats
+from lexitide.runtime import Scratch
 
 GRID = np.arange(1650, 1851, 10)
 
@@ -36,8 +37,9 @@ def linear(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def residuals(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """y less its line on log1p(x)."""
-    w = Window.partitionBy(*(keys or []))
-    out = df.withColumn("__x", F.log1p(x)).withColumn("__s", F.regr_slope(y, "__x").over(w)).withColumn("__i", F.regr_intercept(y, "__x").over(w))
+    own = df.withColumn("__x", F.log1p(x))
+    line = [F.regr_slope(y, "__x").alias("__s"), F.regr_intercept(y, "__x").alias("__i")]  # a row for each key, joined back
+    out = own.join(own.groupBy(*keys).agg(*line), keys) if keys else own.join(F.broadcast(own.agg(*line)))
     return out.withColumn("residual", F.col(y) - (F.col("__i") + F.col("__s") * F.col("__x"))).drop("__x", "__s", "__i")
 
 
@@ -69,25 +71,72 @@ def piecewise(points: DataFrame, keys: list[str], grid: np.ndarray = GRID, fixed
     return _by(points, keys, fit, "breakpoint double, rise double, fall double, r2 double, n long")
 
 
-def adjusted(points: DataFrame, keys: list[str], fixed: str, degree: int = 3) -> DataFrame:
-    """Points less their corpus effect: a polynomial in the bin with fixed effects, the effects' mean kept."""
+def adjusted(points: DataFrame, keys: list[str], fixed: str | list[str], degree: int = 3, grid: np.ndarray | None = None) -> DataFrame:
+    """Points less their fixed effects: a trend in the bin with effects of the fixed columns, the effects' mean kept.
+
+    The trend is a polynomial, or with a grid two lines that meet at the breakpoint with the best R2. points: keys, bin, fixed, mean."""
+    fixed = [fixed] if isinstance(fixed, str) else fixed
 
     def fit(pdf):
-        pdf = pdf.sort_values(["bin", fixed])
+        pdf = pdf.sort_values(["bin", *fixed])
         x, y = pdf["bin"].to_numpy(float), pdf["mean"].to_numpy(float)
         if len(pdf) < 10:
             return None
-        c = (x - x.mean()) / (x.std() or 1.0)
-        base, extra = np.column_stack([c**k for k in range(degree + 1)]), stats.dummies(pdf[fixed].astype(str))
+        extra = np.column_stack([stats.dummies(pdf[c].astype(str)) for c in fixed])
+        if grid is None:
+            c = (x - x.mean()) / (x.std() or 1.0)
+            base = np.column_stack([c**k for k in range(degree + 1)])
+        else:
+            found = stats.piecewise(x, y, grid, extra)
+            if found is None:
+                return None
+            knee = found["breakpoint"]
+            base = np.column_stack([np.ones_like(x), x - knee, np.maximum(x - knee, 0)])
         got = stats.ols(y, np.column_stack([base, extra]))
-        effect = extra @ got["coef"][degree + 1 :]
+        effect = extra @ got["coef"][base.shape[1] :]
         design = np.column_stack([base, np.tile(extra.mean(0), (len(base), 1))])
         line = design @ got["coef"]
         se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", design, got["cov"], design), 0))
-        return {"bin": pdf["bin"].to_numpy(), fixed: pdf[fixed].to_numpy(), "mean": y, "adjusted": y - effect + effect.mean(), "fitted": line, "se": se}
-
-    kinds = {c: points.schema[c].dataType.simpleString() for c in ("bin", fixed)}
-    return _by(points, keys, fit, f"bin {kinds['bin']}, {fixed} {kinds[fixed]}, mean double, adjusted double, fitted double, se double")
+        return {"bin": pdf["bin"].to_numpy(), **{c: pdf[c].to_numpy() for c in fixed}, "mean": y, "adjusted": y - effect + effect.mean(), "fitted": line, "se": se}
+
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("bin", *fixed)}
+    return _by(points, keys, fit, f"bin {kinds['bin']}, {', '.join(f'{c} {kinds[c]}' for c in fixed)}, mean double, adjusted double, fitted double, se double")
+
+
+def least_squares(df: DataFrame, y: str, x: list[str], fixed: str | None = None) -> DataFrame:
+    """(term, beta, se, t, p, low, high, n, r2, adjusted_r2) of y on x with an intercept, or with effects of the column fixed.
+
+    Demeaned by its group a regression has the coefficients that dummies give, and each group costs one degree of freedom;
+    so Spark sums the products of len(x) + 1 columns, however many groups there are, and the driver solves len(x) equations."""
+    rows = df.select(*([F.col(fixed).alias("__g")] if fixed else [F.lit(0).alias("__g")]), *(F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate([y, *x]))).na.drop()
+    names = [f"__{i}" for i in range(len(x) + 1)]
+    rows = Scratch(df.sparkSession, "regression").save(rows, "rows")
+    means = rows.groupBy("__g").agg(*(F.avg(c).alias(f"m{c}") for c in names), F.count("*").alias("__n"))
+    centred = rows.join(means, "__g").select(*((F.col(c) - F.col(f"m{c}")).alias(c) for c in names))
+    cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    got = centred.agg(*(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in cells), F.count("*").alias("n")).collect()[0]
+    groups = means.count()
+    sst = rows.agg((F.var_pop("__0") * F.count("*")).alias("s")).collect()[0]["s"]
+    xx, xy = np.zeros((len(x), len(x))), np.array([got[f"s0_{i + 1}"] or 0.0 for i in range(len(x))])
+    for i, j in cells:
+        if i:
+            xx[i - 1, j - 1] = xx[j - 1, i - 1] = got[f"s{i}_{j}"] or 0.0
+    n, dof = got["n"], got["n"] - len(x) - groups
+    if not n:
+        return df.sparkSession.createDataFrame([], LEAST_SQUARES)
+    beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
+    sse = max(0.0, got["s0_0"] - 2 * beta @ xy + beta @ xx @ beta)
+    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(xx)), 0) * (sse / dof if dof > 0 else np.nan))
+    r2 = 1 - sse / sst if sst else 0.0
+    adjusted_r2 = 1 - (1 - r2) * (n - 1) / dof if dof > 0 else float("nan")
+    out = []
+    for term, b, s in zip(x, beta.tolist(), se.tolist()):
+        t = b / s if s else float("nan")
+        out.append((term, b, s, t, stats.t_p(t, dof), b - 1.96 * s, b + 1.96 * s, n, float(r2), float(adjusted_r2)))
+    return df.sparkSession.createDataFrame(out, LEAST_SQUARES)
+
+
+LEAST_SQUARES = "term string, beta double, se double, t double, p double, low double, high double, n long, r2 double, adjusted_r2 double"
 
 
 def smooth(points: DataFrame, keys: list[str], frac: float = 2 / 3) -> DataFrame:
@@ -139,11 +188,31 @@ def welch(df: DataFrame, keys: list[str], group: str, value: str, a: str, b: str
 
 
 def adjusted_p(tests: DataFrame, p: str = "p") -> DataFrame:
-    """Benjamini-Hochberg: p n / rank, then the smallest from the top down. One row for each tested feature."""
-    n = F.count("*").over(Window.partitionBy())
-    up = tests.withColumn("__q", F.col(p) * n / F.rank().over(Window.orderBy(p)))
-    down = Window.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)
-    return up.withColumn("p_adjusted", F.least(F.min("__q").over(down), F.lit(1.0))).drop("__q")
+    """Benjamini-Hochberg: p n / rank, the highest rank of equal p, then the smallest from the top down.
+
+    Distinct values of p are sorted over all tasks; running counts and minima are taken inside a partition and carried
+    from one to the next by one row for each partition, so any number of tests does."""
+    values = tests.groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("n")).where("__p is not null").orderBy("__p")
+    values = Scratch(tests.sparkSession, "ranks").save(values.withColumn("part", F.spark_partition_id()), "values")
+    parts = sorted((r["part"], r["n"]) for r in values.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total, before, start = sum(n for _, n in parts), 0, []
+    for part, n in parts:
+        start.append((part, before))
+        before += n
+    if not parts:
+        return tests.withColumn("p_adjusted", F.col(p).cast("double"))
+    own = Window.partitionBy("part").orderBy("__p")
+    ranked = values.join(F.broadcast(tests.sparkSession.createDataFrame(start, "part int, ahead long")), "part")
+    ranked = ranked.withColumn("q", F.col("__p") * total / (F.col("ahead") + F.sum("n").over(own)))
+    least = {r["part"]: r["q"] for r in ranked.groupBy("part").agg(F.min("q").alias("q")).collect()}
+    after, low = [], 1.0
+    for part, _ in reversed(parts):
+        after.append((part, low))
+        low = min(low, least[part])
+    down = Window.partitionBy("part").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+    adjusted = ranked.join(F.broadcast(tests.sparkSession.createDataFrame(after, "part int, beyond double")), "part")
+    adjusted = adjusted.select("__p", F.least(F.min("q").over(down), "beyond").alias("p_adjusted"))
+    return tests.join(adjusted, tests[p] == adjusted["__p"], "left").drop("__p")
 
 
 def fisher(counts: DataFrame, keys: list[str]) -> DataFrame:
