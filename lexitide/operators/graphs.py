@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexitide.functions import stats
+from lexitide.functions.numeric import correlation
 from lexitide.operators.shape import top_k
+from lexitide.runtime import Scratch
 
 
 def bipartite(df: DataFrame, left: str, right: str, weight: str, k: int) -> DataFrame:
@@ -25,44 +22,50 @@ def degrees(edges: DataFrame, by: list[str]) -> DataFrame:
     return own.select(*by, F.explode(F.array("a", "b")).alias("node")).groupBy(*by, "node").agg(F.count("*").alias("degree"))
 
 
-def statistics(edges: DataFrame, by: str) -> DataFrame:
-    """Nodes, edges, density, mean clustering, diameter of the largest part, Gini of degrees, degree assortativity.
-
-    A graph of one text is small and goes to one pandas group; the number of graphs may be any."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            if a != b:
-                near.setdefault(a, set()).add(b)
-                near.setdefault(b, set()).add(a)
-        n, m = len(near), sum(map(len, near.values())) // 2
-        local = [sum(y in near[x] for i, x in enumerate(sorted(v)) for y in sorted(v)[i + 1 :]) * 2 / (len(v) * (len(v) - 1)) for v in near.values() if len(v) > 1]
-        left, largest = set(near), []
-        while left:
-            part = _reach(near, min(left))
-            left -= part.keys()
-            if len(part) > len(largest):
-                largest = list(part)
-        diameter = max((max(_reach(near, x).values()) for x in largest), default=0)
-        deg = {x: len(v) for x, v in near.items()}
-        ends = np.array([(deg[x], deg[y]) for x, v in near.items() for y in v], dtype=float).reshape(-1, 2)
-        mixing = float(np.corrcoef(ends.T)[0, 1]) if len(ends) and ends[:, 0].std() > 0 else None
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "nodes": [n], "edges": [m], "density": [2 * m / (n * (n - 1)) if n > 1 else 0.0], "clustering": [sum(local) / n if n else 0.0], "diameter": [diameter], "gini": [stats.gini(np.array(list(deg.values())))], "assortativity": [mixing]})
-
-    kind = edges.schema[by].dataType.simpleString()
-    return edges.select(by, "a", "b").groupBy(by).applyInPandas(one, f"{by} {kind}, nodes long, edges long, density double, clustering double, diameter long, gini double, assortativity double")
-
-
-def _reach(near: dict, start) -> dict:
-    far, todo = {start: 0}, deque([start])
-    while todo:
-        x = todo.popleft()
-        for y in near[x]:
-            if y not in far:
-                far[y] = far[x] + 1
-                todo.append(y)
-    return far
+def statistics(edges: DataFrame, by: str, diameters: bool = True) -> DataFrame:
+    """Nodes, edges, density, mean clustering, Gini of degrees, degree assortativity and diameter of the largest part.
+
+    Graphs are edge rows (by, a, b), repeated and reversed ones once; loops are left out. Triangles are found from each edge's end with the
+    lower degree, so no node's pairs of neighbours grow beyond the root of twice the edges; the Gini goes by counts of
+    degrees. Diameters take a row for each pair of nodes in a part, so large networks are better asked without."""
+    scratch = Scratch(edges.sparkSession, "graphs")
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    own = scratch.save(edges.where("a <> b").select(F.col(by).alias("g"), low, high).distinct(), "edges")
+    both = own.unionByName(own.select("g", F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = scratch.save(both.groupBy("g", F.col("a").alias("node")).agg(F.count("*").alias("d")), "degrees")
+    size = degree.groupBy("g").agg(F.count("*").alias("nodes"), (F.sum("d") / 2).cast("long").alias("edges"))
+
+    levels = degree.groupBy("g", "d").agg(F.count("*").alias("c")).join(size.select("g", "nodes"), "g")
+    before = F.sum("c").over(Window.partitionBy("g").orderBy("d")) - F.col("c")  # a row for each degree
+    gini = levels.withColumn("r", before).groupBy("g").agg((F.sum(F.col("d") * F.col("c") * (2 * F.col("r") + F.col("c") - F.col("nodes"))) / (F.first("nodes") * F.sum(F.col("d") * F.col("c")))).alias("gini"))
+
+    ends = lambda name, d: degree.select("g", F.col("node").alias(name), F.col("d").alias(d))
+    ranked = scratch.save(both.join(ends("a", "da"), ["g", "a"]).join(ends("b", "db"), ["g", "b"]), "ranked")
+    mixing = ranked.groupBy("g").agg(correlation(F.col("da"), F.col("db")).alias("assortativity"))
+    up = ranked.where("da < db or (da = db and a < b)").select("g", "a", "b")
+    x, y = up.select("g", "a", F.col("b").alias("p")), up.select("g", "a", F.col("b").alias("q"))
+    wedges = x.join(y, ["g", "a"]).where("p < q")
+    found = wedges.join(own.select("g", F.col("a").alias("p"), F.col("b").alias("q")), ["g", "p", "q"])
+    corners = found.select("g", F.explode(F.array("a", "p", "q")).alias("node")).groupBy("g", "node").agg(F.count("*").alias("t"))
+    local = F.when(F.col("d") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
+    clustering = degree.join(corners, ["g", "node"], "left").groupBy("g").agg(F.avg(local).alias("clustering"))
+
+    out = size.join(gini, "g").join(mixing, "g").join(clustering, "g")
+    density = F.when(F.col("nodes") > 1, 2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0)
+    columns = [F.col("g").alias(by), "nodes", "edges", density.alias("density"), "clustering", "gini", "assortativity"]
+    if not diameters:
+        return out.select(columns)
+    seen = scratch.save(degree.select("g", F.col("node").alias("source"), "node", F.lit(0).alias("far")), "reached")
+    edge, front, far = both.select("g", F.col("a").alias("node"), F.col("b").alias("next")), seen, 0
+    while not front.isEmpty():
+        far += 1
+        step = front.join(edge, ["g", "node"]).select("g", "source", F.col("next").alias("node")).distinct().join(seen, ["g", "source", "node"], "left_anti")
+        front = scratch.save(step.withColumn("far", F.lit(far)), "front")
+        seen = seen.unionByName(front)
+    reach = seen.groupBy("g", "source").agg(F.count("*").alias("part"), F.max("far").alias("far"), F.min("node").alias("first"))
+    largest = reach.groupBy("g").agg(F.min_by("first", F.struct(-F.col("part"), "first")).alias("first"))
+    diameter = reach.join(largest, ["g", "first"]).groupBy("g").agg(F.max("far").cast("long").alias("diameter"))
+    return out.join(diameter, "g").select(*columns[:5], "diameter", *columns[5:])
 
 
 def co_presence(df: DataFrame, a: str, b: str) -> DataFrame:

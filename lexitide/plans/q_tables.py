@@ -38,13 +38,13 @@ def join_first_key(spark, sf):
     return joins.first_key_match(d, right, ["k1", "k2"], "k", "tag").select("doc_id", "tag")
 
 
-RANGES = "r AS (SELECT user_id, event_id AS range_id, CAST(floor(value) AS BIGINT) AS lo, CAST(floor(value) AS BIGINT) + 5 AS hi FROM events WHERE event_id % 10 = 0)"
+RANGES = "r AS (SELECT user_id, event_id AS range_id, CAST(floor(value) AS BIGINT) AS lo, CAST(floor(value) AS BIGINT) + 5 AS hi FROM events)"
 
 
 @query(f"WITH {RANGES} SELECT e.event_id, r.range_id FROM events e JOIN r ON e.user_id = r.user_id AND CAST(floor(e.value) AS BIGINT) BETWEEN lo AND hi")
 def join_ranges(spark, sf):
     e = table(spark, sf, "events").withColumn("at", F.floor("value"))
-    r = e.where("event_id % 10 = 0").select("user_id", F.col("event_id").alias("range_id"), F.col("at").alias("lo"), (F.col("at") + 5).alias("hi"))
+    r = e.select("user_id", F.col("event_id").alias("range_id"), F.col("at").alias("lo"), (F.col("at") + 5).alias("hi"))
     return joins.within_ranges(e.select("user_id", "event_id", "at"), r, ["user_id"], "at", "lo", "hi").select("event_id", "range_id")
 
 
@@ -213,11 +213,11 @@ def conversation_ends(spark, sf):
 
 
 def _edges(spark, sf):
-    li = table(spark, sf, "lineitem").select(F.pmod("l_orderkey", F.lit(40)).alias("graph"), F.concat(F.lit("p"), F.pmod("l_partkey", F.lit(30)).cast("string")).alias("a"), F.concat(F.lit("s"), F.pmod("l_suppkey", F.lit(10)).cast("string")).alias("b"))
+    li = table(spark, sf, "lineitem").withColumn("l_shipmonth", F.date_format("l_shipdate", "yyyy-MM")).select(F.col("l_shipmonth").alias("graph"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"))
     return li.distinct()
 
 
-_EDGES = "e AS (SELECT DISTINCT l_orderkey % 40 AS graph, 'p' || (l_partkey % 30) AS a, 's' || (l_suppkey % 10) AS b FROM lineitem)"
+_EDGES = "e AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS graph, 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem)"
 
 
 @query(f"WITH {_EDGES} SELECT graph, node, count(*) AS degree FROM (SELECT graph, a AS node FROM e UNION ALL SELECT graph, b FROM e) GROUP BY ALL")
@@ -225,9 +225,16 @@ def graph_degrees(spark, sf):
     return graphs.degrees(_edges(spark, sf), ["graph"])
 
 
-@query()
+_DEGREES = f"{_EDGES}, x AS (SELECT graph, a, b FROM e UNION ALL SELECT graph, b, a FROM e), d AS (SELECT graph, a AS node, count(*) AS d FROM x GROUP BY ALL), s AS (SELECT graph, count(*) AS nodes, CAST(sum(d) / 2 AS BIGINT) AS edges FROM d GROUP BY 1)"
+
+
+@query(
+    f"WITH {_DEGREES}, r AS (SELECT graph, d, row_number() OVER (PARTITION BY graph ORDER BY d) AS i FROM d), g AS (SELECT graph, sum((2 * i - nodes - 1) * d) / (any_value(nodes) * sum(d)) AS gini FROM r JOIN s USING (graph) GROUP BY 1), "
+    "m AS (SELECT x.graph, CASE WHEN stddev_pop(p.d) > 0 THEN corr(p.d, q.d) END AS assortativity FROM x JOIN d p ON p.graph = x.graph AND p.node = x.a JOIN d q ON q.graph = x.graph AND q.node = x.b GROUP BY 1) "
+    "SELECT graph, nodes, edges, round(2 * edges / (nodes * (nodes - 1)), 6) AS density, 0.0 AS clustering, round(gini, 6) AS gini, round(assortativity, 6) AS assortativity FROM s JOIN g USING (graph) JOIN m USING (graph)"
+)
 def graph_statistics(spark, sf):
-    return rounded(graphs.statistics(_edges(spark, sf), "graph"))
+    return rounded(graphs.statistics(_edges(spark, sf), "graph", diameters=False))
 
 
 @query("WITH n AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, l_partkey) AS i FROM n) SELECT l_suppkey, l_partkey, weight FROM r WHERE i <= 3")
@@ -276,7 +283,7 @@ def variance_partition(spark, sf):
 def word_vectors(spark, sf):
     sentences = table(spark, sf, "documents").where("lang = 'en'").select(T.words(F.col("text")).alias("words"))
     out = embeddings.word2vec(sentences, runs=1, size=16, window=5, least=20)
-    return out.groupBy("run").agg(F.count("*").alias("n_words"), F.min(F.size("vector")).alias("size"))
+    return out.select("run", "word", F.size("vector").alias("size"), (F.sqrt(embeddings.dot(F.col("vector"), F.col("vector"))) > 0).alias("trained"))
 
 
 @query("SELECT DISTINCT lang FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) > 20)")
