@@ -65,7 +65,7 @@ def with_prefix(df: DataFrame, prefix: str, column: str = "_id") -> DataFrame:
 
 def bounded_years(df: DataFrame, bounds: DataFrame) -> DataFrame:
     """bounds: corpus, lo, hi; inclusive, a missing bound or corpus leaves it open."""
-    out = df.join(F.broadcast(bounds.limit(100_000)), "corpus", "left")
+    out = df.join(bounds, "corpus", "left")
     return out.where((F.col("year") >= F.coalesce("lo", F.col("year"))) & (F.col("year") <= F.coalesce("hi", F.col("year")))).drop("lo", "hi")
 
 

@@ -30,7 +30,7 @@ def calibration_rows(scores: DataFrame, least_groups: int, reference: str) -> tu
     shared = lambda df: df.join(df.groupBy("group_id").agg(F.countDistinct("corpus").alias("__k")).where("__k > 1").select("group_id"), "group_id", "left_semi")
     own = shared(scores.where("score is not null").groupBy("group_id", "corpus").agg(F.avg("score").alias("score")))
     enough = own.groupBy("corpus").agg(F.countDistinct("group_id").alias("n")).where(F.col("n") >= least_groups).select("corpus")
-    own = Scratch(scores.sparkSession, "bias").save(shared(own.join(F.broadcast(enough.limit(100_000)), "corpus", "left_semi")), "rows")
+    own = Scratch(scores.sparkSession, "bias").save(shared(own.join(enough, "corpus", "left_semi")), "rows")
     a, b = own.select("group_id", F.col("corpus").alias("a")), own.select("group_id", F.col("corpus").alias("b"))
     edges = [(r["a"], r["b"]) for r in a.join(b, "group_id").where("a < b").select("a", "b").distinct().collect()]  # pairs of corpora
     kept = component_of(edges, reference)
@@ -42,24 +42,28 @@ def calibration_rows(scores: DataFrame, least_groups: int, reference: str) -> tu
 def corpus_bias(scores: DataFrame, reference: str, least_groups: int = 5) -> DataFrame:
     """(corpus, coef, se, n): least squares of score on corpus with group effects; the reference has 0.
 
-    Score and every corpus indicator are demeaned within groups by windows; X'X and X'y are sums in Spark, of as many
-    cells as pairs of corpora; the driver solves them."""
+    Demeaned within a group of K corpora, the indicators of c and d have the product [c = d] - 1 / K, and that of c with the
+    score is the score less the group's mean. So X'X is a sum by pair of corpora over a join of the rows of a group,
+    and X'y a sum by corpus; the driver solves a system with a row for each corpus."""
     rows, kept = calibration_rows(scores, least_groups, reference)
     names = sorted(kept - {reference})
-    w = Window.partitionBy("group_id")
-    y = F.col("score") - F.avg("score").over(w)
-    x = [F.when(F.col("corpus") == c, 1.0).otherwise(0.0) - F.avg(F.when(F.col("corpus") == c, 1.0).otherwise(0.0)).over(w) for c in names]
-    own = rows.select("group_id", y.alias("y"), F.array(*x).alias("x"))
-    n, k = len(names), F.size("x")
-    cells = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"x{i}_{j}") for i in range(n) for j in range(i, n)]
-    got = own.agg(*cells, *(F.sum(F.col("x")[i] * F.col("y")).alias(f"y{i}") for i in range(n)), F.sum(F.col("y") ** 2).alias("yy"), F.count("*").alias("n"), F.countDistinct("group_id").alias("g"), F.max(k).alias("k")).collect()[0]
-    xx, xy = np.zeros((n, n)), np.array([got[f"y{i}"] for i in range(n)])
-    for i in range(n):
-        for j in range(i, n):
-            xx[i, j] = xx[j, i] = got[f"x{i}_{j}"]
+    groups = rows.groupBy("group_id").agg(F.avg("score").alias("mean"), F.count("*").alias("k"))
+    own = rows.join(groups, "group_id").select("group_id", "corpus", "k", (F.col("score") - F.col("mean")).alias("y"))
+    by_corpus = own.groupBy("corpus").agg(F.sum("y").alias("xy"), F.sum(F.col("y") ** 2).alias("yy"), F.count("*").alias("n")).collect()
+    a, b = own.select("group_id", F.col("corpus").alias("c"), "k"), own.select("group_id", F.col("corpus").alias("d"))
+    pairs = a.join(b, "group_id").groupBy("c", "d").agg(F.sum(F.when(F.col("c") == F.col("d"), 1.0).otherwise(0.0) - 1 / F.col("k")).alias("xx")).collect()
+    at = {c: i for i, c in enumerate(names)}
+    xx, xy = np.zeros((len(names), len(names))), np.zeros(len(names))
+    for r in pairs:
+        if r["c"] in at and r["d"] in at:
+            xx[at[r["c"]], at[r["d"]]] = r["xx"]
+    for r in by_corpus:
+        if r["corpus"] in at:
+            xy[at[r["corpus"]]] = r["xy"]
+    n, yy = sum(r["n"] for r in by_corpus), sum(r["yy"] for r in by_corpus)
     coef = np.linalg.lstsq(xx, xy, rcond=None)[0]
-    dof = got["n"] - got["g"] - n
-    sse = max(0.0, got["yy"] - 2 * coef @ xy + coef @ xx @ coef)
+    dof = n - groups.count() - len(names)
+    sse = max(0.0, yy - 2 * coef @ xy + coef @ xx @ coef)
     se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(xx)), 0) * (sse / dof if dof > 0 else np.nan))
     counts = rows.groupBy("corpus").agg(F.count("*").alias("n"))
     table = scores.sparkSession.createDataFrame([(reference, 0.0, 0.0), *((c, float(b), float(s)) for c, b, s in zip(names, coef, se))], "corpus string, coef double, se double")
@@ -68,8 +72,7 @@ def corpus_bias(scores: DataFrame, reference: str, least_groups: int = 5) -> Dat
 
 def corrected(scores: DataFrame, bias: DataFrame, value: str = "score") -> DataFrame:
     """Scores less their corpus's coefficient; corpora without one stay."""
-    small = bias.select("corpus", "coef").limit(100_000)
-    return scores.join(F.broadcast(small), "corpus", "left").withColumn(value, F.col(value) - F.coalesce("coef", F.lit(0.0))).drop("coef")
+    return scores.join(bias.select("corpus", "coef"), "corpus", "left").withColumn(value, F.col(value) - F.coalesce("coef", F.lit(0.0))).drop("coef")
 
 
 def merged(*tables: DataFrame) -> DataFrame:
