@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.operators.norms import zscore
+from lexitide.operators.norms import with_zscores
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,7 +27,7 @@ def mean_vectors(df: DataFrame, by: list[str], vector: str) -> DataFrame:
 
 def axes(vectors: DataFrame, poles: DataFrame, by: list[str]) -> DataFrame:
     """(by, contrast, axis): mean of the pos words' vectors less that of the neg words'. poles: contrast, word, band."""
-    means = mean_vectors(vectors.join(F.broadcast(poles.where("band in ('pos', 'neg')")), "word"), [*by, "contrast", "band"], "vector")
+    means = mean_vectors(vectors.join(poles.where("band in ('pos', 'neg')"), "word"), [*by, "contrast", "band"], "vector")
     pick = lambda b: F.first(F.when(F.col("band") == b, F.col("vector")), ignorenulls=True)
     both = means.groupBy(*by, "contrast").agg(pick("pos").alias("p"), pick("neg").alias("n")).where("p is not null and n is not null")
     return both.select(*by, "contrast", F.zip_with("p", "n", lambda x, y: x - y).alias("axis"))
@@ -36,9 +36,9 @@ def axes(vectors: DataFrame, poles: DataFrame, by: list[str]) -> DataFrame:
 def axis_scores(vectors: DataFrame, axes_: DataFrame, by: list[str]) -> DataFrame:
     """(by, contrast, word, z): cosine with the axis, standardised by model and contrast; words begin with a letter."""
     own = vectors.where(F.col("word").rlike(r"^\p{L}"))
-    rows = own.join(F.broadcast(axes_), by) if by else own.join(F.broadcast(axes_))  # tens of axes
+    rows = own.join(axes_, by) if by else own.join(F.broadcast(axes_))  # without models one axis for each contrast
     rows = rows.select(*by, "contrast", "word", cosine(F.col("vector"), F.col("axis")).alias("score"))
-    return rows.withColumn("z", zscore(F.col("score"), *by, "contrast"))
+    return with_zscores(rows, [*by, "contrast"], {"z": "score"})
 
 
 def over_runs(scores: DataFrame) -> DataFrame:

@@ -16,10 +16,20 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
-def zscore(value: Column, *by: str) -> Column:
-    """Over the rows of a partition, by the population's standard deviation; null if that is 0."""
-    w = Window.partitionBy(*by)
-    return (value - F.avg(value).over(w)) / F.nullif(F.stddev_pop(value).over(w), F.lit(0.0))
+def with_zscores(df: DataFrame, by: list[str], columns: dict[str, str], digits: int | None = None) -> DataFrame:
+    """df with z-scores, {name: value column}, by the population's standard deviation of each group of by; null if that is 0.
+
+    Means and deviations are an aggregate of a few rows joined back: a window would put a whole language into one task.
+    df is read twice, so it should be a saved table where it is dear."""
+    stats = [f(F.col(v).cast("double")).alias(f"__{s}_{name}") for name, v in columns.items() for s, f in (("m", F.avg), ("s", F.stddev_pop))]
+    if by:
+        keys = {k: f"__by_{k}" for k in by}
+        few = df.groupBy(*(F.col(k).alias(x) for k, x in keys.items())).agg(*stats)
+        both = df.join(few, [df[k].eqNullSafe(few[x]) for k, x in keys.items()], "left")
+    else:
+        both = df.join(F.broadcast(df.agg(*stats)))  # one row
+    z = {name: (F.col(v) - F.col(f"__m_{name}")) / F.nullif(F.col(f"__s_{name}"), F.lit(0.0)) for name, v in columns.items()}
+    return both.select(*(df[c] for c in df.columns), *((F.round(c, digits) if digits is not None else c).alias(name) for name, c in z.items()))
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -31,7 +41,7 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def rate(ratings: DataFrame, keys: list[str], source: str, value: str) -> DataFrame:
     """Long ratings with z by source and the other keys but the word: duplicates are averaged by their median."""
     own = ratings.groupBy(*keys, "word", source).agg(F.median(value).alias("value"))
-    return own.withColumn("z", zscore(F.col("value"), *keys, source))
+    return with_zscores(own, [*keys, source], {"z": "value"})
 
 
 def row_median(*columns: Column) -> Column:

@@ -98,7 +98,10 @@ def chunks(texts: DataFrame, keys: list[str], size: int) -> DataFrame:
 def trajectories(texts: DataFrame, norms: DataFrame, on: list[str], keys: list[str], column: str, size: int) -> DataFrame:
     """Chunk scores, and the text's unweighted mean over its chunks."""
     part = [*keys, "chunk"]
-    counts = word_counts(chunks(texts, keys, size), part)
+    # each white-space word with its position once; words never reach over white space, so the chunk's text isn't built
+    pieces = texts.select(*keys, F.posexplode(F.split(F.trim("text"), r"\s+")).alias("__p", "__w"))
+    rows = pieces.select(*keys, F.floor(F.col("__p") / size).cast("int").alias("chunk"), F.explode(T.words(F.col("__w"))).alias("word"))
+    counts = rows.groupBy(*part, "word").agg(F.count("*").alias("cnt"))
     scores = weighted_means(counts, norms, on, part, [column])
     return scores.withColumn("text_mean", F.avg(column).over(Window.partitionBy(*keys)))
 

@@ -10,13 +10,15 @@ from lexitide.functions.numeric import correlation
 from lexitide.functions.text import only_letters
 
 
-def by_decade(freqs: DataFrame, top: int | None = None, size: int = 10) -> DataFrame:
-    """(decade, word, cnt) of lower-cased words of letters; the top words by total, ties by word."""
-    out = freqs.withColumn("word", F.lower("word")).where(only_letters(F.col("word"))).groupBy(bin_start(F.col("year"), size).alias("decade"), "word").agg(F.sum("cnt").alias("cnt"))
-    if top:
-        best = out.groupBy("word").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "word").limit(top).select("word")
-        out = out.join(best, "word", "left_semi")
-    return out
+def by_decade(freqs: DataFrame, size: int = 10) -> DataFrame:
+    """(decade, word, cnt) of lower-cased words of letters."""
+    return freqs.withColumn("word", F.lower("word")).where(only_letters(F.col("word"))).groupBy(bin_start(F.col("year"), size).alias("decade"), "word").agg(F.sum("cnt").alias("cnt"))
+
+
+def most_frequent(decades: DataFrame, top: int) -> DataFrame:
+    """Rows of the top words by total, ties by word. decades is read twice."""
+    best = decades.groupBy("word").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "word").limit(top).select("word")
+    return decades.join(best, "word", "left_semi")
 
 
 def added(*tables: DataFrame) -> DataFrame:

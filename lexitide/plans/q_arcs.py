@@ -8,7 +8,7 @@ from lexitide.functions import bins
 from lexitide.operators import aggregate, correction, decompose, fits, shape, words
 from lexitide.plans import stand_in as S
 from lexitide.plans.catalog import query, rounded
-from lexitide.runtime import table
+from lexitide.runtime import Scratch, table
 
 
 def _reps(spark, sf):
@@ -182,7 +182,7 @@ def shift_share_common(spark, sf):
     return out.select("category", *(F.round(c, 2).alias(c) for c in ("composition", "within", "interaction")))
 
 
-DECADES = f"{S.NORMS}, d0 AS (SELECT CAST(floor(year / 50) * 50 AS INTEGER) AS decade, word, sum(cnt) AS cnt FROM freqs WHERE lang = 'en' AND regexp_matches(word, '^\\p{{L}}+$') GROUP BY ALL), top AS (SELECT word FROM d0 GROUP BY word ORDER BY sum(cnt) DESC, word LIMIT 500), d AS (SELECT * FROM d0 WHERE word IN (SELECT word FROM top))"
+DECADES = f"{S.NORMS}, d0 AS (SELECT CAST(floor(year / 10) * 10 AS INTEGER) AS decade, word, sum(cnt) AS cnt FROM freqs WHERE lang = 'en' AND regexp_matches(word, '^\\p{{L}}+$') GROUP BY ALL), top AS (SELECT word FROM d0 GROUP BY word ORDER BY sum(cnt) DESC, word LIMIT 10000), d AS (SELECT * FROM d0 WHERE word IN (SELECT word FROM top))"
 SHARES = (
     f"{DECADES}, en AS (SELECT word, z_quality AS z FROM norms WHERE lang = 'en' AND z_quality IS NOT NULL), k0 AS (SELECT decade, word, z, cnt, sum(cnt) OVER (PARTITION BY word) AS n FROM d JOIN en USING (word)), k AS (SELECT *, cnt / sum(cnt) OVER (PARTITION BY decade) AS p FROM k0 WHERE n >= 20), "
     "grid AS (SELECT * FROM (SELECT DISTINCT word, z FROM k), (SELECT DISTINCT decade FROM k0 WHERE n >= 20)), shares AS (SELECT decade, word, z, coalesce(p, 0) AS p FROM grid LEFT JOIN k USING (decade, word, z))"
@@ -190,11 +190,18 @@ SHARES = (
 
 
 def _decades(spark, sf):
-    return words.by_decade(S.freqs(spark, sf, "_id", "lang", "year").where("lang = 'en'"), 500, 50)
+    return _by_decade(S.freqs(spark, sf, "_id", "lang", "year"))
+
+
+def _by_decade(counts):
+    by_decade = Scratch(counts.sparkSession, "decades").save(words.by_decade(counts.where("lang = 'en'")), "all")
+    return words.most_frequent(by_decade, 10_000)
 
 
 def _shares(spark, sf):
-    return words.shares(_decades(spark, sf), S.norms(spark, sf).where("lang = 'en'").select("word", F.col("z_quality").alias("z")), 20)
+    counts = S.counted(spark, sf)
+    norms = S.norms(spark, sf, counts).where("lang = 'en'").select("word", F.col("z_quality").alias("z"))
+    return Scratch(spark, "shares").save(words.shares(_by_decade(counts), norms, 20), "shares")
 
 
 @query(f"WITH {DECADES} SELECT * FROM d")

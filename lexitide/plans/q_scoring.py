@@ -30,22 +30,22 @@ COLUMNS = ["z_quality", "z_toxic", "z_median"]
 
 @query(f"WITH {S.NORMS} SELECT _id, {MEANS} FROM freqs JOIN norms USING (lang, word) GROUP BY _id")
 def score_weighted(spark, sf):
-    return rounded(scoring.weighted_means(S.freqs(spark, sf), S.norms(spark, sf), ["lang", "word"], ["_id"], COLUMNS))
+    return rounded(scoring.weighted_means(*S.both(spark, sf, S.norms), ["lang", "word"], ["_id"], COLUMNS))
 
 
 @query(f"WITH {S.NORMS} SELECT _id, {MEANS} FROM freqs LEFT JOIN norms USING (lang, word) GROUP BY _id")
 def score_weighted_keep_unrated(spark, sf):
-    return rounded(scoring.weighted_means(S.freqs(spark, sf), S.norms(spark, sf), ["lang", "word"], ["_id"], COLUMNS, keep_unrated=True))
+    return rounded(scoring.weighted_means(*S.both(spark, sf, S.norms), ["lang", "word"], ["_id"], COLUMNS, keep_unrated=True))
 
 
 @query(f"WITH {S.NORMS} SELECT _id, {PCT}, {DIFF} FROM freqs JOIN norms USING (lang, word) GROUP BY _id")
 def score_proportions(spark, sf):
-    return rounded(scoring.proportions(S.freqs(spark, sf), S.norms(spark, sf), ["lang", "word"], ["_id"], ["z_quality"]))
+    return rounded(scoring.proportions(*S.both(spark, sf, S.norms), ["lang", "word"], ["_id"], ["z_quality"]))
 
 
 @query(f"WITH {S.LONG} SELECT _id, norm, CAST(CASE WHEN z = 3 THEN 30 ELSE floor(round(z * 10, 9)) + 1 END AS INTEGER) AS bin, sum(cnt) AS cnt FROM freqs JOIN long USING (lang, word) WHERE z >= -3 AND z <= 3 GROUP BY ALL")
 def histogram(spark, sf):
-    return scoring.histogram(S.freqs(spark, sf), S.norms_long(spark, sf), ["lang", "word"], ["_id"])
+    return scoring.histogram(*S.both(spark, sf, S.norms_long), ["lang", "word"], ["_id"])
 
 
 @query(

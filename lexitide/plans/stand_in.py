@@ -9,7 +9,7 @@ from lexitide.functions import bins
 from lexitide.functions import text as T
 from lexitide.operators import norms as N
 from lexitide.operators import scoring
-from lexitide.runtime import table
+from lexitide.runtime import Scratch, spread, table
 
 CENTURIES = (16, 17, 18, 19, 20)
 
@@ -20,43 +20,54 @@ def texts(spark: SparkSession, sf: str, columns: tuple = ()) -> DataFrame:
     out = docs.withColumn("corpus", F.col("source")).withColumn("_id", T.text_id(F.col("source"), F.col("doc_id")))
     out = out.withColumn("year", (1500 + F.pmod(F.col("doc_id") * 7919, F.lit(500))).cast("int"))
     out = out.withColumn("genre", F.element_at(F.array(*map(F.lit, ("Fiction", "Poetry", "Periodical"))), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")))
-    return out.select("_id", "doc_id", "corpus", "lang", "year", *columns)
+    out = out.select("_id", "doc_id", "corpus", "lang", "year", *columns)
+    return spread(out) if "text" in columns else out
 
 
 def freqs(spark: SparkSession, sf: str, *keys: str) -> DataFrame:
     return scoring.word_counts(texts(spark, sf, ("text",)), [*(keys or ("_id", "lang"))])
 
 
-def rated(spark: SparkSession, sf: str, century: bool = False) -> DataFrame:
-    """(lang[, century], word, quality, toxic, n): means over labelled documents that hold the word, at least 3."""
-    labels = table(spark, sf, "labels")
-    docs = texts(spark, sf, ("text",)).join(labels, "doc_id")
-    words = docs.select("lang", "quality", "toxic", bins.century_label(F.col("year")).alias("century"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+def counted(spark: SparkSession, sf: str) -> DataFrame:
+    """(_id, doc_id, lang, year, word, cnt), saved: texts are tokenised once, for the scores and for the ratings."""
+    return Scratch(spark, "counted").save(freqs(spark, sf, "_id", "doc_id", "lang", "year"), "freqs")
+
+
+def both(spark: SparkSession, sf: str, ratings) -> tuple[DataFrame, DataFrame]:
+    """Saved word counts, and ratings made of them."""
+    counts = counted(spark, sf)
+    return counts, ratings(spark, sf, counts)
+
+
+def rated(spark: SparkSession, sf: str, century: bool = False, counts: DataFrame | None = None) -> DataFrame:
+    """(lang[, century], word, quality, toxic, n), saved: means over labelled documents that hold the word, at least 3."""
+    counts = counts if counts is not None else freqs(spark, sf, "_id", "doc_id", "lang", "year")
+    words = counts.join(table(spark, sf, "labels"), "doc_id").withColumn("century", bins.century_label(F.col("year")))
     keys = ["lang", *(["century"] if century else []), "word"]
-    return words.groupBy(*keys).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.count("*").alias("n")).where("n >= 3")
+    out = words.groupBy(*keys).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.count("*").alias("n")).where("n >= 3")
+    return Scratch(spark, "rated").save(out, "ratings")
 
 
-def norms(spark: SparkSession, sf: str) -> DataFrame:
+def norms(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
     """Wide ratings: (lang, word, z_quality, z_toxic, z_median)."""
-    out = rated(spark, sf)
-    z = lambda c: F.round(N.zscore(F.col(c), "lang"), 9)
-    out = out.select("lang", "word", z("quality").alias("z_quality"), z("toxic").alias("z_toxic"))
-    return out.withColumn("z_median", F.round(N.row_median(F.col("z_quality"), F.col("z_toxic")), 9))
+    out = N.with_zscores(rated(spark, sf, counts=counts), ["lang"], {"z_quality": "quality", "z_toxic": "toxic"}, 9)
+    return out.select("lang", "word", "z_quality", "z_toxic", F.round(N.row_median(F.col("z_quality"), F.col("z_toxic")), 9).alias("z_median"))
 
 
-def norms_long(spark: SparkSession, sf: str) -> DataFrame:
-    return N.long(norms(spark, sf), ["lang", "word"], ["z_quality", "z_toxic", "z_median"])
+def norms_long(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
+    return N.long(norms(spark, sf, counts), ["lang", "word"], ["z_quality", "z_toxic", "z_median"])
 
 
 def century_norms(spark: SparkSession, sf: str) -> DataFrame:
     """(lang, word, C16 .. C20): z of quality by language and century."""
-    out = rated(spark, sf, True).withColumn("z", F.round(N.zscore(F.col("quality"), "lang", "century"), 9))
+    out = N.with_zscores(rated(spark, sf, True), ["lang", "century"], {"z": "quality"}, 9)
     return N.wide(out, ["lang", "word"], "century", "z", [f"C{c}" for c in CENTURIES])
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """_id, corpus, lang, year, genre, score."""
-    own = scoring.weighted_means(freqs(spark, sf), norms(spark, sf), ["lang", "word"], ["_id"], ["z_quality"])
+    counts = counted(spark, sf)
+    own = scoring.weighted_means(counts, norms(spark, sf, counts), ["lang", "word"], ["_id"], ["z_quality"])
     return texts(spark, sf, ("genre",)).join(own.select("_id", F.col("z_quality").alias("score")), "_id")
 
 

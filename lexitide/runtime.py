@@ -93,6 +93,14 @@ class Scratch:
             _delete(self.spark, t._scratch_path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows anew where a scan has fewer than half as many tasks as there are cores, as with one large row group.
+
+    Before work that is heavy for each row. Larger tables are left as they are: nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

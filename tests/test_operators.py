@@ -103,7 +103,7 @@ def test_counting_windows_like_a_model(spark, texts, size):
 def test_row_median_and_zscore(spark):
     df = spark.createDataFrame([(1.0, 3.0, None), (None, None, None), (1.0, 2.0, 9.0)], "a double, b double, c double")
     assert [r[0] for r in df.select(N.row_median(*map(F.col, "abc"))).collect()] == [2.0, None, 2.0]
-    z = spark.createDataFrame([("s", 1.0), ("s", 3.0), ("one", 5.0)], "k string, v double").select("k", N.zscore(F.col("v"), "k").alias("z")).orderBy("k", "z").collect()
+    z = N.with_zscores(spark.createDataFrame([("s", 1.0), ("s", 3.0), ("one", 5.0)], "k string, v double"), ["k"], {"z": "v"}).select("k", "z").orderBy("k", "z").collect()
     assert [r.z for r in z] == [None, -1.0, 1.0]
 
 
