@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +53,33 @@ def top_words(texts: DataFrame, contrasts: DataFrame, keys: list[str], k: int =
     return ranked.where(F.col("n") <= k).groupBy(*keys, "contrast", "band").agg(listed.alias("words"))
 
 
-def sentences_of(texts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Runs of sentences joined until they have least words; a shorter tail is dropped. Ends at . ! ? and white space."""
-    parts = F.split(F.trim("text"), r"(?<=[.!?])\s+")
-    size = lambda s: F.size(F.regexp_extract_all(s, F.lit(T.WORD), F.lit(0)))
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))
+RUNS = "array<struct<start:int,n:int>>"
+
+
+def _runs(sizes: pd.Series, least: pd.Series) -> pd.Series:
+    """(start, number of sentences) of the runs whose sizes reach least."""
+
+    def fold(own, enough):
+        out, start, total = [], 0, 0
+        for i, n in enumerate(own):
+            total += n
+            if total >= enough:
+                out.append({"start": start + 1, "n": i + 1 - start})
+                start, total = i + 1, 0
+        return out
 
-    def step(state, sentence):
-        joined = F.trim(F.concat_ws(" ", state["open"], sentence))
-        full = size(joined) >= least
-        return F.struct(F.when(full, F.concat(state["out"], F.array(joined))).otherwise(state["out"]).alias("out"), F.when(full, F.lit("")).otherwise(joined).alias("open"))
+    return pd.Series([fold(s, n) if s is not None else None for s, n in zip(sizes, least)])
 
-    return texts.select(*keys, F.posexplode(F.aggregate(parts, zero, step, lambda s: s["out"])).alias("seq", "sentence"))
+
+def sentences_of(texts: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Runs of sentences joined until they have least words; a shorter tail is dropped. Ends at . ! ? and white space.
+
+    Words are counted once for each sentence; only the counts are folded, in Python, as a fold by columns copies its state at every step."""
+    parts = F.split(F.trim("text"), r"(?<=[.!?])\s+")
+    sizes = F.transform(parts, lambda s: F.size(F.regexp_extract_all(s, F.lit(T.WORD), F.lit(0))))
+    rows = texts.select(*keys, parts.alias("__p"), sizes.alias("__n")).withColumn("__r", F.pandas_udf(_runs, RUNS)("__n", F.lit(least)))
+    joined = F.transform("__r", lambda r: F.trim(F.array_join(F.slice("__p", r["start"], r["n"]), " ")))
+    return rows.select(*keys, F.posexplode(joined).alias("seq", "sentence"))
 
 
 def fixed_groups(tokens: DataFrame, keys: list[str], size: int, keep_rest: bool = False) -> DataFrame:

@@ -20,13 +20,15 @@ def check_schema(have: StructType, new: StructType) -> None:
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the rows whose keys the table at path lacks; df's own keys are made unique (smallest row)."""
+    """Appends the rows whose keys the table at path lacks; df's own keys are made unique (the row whose JSON sorts first)."""
     spark = df.sparkSession
     if exists(spark, path):
         have = spark.read.parquet(path)
         check_schema(have.schema, df.schema)
         df = df.join(have.select(*keys), keys, "left_anti")
-    df.dropDuplicates(keys).write.mode("append").parquet(path)
+    row = F.struct(*df.columns)
+    first = df.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")  # the same row in every run
+    first.write.mode("append").parquet(path)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
