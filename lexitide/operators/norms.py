@@ -77,6 +77,28 @@ def fields(norms_long: DataFrame, cut: float = 1.0) -> DataFrame:
     return norms_long.withColumn("band", word_class(F.col("z"), cut))
 
 
+def united(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """(word, value) of base, and of extra for the words base lacks: one population for the z-scores."""
+    return base.where("value is not null").select("word", "value").unionAll(extra.where("value is not null").select("word", "value").join(base.where("value is not null").select("word"), "word", "left_anti"))
+
+
+def row_mean(*columns: Column) -> Column:
+    """Mean of the values that aren't null."""
+    kept = F.filter(F.array(*columns), lambda x: x.isNotNull())
+    return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept))
+
+
+def originals(sources: dict[str, DataFrame], flipped: list[str] | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Ratings of one language, {source: (word, value)}, as a z-score for each source and their median.
+
+    Flipped sources rate the other way round. Repeated words of a source keep the smallest value. Excluded words go after the z-scores."""
+    parts = [df.where("value is not null").groupBy("word").agg(F.min((-F.col("value") if name in (flipped or []) else F.col("value")).cast("double")).alias("value")).withColumn("source", F.lit(name)) for name, df in sources.items()]
+    z = with_zscores(reduce(DataFrame.unionByName, parts), ["source"], {"z": "value"})
+    out = wide(z, ["word"], "source", "z", list(sources))
+    out = out if excluded is None else without(out, excluded)
+    return out.withColumn("median", row_median(*(F.col(f"`{c}`") for c in sources)))
+
+
 def information(counts: DataFrame) -> DataFrame:
     """(word, ic): -log2 of the word's share, median over models in a century, then over centuries.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,19 @@ def columns_with(df: DataFrame, prefix: str) -> list[str]:
     return [c for c in df.columns if c.startswith(prefix)]
 
 
+def score_columns(df: DataFrame, wanted: list[str] | None = None, key: str = "_id") -> list[str]:
+    """The columns wanted, or all but the key; ValueError if there is none or one is unknown."""
+    out = [c for c in df.columns if c != key] if wanted is None else known(df, *wanted)
+    if not out:
+        raise ValueError("no score columns")
+    return out
+
+
+def rated_columns(df: DataFrame) -> list[tuple[str, str, str]]:
+    """(column, source, period) of the columns named prefix.source.period."""
+    return [(m[0], m[1], m[2]) for m in (re.fullmatch(r"[^.]+\.(.+)\.([^.]+)", c) for c in df.columns) if m]
+
+
 def known(df: DataFrame, *names: str) -> list[str]:
     """names, if df has them all; else ValueError."""
     if missing := [n for n in names if n not in df.columns]:
@@ -207,9 +222,22 @@ def ordered_by_anchor(df: DataFrame, category: str, place: str, value: str) -> D
     return anchor.withColumn("position", F.row_number().over(Window.orderBy("anchor", category)))  # a row for each category
 
 
-def exact_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows, those with the smallest hashes of key and seed."""
-    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+def exact_sample(df: DataFrame, key: str, n: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """n rows (of each group of by), those with the smallest hashes of key and seed; all if there are fewer.
+
+    Rows are counted by the hash's first three digits: only the digits in which the n-th row falls are sorted, 1/4096 of the rows."""
+    by = by or []
+    rows = df.withColumn("__h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("__b", F.substring("__h", 1, 3))
+    sizes = rows.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.withColumn("__upto", upto).where(F.col("__upto") - F.col("__n") < n)
+    if not by:
+        sizes = F.broadcast(sizes)  # at most 4,096 rows
+    sizes = sizes.select(*(F.col(k).alias(f"__by_{k}") for k in by), F.col("__b").alias("__at"), "__n", "__upto")
+    both = rows.join(sizes, [F.col("__b") == F.col("__at"), *(F.col(k).eqNullSafe(F.col(f"__by_{k}")) for k in by)])
+    edge = both.where(F.col("__upto") > n).withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", key)))
+    edge = edge.where(F.col("__upto") - F.col("__n") + F.col("__r") <= n)
+    return both.where(F.col("__upto") <= n).select(*df.columns).unionAll(edge.select(*df.columns))
 
 
 # Text

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexitide.sources.sinks import exists
+
 METADATA = "id string, author string, title string, year int, major_genre string"
 
 
@@ -98,3 +100,31 @@ def model_paths(df: DataFrame, path: str = "path") -> DataFrame:
     """corpus, period and run of .../corpus/period/run_NN paths."""
     part = lambda k: F.regexp_extract(path, r"([^/]+)/([^/]+)/run_(\d+)/?[^/]*$", k)
     return df.withColumn("corpus", part(1)).withColumn("period", part(2)).withColumn("run", F.nullif(part(3), F.lit("")).cast("int"))
+
+
+def corpus_scores(spark: SparkSession, root: str, corpus: str, parents: dict[str, str] | None = None) -> DataFrame:
+    """root/corpus.csv, or that of the parent whose prefix the corpus has; FileNotFoundError if there is neither."""
+    for name in [corpus, *(p for prefix, p in (parents or {}).items() if corpus.startswith(prefix))]:
+        if exists(spark, path := f"{root.rstrip('/')}/{name}.csv"):
+            return spark.read.csv(path, header=True, inferSchema=True)
+    raise FileNotFoundError(f"no scores of {corpus} below {root}")
+
+
+def word_set(spark: SparkSession, *paths: str) -> DataFrame:
+    """(word) of the lists' lines, trimmed, lower, once each: stop words, names or both."""
+    return spark.read.text(list(paths)).select(F.lower(F.trim("value")).alias("word")).where("word <> ''").distinct()
+
+
+def frequent(vectors: DataFrame, least: int, count: str = "count") -> DataFrame:
+    """A model's words with at least so many occurrences."""
+    return vectors.where(F.col(count) >= least)
+
+
+def with_ids(scores: DataFrame, ids: DataFrame | None = None, key: str = "_id") -> DataFrame:
+    """Scores of the wanted ids, or all."""
+    return scores if ids is None else scores.join(ids.select(key), key, "left_semi")
+
+
+def resolved(metadata: DataFrame, wanted: str, *order: str, key: str = "id") -> DataFrame:
+    """The first row, in a stated order, whose id holds the wanted one literally; none if no id does."""
+    return metadata.where(F.col(key).cast("string").contains(wanted)).orderBy(*(order or (key,))).limit(1)

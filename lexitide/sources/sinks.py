@@ -51,6 +51,11 @@ def csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     df.select(*(columns or df.columns)).write.mode("overwrite").csv(path, header=True, compression="gzip" if path.endswith("gz") else None)
 
 
+def jsonl(df: DataFrame, path: str) -> None:
+    """One JSON object a line; null fields are left out."""
+    df.write.mode("overwrite").json(path, compression="gzip" if path.endswith("gz") else None)
+
+
 def word_list(df: DataFrame, path: str) -> None:
     df.select("word").distinct().orderBy("word").write.mode("overwrite").text(path)
 
