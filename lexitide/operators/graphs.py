@@ -68,6 +68,34 @@ def statistics(edges: DataFrame, by: str, diameters: bool = True) -> DataFrame:
     return out.join(diameter, "g").select(*columns[:5], "diameter", *columns[5:])
 
 
+def betweenness(edges: DataFrame, by: str) -> DataFrame:
+    """(by, node, betweenness): of the shortest paths between two other nodes, the mean share that passes the node.
+
+    Layers of all sources grow at once and carry the number of shortest paths; from the last one back, each node gets its share of the paths
+    beyond it. A layer's neighbours are in it, the one before or the next, so only two layers are compared. As diameters do, this takes a row
+    for each pair of nodes in a part. Graphs of fewer than three nodes have 0 throughout."""
+    scratch = Scratch(edges.sparkSession, "graphs")
+    own = edges.where("a <> b").select(F.col(by).alias("g"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edge = own.select("g", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("next")), F.struct(F.col("b").alias("node"), F.col("a").alias("next")))).alias("e"))
+    edge = scratch.save(edge.select("g", "e.*"), "edges")
+    key = ["g", "source", "node"]
+    nodes = scratch.save(edge.select("g", "node").distinct(), "nodes")
+    layers = [nodes.select("g", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))]
+    while not layers[-1].isEmpty():
+        step = layers[-1].join(edge, ["g", "node"]).groupBy("g", "source", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+        for old in layers[-2:]:
+            step = step.join(old, key, "left_anti")
+        layers.append(scratch.save(step, "layer"))
+    passed = nodes.select("g", "node", F.lit(0.0).alias("passed"))
+    beyond = layers[-1].withColumn("passed", F.lit(0.0))
+    for layer in layers[-2:0:-1]:  # no path passes its source
+        share = beyond.join(edge, ["g", "node"]).groupBy("g", "source", F.col("next").alias("node")).agg(F.sum((1 + F.col("passed")) / F.col("paths")).alias("share"))
+        beyond = scratch.save(layer.join(share, key, "left").select(*key, "paths", F.coalesce(F.col("paths") * F.col("share"), F.lit(0.0)).alias("passed")), "passed")
+        passed = passed.unionByName(beyond.select("g", "node", "passed"))
+    sums = passed.groupBy("g", "node").agg(F.sum("passed").alias("passed")).join(nodes.groupBy("g").agg(F.count("*").alias("n")), "g")
+    return sums.select(F.col("g").alias(by), "node", F.when(F.col("n") > 2, F.col("passed") / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0).alias("betweenness"))
+
+
 def co_presence(df: DataFrame, a: str, b: str) -> DataFrame:
     """The smaller over the larger of two counts; null if both are 0."""
     return df.withColumn("co_presence", F.try_divide(F.least(a, b), F.greatest(a, b)))

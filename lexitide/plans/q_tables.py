@@ -237,6 +237,23 @@ def graph_statistics(spark, sf):
     return rounded(graphs.statistics(_edges(spark, sf), "graph", diameters=False))
 
 
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS graph, s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey), "
+    "x AS (SELECT graph, a, b FROM e UNION SELECT graph, b, a FROM e), n AS (SELECT graph, count(DISTINCT a) AS n FROM x GROUP BY 1), "
+    "w AS (SELECT DISTINCT graph, a AS s, a AS v, 0 AS d, 1.0::DOUBLE AS k FROM x UNION ALL SELECT w.graph, w.s, x.b, w.d + 1, sum(w.k) FROM w JOIN x ON x.graph = w.graph AND x.a = w.v WHERE w.d < 12 GROUP BY ALL), "
+    "p AS (SELECT graph, s, v, min(d) AS d, arg_min(k, d) AS k FROM w GROUP BY ALL), "
+    "t AS (SELECT st.graph, sv.v AS node, sum(sv.k * vt.k / st.k) AS t FROM p st JOIN p sv ON sv.graph = st.graph AND sv.s = st.s JOIN p vt ON vt.graph = st.graph AND vt.s = sv.v AND vt.v = st.v "
+    "WHERE sv.d > 0 AND vt.d > 0 AND st.d = sv.d + vt.d GROUP BY ALL) "
+    "SELECT p.graph, p.s AS node, round(CASE WHEN n > 2 THEN coalesce(t, 0) / ((n - 1) * (n - 2)) ELSE 0 END, 6) AS betweenness FROM (SELECT DISTINCT graph, s FROM p) p JOIN n ON n.graph = p.graph LEFT JOIN t ON t.graph = p.graph AND t.node = p.s"
+)
+def graph_betweenness(spark, sf):
+    """Months of trade between the nations of suppliers and customers."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM").alias("graph"))
+    sold = li.join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("a")), "l_suppkey")
+    bought = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("b")), "c_custkey")
+    return rounded(graphs.betweenness(sold.join(bought, "l_orderkey").select("graph", "a", "b").distinct(), "graph"))
+
+
 @query("WITH n AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, l_partkey) AS i FROM n) SELECT l_suppkey, l_partkey, weight FROM r WHERE i <= 3")
 def graph_bipartite(spark, sf):
     return graphs.bipartite(table(spark, sf, "lineitem"), "l_suppkey", "l_partkey", "l_quantity", 3)

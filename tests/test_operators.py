@@ -248,3 +248,14 @@ def test_sentence_runs(spark):
 def test_nan_is_missing(spark):
     df = spark.createDataFrame([(math.nan,), (1.0,)], "x double")
     assert N.nan_to_null(df).agg(F.avg("x")).collect()[0][0] == 1.0
+
+
+def test_betweenness(spark):
+    """A path of four, a star of four leaves, a square, one edge, and two paths that never meet."""
+    edges = [("path", a, a + 1) for a in range(3)] + [("star", 0, b) for b in range(1, 5)] + [("star", 1, 0), ("star", 2, 2)] + [("square", a, (a + 1) % 4) for a in range(4)] + [("one", 0, 1), ("apart", 0, 1), ("apart", 1, 2), ("apart", 3, 4)]
+    out = graphs.betweenness(spark.createDataFrame(edges, "g string, a long, b long"), "g")
+    own = {(r.g, r.node): round(r.betweenness, 6) for r in out.collect()}
+    want = {("path", 0): 0, ("path", 1): 0.666667, ("path", 2): 0.666667, ("path", 3): 0, ("star", 0): 1, **{("star", b): 0 for b in range(1, 5)}, **{("square", a): 0.166667 for a in range(4)}, ("one", 0): 0, ("one", 1): 0}
+    want |= {("apart", a): 0.166667 if a == 1 else 0 for a in range(5)}
+    assert own == want
+    assert graphs.betweenness(spark.createDataFrame([], "g string, a long, b long"), "g").count() == 0
