@@ -92,6 +92,10 @@ class Scratch:
         for t in tables:
             _delete(self.spark, t._scratch_path)
 
+    def delete(self, name: str) -> None:
+        """A folder that tasks wrote under base."""
+        _delete(self.spark, f"{self.base}/{name}")
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows anew where a scan has fewer than half as many tasks as there are cores, as with one large row group.
