@@ -11,6 +11,9 @@ from lexitide.llm import (
     op8_decontaminate,
     op9_embeddings,
     op10_quality,
+    op11_search,
+    op12_negatives,
+    op13_warc,
 )
 
 QUERIES = {
@@ -24,5 +27,12 @@ QUERIES = {
     "op8_decontamination": op8_decontaminate.query,
     "op9_embedding_duplicates": op9_embeddings.query,
     "op10_quality": op10_quality.query,
+    "op11_lexical_search": op11_search.query,
+    "op12_hard_negatives": op12_negatives.query,
+    "op13_warc_members": op13_warc.query,
+}
+ORACLE_SQL: dict = {
+    "op11_lexical_search": op11_search.SQL,
+    "op12_hard_negatives": op12_negatives.SQL,
+    "op13_warc_members": op13_warc.SQL,
 }
-ORACLE_SQL: dict = {}
