@@ -115,7 +115,7 @@ def test_p_values(spark):
         assert abs(r.p - want) < 1e-9 and (want < 1e-200 or abs(r.p / want - 1) < 1e-7)
     far = spark.createDataFrame([(1.96, 1e7), (0.01, 1e7), (5.0, 1e6)], "t double, d double").select(pvalues.t_p(F.col("t"), F.col("d")).alias("p"), "t").collect()
     for r in far:
-        assert r.p == pytest.approx(math.erfc(r.t / math.sqrt(2)), rel=1e-4)
+        assert r.p == pytest.approx(math.erfc(r.t / math.sqrt(2)), rel=1e-3)
     odd = spark.createDataFrame([(None, 5.0), (math.nan, 5.0), (math.inf, 5.0), (1.0, 0.0)], "t double, d double").select(pvalues.t_p(F.col("t"), F.col("d")).alias("p")).collect()
     assert [r.p for r in odd] == [None] * 4
     r = spark.createDataFrame([(0.5, 12), (1.0, 5), (0.9, 2)], "r double, n int").select(pvalues.pearson_p(F.col("r"), F.col("n")).alias("p")).collect()
