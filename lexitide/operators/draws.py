@@ -22,10 +22,11 @@ def draws(df: DataFrame, by: list[str], key: str, n: int, weight: str | None = N
     on slices of the running counts, in which a row stands once for each slice that it reaches into."""
     scratch = Scratch(df.sparkSession, "draws")
     own = df.select(*by, F.col(key).alias("__key"), (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("__w")).where("__w > 0")
-    own = own.withColumn("__h", F.xxhash64(F.lit(seed), "__key"))
+    own = own.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__key").cast("string"))))
     rows = scratch.save(_running(own, by, scratch), "running")
     total = rows.groupBy(*by).agg(F.max("__last").alias("__all"))
-    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "draw", *by), 11) / F.lit(float(1 << 53))
+    named = F.concat_ws("|", F.lit(f"draw {seed}"), F.col("draw").cast("string"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by))
+    share = F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     drawn = total.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__at", F.least(F.floor(share * F.col("__all")), F.col("__all") - 1))
     drawn = drawn.select(*(F.col(c).alias(f"__d_{c}") for c in by), "draw", "__at", F.floor(F.col("__at") / STEP).alias("__slice"))
     reach = rows.withColumn("__s", F.explode(F.sequence(F.floor((F.col("__last") - F.col("__w")) / STEP), F.floor((F.col("__last") - 1) / STEP))))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +23,18 @@ def mean_vectors(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     return rows.groupBy(*by).agg(listed.alias(vector))
 
 
-def axes(vectors: DataFrame, poles: DataFrame, by: list[str]) -> DataFrame:
-    """(by, contrast, axis): mean of the pos words' vectors less that of the neg words'. poles: contrast, word, band."""
-    means = mean_vectors(vectors.join(poles.where("band in ('pos', 'neg')"), "word"), [*by, "contrast", "band"], "vector")
+def axes(vectors: DataFrame, poles: DataFrame, by: list[str], least: int = 1, unit: bool = False) -> DataFrame:
+    """(by, contrast, axis): mean of the pos words' vectors less that of the neg words'. poles: contrast, word, band.
+
+    A contrast needs at least so many words of each pole in a model. unit: of length one."""
+    own = vectors.join(poles.where("band in ('pos', 'neg')"), "word")
+    keys = [*by, "contrast", "band"]
+    means = mean_vectors(own, keys, "vector").join(own.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= least), keys)
     pick = lambda b: F.first(F.when(F.col("band") == b, F.col("vector")), ignorenulls=True)
     both = means.groupBy(*by, "contrast").agg(pick("pos").alias("p"), pick("neg").alias("n")).where("p is not null and n is not null")
-    return both.select(*by, "contrast", F.zip_with("p", "n", lambda x, y: x - y).alias("axis"))
+    out = both.select(*by, "contrast", F.zip_with("p", "n", lambda x, y: x - y).alias("axis"))
+    length = F.nullif(F.sqrt(dot(F.col("axis"), F.col("axis"))), F.lit(0.0))
+    return out.withColumn("axis", F.transform("axis", lambda x: x / length)) if unit else out
 
 
 def axis_scores(vectors: DataFrame, axes_: DataFrame, by: list[str]) -> DataFrame:
@@ -52,18 +56,6 @@ def centred(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     return df.join(means, by).withColumn(vector, F.zip_with(vector, "__m", lambda x, y: x.cast("double") - y)).drop("__m")
 
 
-def word2vec(sentences: DataFrame, runs: int = 1, size: int = 100, window: int = 10, least: int = 10) -> DataFrame:
-    """(run, word, vector) of skip-gram models over sentences (words array), one for each seed."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    out = []
-    for run in range(runs):
-        model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, seed=run, inputCol="words", outputCol="v").fit(sentences)
-        out.append(model.getVectors().select(F.lit(run).alias("run"), "word", vector_to_array("vector").alias("vector")))
-    return reduce(DataFrame.unionByName, out)
-
-
 def reduced(df: DataFrame, vector: str, k: int) -> DataFrame:
     """Principal components of centred vectors."""
     from pyspark.ml.feature import PCA, StandardScaler
@@ -73,20 +65,3 @@ def reduced(df: DataFrame, vector: str, k: int) -> DataFrame:
     rows = StandardScaler(withMean=True, withStd=False, inputCol="__v", outputCol="__c").fit(rows).transform(rows)
     rows = PCA(k=k, inputCol="__c", outputCol="__p").fit(rows).transform(rows)
     return rows.withColumn("components", vector_to_array("__p")).drop("__v", "__c", "__p")
-
-
-def explained(df: DataFrame, y: str, x: list[str]) -> float:
-    """R2 of a linear model of y on the columns x."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    rows = VectorAssembler(inputCols=x, outputCol="__x", handleInvalid="skip").transform(df.where(F.col(y).isNotNull()))
-    return LinearRegression(featuresCol="__x", labelCol=y, solver="normal").fit(rows).summary.r2
-
-
-def partition(df: DataFrame, y: str, blocks: dict[str, list[str]]) -> DataFrame:
-    """R2 of all blocks, and what each adds to the others."""
-    every = [c for b in blocks.values() for c in b]
-    full = explained(df, y, every)
-    rows = [("all", full)] + [(name, full - explained(df, y, [c for c in every if c not in own])) for name, own in blocks.items() if len(blocks) > 1]
-    return df.sparkSession.createDataFrame(rows, "block string, r2 double")

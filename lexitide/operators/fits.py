@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.functions import stats
+from lexitide.functions.pvalues import t_p
 from lexitide.runtime import Scratch
 
 GRID = np.arange(1650, 1851, 10)
@@ -172,19 +173,14 @@ def arc_statistics(points: DataFrame, keys: list[str], grid: np.ndarray = GRID)
 
 
 def welch(df: DataFrame, keys: list[str], group: str, value: str, a: str, b: str) -> DataFrame:
-    """Welch's t and p of two groups, from counts, means and variances; p's rank corrections in adjusted_p."""
+    """Welch's t, degrees of freedom and p of two groups, from counts, means and variances; p's rank corrections in adjusted_p."""
     pick = lambda g, f: f(F.when(F.col(group) == g, F.col(value)))
     own = df.groupBy(*keys).agg(*(pick(g, f).alias(f"{n}_{s}") for s, g in (("a", a), ("b", b)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
-
-    def test(pdfs):
-        for pdf in pdfs:
-            va, vb = pdf.v_a / pdf.n_a, pdf.v_b / pdf.n_b
-            t = (pdf.m_a - pdf.m_b) / np.sqrt(va + vb)
-            dof = (va + vb) ** 2 / (va**2 / (pdf.n_a - 1) + vb**2 / (pdf.n_b - 1))
-            yield pdf[keys].assign(diff=pdf.m_a - pdf.m_b, t=t, dof=dof, p=[stats.t_p(x, d) for x, d in zip(t, dof)])
-
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return own.where("n_a > 1 and n_b > 1 and v_a + v_b > 0").mapInPandas(test, f"{kinds}, diff double, t double, dof double, p double")
+    own = own.where("n_a > 1 and n_b > 1 and v_a + v_b > 0").withColumn("__a", F.col("v_a") / F.col("n_a")).withColumn("__b", F.col("v_b") / F.col("n_b"))
+    t = (F.col("m_a") - F.col("m_b")) / F.sqrt(F.col("__a") + F.col("__b"))
+    dof = (F.col("__a") + F.col("__b")) ** 2 / (F.col("__a") ** 2 / (F.col("n_a") - 1) + F.col("__b") ** 2 / (F.col("n_b") - 1))
+    own = own.select(*keys, (F.col("m_a") - F.col("m_b")).alias("diff"), t.alias("t"), dof.alias("dof"))
+    return own.withColumn("p", t_p(F.col("t"), F.col("dof")))
 
 
 def adjusted_p(tests: DataFrame, p: str = "p") -> DataFrame:

@@ -21,9 +21,11 @@ def cascade_join(left: DataFrame, right: DataFrame, key: str, rewrites: list[Col
     One join over all rewrites instead of a try for each; rewrites are columns over left."""
     own = [c for c in right.columns if c != key]
     unique = right.groupBy(key).agg(F.min(F.struct(*own)).alias("__r")).withColumnRenamed(key, "__key")
-    ids = left.withColumn("__id", F.struct(*left.columns))
-    found = rewritten_keys(ids, key, rewrites).join(unique, "__key").groupBy("__id").agg(F.min_by(F.struct("__rewrite", "__r"), "__rewrite").alias("__b"))
-    out = left.withColumn("__id", F.struct(*left.columns)).join(found, "__id", "left")
+    # only lists of rewrites are looked up, each once; whole rows travel once, by their list
+    forms = left.withColumn("__forms", F.array(*rewrites))
+    each = forms.select("__forms").distinct().select("__forms", F.posexplode("__forms").alias("__rewrite", "__key")).join(unique, "__key")
+    best = each.groupBy("__forms").agg(F.min_by(F.struct("__rewrite", "__r"), "__rewrite").alias("__b"))
+    out = forms.join(best, "__forms", "left")
     return out.select(*left.columns, F.col("__b.__rewrite").alias("rewrite"), *(F.col(f"__b.__r.{c}").alias(c) for c in own))
 
 

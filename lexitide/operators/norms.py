@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexitide.functions.bins import word_class
 from lexitide.functions.numeric import correlation
+from lexitide.functions.pvalues import pearson_p
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -103,17 +104,17 @@ def information(counts: DataFrame) -> DataFrame:
     """(word, ic): -log2 of the word's share, median over models in a century, then over centuries.
 
     counts: model, century, word, n."""
-    share = F.log2(F.sum("n").over(Window.partitionBy("model")) / F.col("n"))
-    by_century = counts.withColumn("ic", share).groupBy("century", "word").agg(F.median("ic").alias("ic"))
+    total = counts.groupBy("model").agg(F.sum("n").alias("__all"))  # a window would put a whole model in one task
+    by_century = counts.join(total, "model").withColumn("ic", F.log2(F.col("__all") / F.col("n"))).groupBy("century", "word").agg(F.median("ic").alias("ic"))
     return by_century.groupBy("word").agg(F.median("ic").alias("ic"))
 
 
 def correlations(norms: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson's r and the number of complete rows for each pair a < b of columns."""
+    """Pearson's r, the number of complete rows and the two-sided p for each pair a < b of columns."""
     pairs = [(a, b) for i, a in enumerate(sorted(columns)) for b in sorted(columns)[i + 1 :]]
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col(a), F.col(b)).alias("r"), F.count_if(both(a, b)).alias("n")) for a, b in pairs]
-    return norms.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    return norms.agg(F.array(*cells).alias("cells")).select(F.inline("cells")).withColumn("p", pearson_p(F.col("r"), F.col("n")))
 
 
 def fingerprint(norms_long: DataFrame) -> DataFrame:

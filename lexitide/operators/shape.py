@@ -42,12 +42,6 @@ def bernoulli(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame
     return df.where(F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) < share)
 
 
-def middle_row(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("__n", F.row_number().over(w.orderBy(*order))).withColumn("__c", F.count("*").over(w))
-    return ranked.where(F.col("__n") == F.floor(F.col("__c") / 2) + 1).drop("__n", "__c")
-
-
 def cross_table(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of pairs with margins; null names stand for all (a and b have none)."""
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).cube(a, b).count()
@@ -97,17 +91,10 @@ def measures_by(df: DataFrame, axes: list[str], measures: list[str], least: int
     return out.where(F.col("n") >= least)
 
 
-def gini_of(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Gini coefficient of a value in each group, by ranks."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    out = df.withColumn("__r", rank).groupBy(*by).agg(F.sum(F.col("__r") * F.col(value)).alias("rv"), F.sum(value).alias("v"), F.count("*").alias("n"))
-    return out.select(*by, F.try_divide(2 * F.col("rv") - (F.col("n") + 1) * F.col("v"), F.col("n") * F.col("v")).alias("gini"))
-
-
 def from_baseline(df: DataFrame, period: str, value: str) -> DataFrame:
     """Adds baseline, the mean of value in the period, and the row's deviation from it."""
-    mean = F.avg(value).over(Window.partitionBy(period))
-    return df.withColumn("baseline", mean).withColumn("deviation", F.col(value) - F.col("baseline"))
+    means = df.groupBy(F.col(period).alias("__p")).agg(F.avg(value).alias("baseline"))  # a row for each period, joined back
+    return df.join(means, F.col(period).eqNullSafe(F.col("__p"))).drop("__p").withColumn("deviation", F.col(value) - F.col("baseline"))
 
 
 def detrended_means(df: DataFrame, by: str, x: str, y: str, least: int = 1) -> DataFrame:

@@ -32,7 +32,8 @@ def shares(decades: DataFrame, norms: DataFrame, least: int = 1) -> DataFrame:
     """(decade, word, z, p): shares among the rated, frequent words of the decade, zeros included."""
     kept = decades.join(norms.select("word", "z").where("z is not null"), "word")
     kept = kept.withColumn("n", F.sum("cnt").over(Window.partitionBy("word"))).where(F.col("n") >= least)
-    share = kept.withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("decade")))
+    total = kept.groupBy("decade").agg(F.sum("cnt").alias("__all"))  # few rows; a window would put a decade's words in one task
+    share = kept.join(F.broadcast(total), "decade").withColumn("p", F.col("cnt") / F.col("__all"))
     by_word = share.groupBy("word", "z").agg(F.map_from_entries(F.collect_list(F.struct("decade", "p"))).alias("p"))
     every = kept.select("decade").distinct().agg(F.array_sort(F.collect_list("decade")).alias("decades"))  # as many as decades
     filled = by_word.join(F.broadcast(every)).select("word", "z", "p", F.explode("decades").alias("decade"))

@@ -10,7 +10,7 @@ from lexitide.operators import aggregate, correction, counting, embeddings, fits
 from lexitide.operators import norms as N
 from lexitide.operators import records as R
 from lexitide.plans import stand_in as S
-from lexitide.plans.catalog import query, rounded
+from lexitide.plans.catalog import query, rounded, t_p_sql
 from lexitide.runtime import table
 
 
@@ -251,12 +251,13 @@ def rated_by_source(spark, sf):
 
 
 @query(
-    "WITH a AS (SELECT l_linenumber AS k, count(*) FILTER (l_linestatus = 'F') AS na, count(*) FILTER (l_linestatus = 'O') AS nb, avg(l_discount) FILTER (l_linestatus = 'F') AS ma, avg(l_discount) FILTER (l_linestatus = 'O') AS mb, var_samp(l_discount) FILTER (l_linestatus = 'F') AS va, var_samp(l_discount) FILTER (l_linestatus = 'O') AS vb FROM lineitem GROUP BY 1) "
-    "SELECT k AS l_linenumber, round(ma - mb, 6) AS diff, round((ma - mb) / sqrt(va / na + vb / nb), 5) AS t, round((va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 3) AS dof FROM a"
+    "WITH a AS (SELECT l_linenumber AS k, count(*) FILTER (l_linestatus = 'F') AS na, count(*) FILTER (l_linestatus = 'O') AS nb, avg(l_discount) FILTER (l_linestatus = 'F') AS ma, avg(l_discount) FILTER (l_linestatus = 'O') AS mb, var_samp(l_discount) FILTER (l_linestatus = 'F') AS va, var_samp(l_discount) FILTER (l_linestatus = 'O') AS vb FROM lineitem GROUP BY 1)"
+    ", w AS (SELECT k, ma - mb AS diff, (ma - mb) / sqrt(va / na + vb / nb) AS t, (va / na + vb / nb) ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)) AS dof FROM a) "
+    f"SELECT k AS l_linenumber, round(diff, 6) AS diff, round(t, 5) AS t, round(dof, 3) AS dof, round({t_p_sql('t', 'dof')}, 7) AS p FROM w"
 )
 def welch_statistics(spark, sf):
     out = fits.welch(table(spark, sf, "lineitem"), ["l_linenumber"], "l_linestatus", "l_discount", "F", "O")
-    return out.select("l_linenumber", F.round("diff", 6).alias("diff"), F.round("t", 5).alias("t"), F.round("dof", 3).alias("dof"))
+    return out.select("l_linenumber", F.round("diff", 6).alias("diff"), F.round("t", 5).alias("t"), F.round("dof", 3).alias("dof"), F.round("p", 7).alias("p"))
 
 
 @query("WITH p AS (SELECT p_partkey, (p_partkey * 7919 % 1000 + 1) / 1001.0 AS p FROM part), r AS (SELECT p_partkey, p, p * count(*) OVER () / (count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM p) SELECT p_partkey, round(least(1.0, min(q) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS p_adjusted FROM r")

@@ -9,7 +9,7 @@ from lexitide.functions import text as T
 from lexitide.operators import counting, scoring
 from lexitide.operators import norms as N
 from lexitide.plans import stand_in as S
-from lexitide.plans.catalog import query, rounded
+from lexitide.plans.catalog import query, rounded, t_p_sql
 from lexitide.runtime import table
 
 PCT = ", ".join(
@@ -71,7 +71,10 @@ def norms_by_century(spark, sf):
     return rounded(S.century_norms(spark, sf))
 
 
-@query(f"WITH {S.NORMS} SELECT 'z_quality' AS a, 'z_toxic' AS b, round(corr(z_quality, z_toxic), 6) AS r, count(*) AS n FROM norms WHERE z_quality IS NOT NULL AND z_toxic IS NOT NULL")
+@query(
+    f"WITH {S.NORMS}, c AS (SELECT corr(z_quality, z_toxic) AS r, count(*) AS n FROM norms WHERE z_quality IS NOT NULL AND z_toxic IS NOT NULL), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, CAST(n - 2 AS DOUBLE) AS dof FROM c) "
+    f"SELECT 'z_quality' AS a, 'z_toxic' AS b, round(r, 6) AS r, n, round({t_p_sql('t', 'dof')}, 6) AS p FROM t"
+)
 def norms_correlations(spark, sf):
     return rounded(N.correlations(S.norms(spark, sf), ["z_quality", "z_toxic"]))
 
@@ -184,11 +187,14 @@ _ROWS = (
 )
 
 
-@query(
+counting_windows_sql = (
     f"WITH {S.CONTRASTS}, {_ROWS}, g AS (SELECT doc_id, win, count(*) FILTER (band = 'neg') AS num_abs, count(*) FILTER (band = 'pos') AS num_conc, count(*) FILTER (band = 'neither') AS num_neither, count(band) AS num_total, "
     "count(*) FILTER (regexp_matches(token, '^\\p{L}')) AS num_words, count(DISTINCT CASE WHEN band IS NOT NULL THEN word END) AS num_types FROM win GROUP BY ALL HAVING count(band) > 0) "
     "SELECT doc_id, num_abs, num_conc, num_neither, num_total, num_words, num_types, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY win) AS INTEGER) AS slice FROM g"
 )
+
+
+@query(counting_windows_sql)
 def counting_windows(spark, sf):
     docs = table(spark, sf, "documents").where("lang = 'en'")
     return counting.window_counts(docs, S.contrasts(spark, sf), ["doc_id"], 50).drop("contrast", "window")

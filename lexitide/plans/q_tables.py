@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexitide.functions import bins
 from lexitide.functions import text as T
 from lexitide.functions.numeric import correlation
-from lexitide.operators import embeddings, graphs, joins, shape
+from lexitide.operators import embeddings, graphs, joins, order, shape
 from lexitide.operators import norms as N
 from lexitide.plans import stand_in as S
 from lexitide.plans.catalog import query, rounded
@@ -121,13 +121,19 @@ def bernoulli_sample(spark, sf):
 
 @query(f"WITH {S.ORDERS}, r AS (SELECT year, o_orderkey, row_number() OVER (PARTITION BY year ORDER BY price, o_orderkey) AS i, count(*) OVER (PARTITION BY year) AS c FROM o) SELECT year, o_orderkey FROM r WHERE i = c // 2 + 1")
 def middle_rows(spark, sf):
-    return shape.middle_row(S.orders(spark, sf).select("year", "o_orderkey", "price"), ["year"], "price", "o_orderkey").select("year", "o_orderkey")
+    return order.middle_rows(S.orders(spark, sf).select("year", "o_orderkey", "price"), ["year"], ["price", "o_orderkey"]).select("year", "o_orderkey")
 
 
 @query(f"WITH {S.ORDERS} SELECT segment, round(quantile_cont(price, 0.05), 4) AS p05, round(quantile_cont(price, 0.95), 4) AS p95, round(median(price), 4) AS median FROM o GROUP BY 1")
 def quantiles(spark, sf):
-    q = F.percentile("price", F.array(F.lit(0.05), F.lit(0.95)))
-    return S.orders(spark, sf).groupBy("segment").agg(F.round(q[0], 4).alias("p05"), F.round(q[1], 4).alias("p95"), F.round(F.median("price"), 4).alias("median"))
+    out = order.quantiles(S.orders(spark, sf), ["segment"], "price", {"p05": 0.05, "p95": 0.95, "median": 0.5})
+    return rounded(out, 4)
+
+
+@query("SELECT count(*) AS n, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(median(l_extendedprice), 4) AS q2, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem")
+def quantiles_of_all(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return rounded(order.quantiles(li, [], "l_extendedprice", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).join(li.agg(F.count("*").alias("n"))), 4)
 
 
 @query(f"WITH {S.ORDERS} SELECT segment, priority, count(*) AS count FROM o GROUP BY CUBE (segment, priority)")
@@ -186,7 +192,7 @@ def measures_by_axis(spark, sf):
 
 @query("WITH r AS (SELECT c_mktsegment, c_acctbal + 1000 AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS r FROM customer) SELECT c_mktsegment, round((2 * sum(r * v) - (count(*) + 1) * sum(v)) / (count(*) * sum(v)), 6) AS gini FROM r GROUP BY 1")
 def gini(spark, sf):
-    return rounded(shape.gini_of(table(spark, sf, "customer").withColumn("v", F.col("c_acctbal") + 1000), ["c_mktsegment"], "v"))
+    return rounded(order.gini(table(spark, sf, "customer").withColumn("v", F.col("c_acctbal") + 1000), ["c_mktsegment"], "v"))
 
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (json_extract_string(props, '$.k') IS NOT NULL) AS with_k, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean, round(1.96 * stddev_samp(value) / sqrt(count(*)), 6) AS ci FROM events GROUP BY 1")
@@ -290,19 +296,6 @@ def reduced_dimensions(spark, sf):
     return out.select("vec_id", F.round(F.abs(F.col("components")[0]), 6).alias("x"), F.round(F.abs(F.col("components")[1]), 6).alias("y"))
 
 
-@query()
-def variance_partition(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    return rounded(embeddings.partition(li, "l_extendedprice", {"quantity": ["l_quantity"], "terms": ["l_discount", "l_tax"]}))
-
-
-@query()
-def word_vectors(spark, sf):
-    sentences = table(spark, sf, "documents").where("lang = 'en'").select(T.words(F.col("text")).alias("words"))
-    out = embeddings.word2vec(sentences, runs=1, size=16, window=5, least=20)
-    return out.select("run", "word", F.size("vector").alias("size"), (F.sqrt(embeddings.dot(F.col("vector"), F.col("vector"))) > 0).alias("trained"))
-
-
 @query("SELECT DISTINCT lang FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY lang HAVING count(*) > 20)")
 def shared_values(spark, sf):
     d = table(spark, sf, "documents")
