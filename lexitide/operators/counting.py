@@ -13,20 +13,19 @@ def token_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
     return texts.select(*keys, F.posexplode(T.tokens(F.col("text"))).alias("position", "token"))
 
 
-def window_counts(texts: DataFrame, contrasts: DataFrame, keys: list[str], size: int, on: list[str] | None = None) -> DataFrame:
+def window_counts(texts: DataFrame, contrasts: DataFrame, keys: list[str], size: int, on: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
     """Counts by windows of size recognised tokens, a window ending on the token that fills it.
 
-    contrasts: [on,] contrast, word, band (neg, pos, neither); a token is recognised if its lower-cased form is in the contrast.
+    contrasts: [on,] contrast, word, band (neg, pos, neither); names are those of the contrasts, if they are known. A token is recognised if its lower-cased form is in the contrast.
     Trailing unrecognised tokens go to the next window, and a last short window stays only if it has a recognised
     token. The order of tokens is kept inside a text only, so a window function by (text, contrast) does it; no text
     is larger than a row was."""
     on = on or []
     rows = token_rows(texts, list(dict.fromkeys([*keys, *on]))).withColumn("word", F.lower("token"))
-    names = contrasts.select(*on, "contrast").distinct()
-    if on:
-        rows = rows.join(F.broadcast(names), on)  # a few contrasts for each key
+    if names:  # known: nothing is read for them
+        rows = rows.withColumn("contrast", F.explode(F.array(*(F.lit(n) for n in names))) if len(names) > 1 else F.lit(names[0]))
     else:
-        rows = rows.withColumn("contrast", F.explode(F.array(*(F.lit(r["contrast"]) for r in names.orderBy("contrast").collect()))))
+        rows = rows.join(contrasts.select(*on, "contrast").distinct(), on) if on else rows.crossJoin(contrasts.select("contrast").distinct())  # a few contrasts for each key
     rows = rows.join(contrasts, [*on, "contrast", "word"], "left")
     seen = F.sum(F.when(F.col("band").isNotNull(), 1).otherwise(0))
     before = seen.over(Window.partitionBy(*keys, "contrast").orderBy("position").rowsBetween(Window.unboundedPreceding, -1))

@@ -8,14 +8,13 @@ from lexitide.functions import bins
 from lexitide.operators import aggregate, correction, decompose, fits, shape, words
 from lexitide.plans import stand_in as S
 from lexitide.plans.catalog import query, rounded
-from lexitide.runtime import Scratch, table
+from lexitide.runtime import kept, table, table_state
 
 
 def _reps(spark, sf):
-    texts = S.texts(spark, sf)
-    grouped = aggregate.representatives(S.groups(spark, sf), texts).select("_id")
-    alone = texts.select("_id").join(S.groups(spark, sf).select("_id"), "_id", "left_anti")
-    return grouped.unionAll(alone)
+    """One text of each group, and all texts in no group: one aggregate, in which a text without a group is its own."""
+    rows = S.texts(spark, sf).select("_id", "year").join(S.groups(spark, sf), "_id", "left")
+    return rows.groupBy(F.coalesce("group_id", "_id").alias("g")).agg(F.min_by("_id", F.struct(F.col("year").isNull(), "year", "_id")).alias("_id")).select("_id")
 
 
 REPS = "reps AS (SELECT arg_min(g._id, (t.year, g._id)) AS _id FROM groups g JOIN texts t USING (_id) GROUP BY group_id UNION ALL SELECT _id FROM texts WHERE _id NOT IN (SELECT _id FROM groups))"
@@ -190,18 +189,13 @@ SHARES = (
 
 
 def _decades(spark, sf):
-    return _by_decade(S.freqs(spark, sf, "_id", "lang", "year"))
-
-
-def _by_decade(counts):
-    by_decade = Scratch(counts.sparkSession, "decades").save(words.by_decade(counts.where("lang = 'en'")), "all")
+    by_decade = kept(spark, "decades", table_state(spark, sf, "documents"), lambda: words.by_decade(S.counted(spark, sf).where("lang = 'en'")))
     return words.most_frequent(by_decade, 10_000)
 
 
 def _shares(spark, sf):
-    counts = S.counted(spark, sf)
-    norms = S.norms(spark, sf, counts).where("lang = 'en'").select("word", F.col("z_quality").alias("z"))
-    return Scratch(spark, "shares").save(words.shares(_by_decade(counts), norms, 20), "shares")
+    norms = S.norms(spark, sf).where("lang = 'en'").select("word", F.col("z_quality").alias("z"))
+    return kept(spark, "shares", S._states(spark, sf), lambda: words.shares(_decades(spark, sf), norms, 20))
 
 
 @query(f"WITH {DECADES} SELECT * FROM d")

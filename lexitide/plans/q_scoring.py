@@ -197,7 +197,7 @@ counting_windows_sql = (
 @query(counting_windows_sql)
 def counting_windows(spark, sf):
     docs = table(spark, sf, "documents").where("lang = 'en'")
-    return counting.window_counts(docs, S.contrasts(spark, sf), ["doc_id"], 50).drop("contrast", "window")
+    return counting.window_counts(docs, S.contrasts(spark, sf), ["doc_id"], 50, names=["quality"]).drop("contrast", "window")
 
 
 @query(

@@ -9,7 +9,7 @@ from lexitide.functions import bins
 from lexitide.functions import text as T
 from lexitide.operators import norms as N
 from lexitide.operators import scoring
-from lexitide.runtime import Scratch, spread, table
+from lexitide.runtime import Scratch, kept, spread, table, table_state
 
 CENTURIES = (16, 17, 18, 19, 20)
 
@@ -24,58 +24,84 @@ def texts(spark: SparkSession, sf: str, columns: tuple = ()) -> DataFrame:
     return spread(out) if "text" in columns else out
 
 
-def freqs(spark: SparkSession, sf: str, *keys: str) -> DataFrame:
-    return scoring.word_counts(texts(spark, sf, ("text",)), [*(keys or ("_id", "lang"))])
+def counted(spark: SparkSession, sf: str) -> DataFrame:
+    """(_id, doc_id, corpus, lang, year, word, cnt): texts are tokenised once in a session, for all scores and ratings."""
+    keys = ["_id", "doc_id", "corpus", "lang", "year"]
+    return kept(spark, "counted", table_state(spark, sf, "documents"), lambda: scoring.word_counts(texts(spark, sf, ("text",)), keys))
 
 
-def counted(spark: SparkSession, sf: str) -> DataFrame:
-    """(_id, doc_id, lang, year, word, cnt), saved: texts are tokenised once, for the scores and for the ratings."""
-    return Scratch(spark, "counted").save(freqs(spark, sf, "_id", "doc_id", "lang", "year"), "freqs")
+def freqs(spark: SparkSession, sf: str, *keys: str) -> DataFrame:
+    """(keys, word, cnt); keys with the text's id need no further sum."""
+    keys = keys or ("_id", "lang")
+    rows = counted(spark, sf)
+    return rows.select(*keys, "word", "cnt") if "_id" in keys or "doc_id" in keys else rows.groupBy(*keys, "word").agg(F.sum("cnt").alias("cnt"))
 
 
 def both(spark: SparkSession, sf: str, ratings) -> tuple[DataFrame, DataFrame]:
     """Saved word counts, and ratings made of them."""
-    counts = counted(spark, sf)
-    return counts, ratings(spark, sf, counts)
+    return counted(spark, sf), ratings(spark, sf)
+
+
+def _states(spark: SparkSession, sf: str) -> tuple:
+    return table_state(spark, sf, "documents"), table_state(spark, sf, "labels")
+
+
+def rated(spark: SparkSession, sf: str, century: bool = False) -> DataFrame:
+    """(lang[, century], word, quality, toxic, n): means over labelled documents that hold the word, at least 3."""
 
+    def make() -> DataFrame:
+        words = counted(spark, sf).join(table(spark, sf, "labels"), "doc_id").withColumn("century", bins.century_label(F.col("year")))
+        keys = ["lang", *(["century"] if century else []), "word"]
+        return words.groupBy(*keys).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.count("*").alias("n")).where("n >= 3")
 
-def rated(spark: SparkSession, sf: str, century: bool = False, counts: DataFrame | None = None) -> DataFrame:
-    """(lang[, century], word, quality, toxic, n), saved: means over labelled documents that hold the word, at least 3."""
-    counts = counts if counts is not None else freqs(spark, sf, "_id", "doc_id", "lang", "year")
-    words = counts.join(table(spark, sf, "labels"), "doc_id").withColumn("century", bins.century_label(F.col("year")))
-    keys = ["lang", *(["century"] if century else []), "word"]
-    out = words.groupBy(*keys).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.count("*").alias("n")).where("n >= 3")
-    return Scratch(spark, "rated").save(out, "ratings")
+    return kept(spark, f"rated-{century}".lower(), _states(spark, sf), make)
 
 
-def norms(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
+def norms(spark: SparkSession, sf: str) -> DataFrame:
     """Wide ratings: (lang, word, z_quality, z_toxic, z_median)."""
-    out = N.with_zscores(rated(spark, sf, counts=counts), ["lang"], {"z_quality": "quality", "z_toxic": "toxic"}, 9)
-    return out.select("lang", "word", "z_quality", "z_toxic", F.round(N.row_median(F.col("z_quality"), F.col("z_toxic")), 9).alias("z_median"))
 
+    def make() -> DataFrame:
+        out = N.with_zscores(rated(spark, sf), ["lang"], {"z_quality": "quality", "z_toxic": "toxic"}, 9)
+        return out.select("lang", "word", "z_quality", "z_toxic", F.round(N.row_median(F.col("z_quality"), F.col("z_toxic")), 9).alias("z_median"))
 
-def norms_long(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
-    return N.long(norms(spark, sf, counts), ["lang", "word"], ["z_quality", "z_toxic", "z_median"])
+    return kept(spark, "norms", _states(spark, sf), make)
+
+
+def norms_long(spark: SparkSession, sf: str) -> DataFrame:
+    return N.long(norms(spark, sf), ["lang", "word"], ["z_quality", "z_toxic", "z_median"])
 
 
 def century_norms(spark: SparkSession, sf: str) -> DataFrame:
     """(lang, word, C16 .. C20): z of quality by language and century."""
-    out = N.with_zscores(rated(spark, sf, True), ["lang", "century"], {"z": "quality"}, 9)
-    return N.wide(out, ["lang", "word"], "century", "z", [f"C{c}" for c in CENTURIES])
+
+    def make() -> DataFrame:
+        out = N.with_zscores(rated(spark, sf, True), ["lang", "century"], {"z": "quality"}, 9)
+        return N.wide(out, ["lang", "word"], "century", "z", [f"C{c}" for c in CENTURIES])
+
+    return kept(spark, "century_norms", _states(spark, sf), make)
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """_id, corpus, lang, year, genre, score."""
-    counts = counted(spark, sf)
-    own = scoring.weighted_means(counts, norms(spark, sf, counts), ["lang", "word"], ["_id"], ["z_quality"])
-    return texts(spark, sf, ("genre",)).join(own.select("_id", F.col("z_quality").alias("score")), "_id")
+
+    def make() -> DataFrame:
+        own = scoring.weighted_means(counted(spark, sf), norms(spark, sf), ["lang", "word"], ["_id"], ["z_quality"])
+        return texts(spark, sf, ("genre",)).join(own.select("_id", F.col("z_quality").alias("score")), "_id")
+
+    return kept(spark, "scores", _states(spark, sf), make)
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:
-    """(_id, group_id) of texts that are copies of each other, after trim and lower."""
-    own = table(spark, sf, "documents").select(T.text_id(F.col("source"), F.col("doc_id")).alias("_id"), F.md5(F.lower(F.trim("text"))).alias("group_id"))
-    again = own.groupBy("group_id").count().where("count > 1").select("group_id")
-    return own.join(again, "group_id", "left_semi").select("_id", "group_id")
+    """(_id, group_id) of texts that are copies of each other, after trim and lower. Texts are hashed once in a session."""
+
+    def make() -> DataFrame:
+        # hashes are saved first: the texts would be read and hashed for either side of the join
+        own = table(spark, sf, "documents").select(T.text_id(F.col("source"), F.col("doc_id")).alias("_id"), F.md5(F.lower(F.trim("text"))).alias("group_id"))
+        own = Scratch(spark, "groups").save(own, "hashes")
+        again = own.groupBy("group_id").count().where("count > 1").select("group_id")
+        return own.join(again, "group_id", "left_semi").select("_id", "group_id")
+
+    return kept(spark, "groups", table_state(spark, sf, "documents"), make)
 
 
 def contrasts(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,6 +97,25 @@ class Scratch:
         _delete(self.spark, f"{self.base}/{name}")
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def table_state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Path, time of the last change and bytes of a table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return str(p), fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()
+
+
+def kept(spark: SparkSession, name: str, states: tuple, make) -> DataFrame:
+    """make()'s rows, written to the scratch folder once for a session and the states of its source tables; a frame of its own each time."""
+    key = (spark.sparkContext.applicationId, name, states)
+    if key not in _kept:
+        _kept[key] = Scratch(spark, name).save(make(), name)
+    one = _kept[key]
+    return spark.read.schema(one.schema).parquet(one._scratch_path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows anew where a scan has fewer than half as many tasks as there are cores, as with one large row group.
 
