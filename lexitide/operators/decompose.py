@@ -11,17 +11,23 @@ def cells(df: DataFrame, keys: list[str], category: str, value: str, period: Col
     return df.withColumn("__p", period).where("__p is not null").groupBy(*keys, F.col(category).alias("category"), "__p").agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
 
 
-def shift_share(df: DataFrame, category: str, value: str, period: Column, keys: list[str] | None = None, least: int = 1) -> DataFrame:
+def shift_share(df: DataFrame, category: str, value: str, period: Column, keys: list[str] | None = None, least: int = 1, missing: str = "zero") -> DataFrame:
     """A row for each category: shares, means and the three effects, each rounded to 6.
 
-    A category that one period lacks has share and mean 0 there. Shares are of all rows, null categories included; a
+    A category that one period lacks has share 0 there, and mean 0 or, with missing="overall", the period's mean over all rows. Shares are of all rows, null categories included; a
     category stays if it has least rows in either period."""
     keys = keys or []
     both = cells(df, keys, category, value, period)
     total = F.sum("n").over(Window.partitionBy(*keys, "__p"))
     both = both.withColumn("share", F.col("n") / total)
+    if missing == "overall":
+        whole = F.sum(F.col("n") * F.col("mean")).over(Window.partitionBy(*keys, "__p")) / total
+        both = both.withColumn("overall", whole)
+        over = both.groupBy(*keys).agg(*(F.max(F.when(F.col("__p") == p, F.col("overall"))).alias(f"overall_{p}") for p in ("early", "late")))
     pick = lambda p, c: F.coalesce(F.max(F.when(F.col("__p") == p, F.col(c))), F.lit(0))
     rows = both.where("category is not null").groupBy(*keys, "category").agg(*(pick(p, c).alias(f"{c}_{p}") for p in ("early", "late") for c in ("n", "share", "mean")))
+    if missing == "overall":
+        rows = (rows.join(over, keys) if keys else rows.join(F.broadcast(over))).withColumns({f"mean_{p}": F.when(F.col(f"n_{p}") == 0, F.coalesce(f"overall_{p}", F.lit(0.0))).otherwise(F.col(f"mean_{p}")) for p in ("early", "late")}).drop("overall_early", "overall_late")
     rows = rows.where((F.col("n_early") >= least) | (F.col("n_late") >= least))
     share, mean = F.col("share_late") - F.col("share_early"), F.col("mean_late") - F.col("mean_early")
     rows = rows.withColumn("composition", F.round(share * F.col("mean_early"), 6))

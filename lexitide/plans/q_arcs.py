@@ -127,7 +127,7 @@ def _shift_sql(category: str, keys: str = "", source: str = "o", value: str = "p
     k, by = (f"{keys}, ", f"PARTITION BY {keys}, p") if keys else ("", "PARTITION BY p")
     pick = lambda p, c: f"coalesce(max({c}) FILTER (p = '{p}'), 0)"
     return (
-        f"c0 AS (SELECT {k}{category} AS category, CASE WHEN year BETWEEN 1992 AND 1994 THEN 'early' WHEN year BETWEEN 1996 AND 1998 THEN 'late' END AS p, {value} AS v FROM {source}), "
+        f"c0 AS (SELECT {k}{category} AS category, CASE WHEN year BETWEEN 1995 AND 1997 THEN 'early' WHEN year BETWEEN 1998 AND 2001 THEN 'late' END AS p, {value} AS v FROM {source}), "
         f"c1 AS (SELECT {k}category, p, count(v) AS n, avg(v) AS m FROM c0 WHERE p IS NOT NULL GROUP BY ALL), c2 AS (SELECT *, n / sum(n) OVER ({by}) AS s FROM c1), "
         f"c3 AS (SELECT {k}category, {pick('early', 'n')} AS n_early, {pick('early', 's')} AS share_early, {pick('early', 'm')} AS mean_early, {pick('late', 'n')} AS n_late, {pick('late', 's')} AS share_late, {pick('late', 'm')} AS mean_late FROM c2 WHERE category IS NOT NULL GROUP BY ALL), "
         f"rows AS (SELECT *, round((share_late - share_early) * mean_early, 6) AS composition, round(share_early * (mean_late - mean_early), 6) AS within, round((share_late - share_early) * (mean_late - mean_early), 6) AS interaction FROM c3 WHERE n_early >= {least} OR n_late >= {least})"
@@ -139,7 +139,7 @@ _COLS = ["n_early", "share_early", "mean_early", "n_late", "share_late", "mean_l
 
 
 def _when():
-    return F.when(F.col("year").between(1992, 1994), "early").when(F.col("year").between(1996, 1998), "late")
+    return F.when(F.col("year").between(1995, 1997), "early").when(F.col("year").between(1998, 2001), "late")
 
 
 def _two(df, *more):
@@ -172,13 +172,13 @@ def shift_share_within_corpora(spark, sf):
 
 
 @query(
-    f"WITH {S.ORDERS}, c0 AS (SELECT segment AS category, CASE WHEN year BETWEEN 1992 AND 1994 THEN 'early' WHEN year BETWEEN 1996 AND 1998 THEN 'late' END AS p, price AS v FROM o), c1 AS (SELECT category, p, count(v) AS n, avg(v) AS m FROM c0 WHERE p IS NOT NULL GROUP BY ALL HAVING count(v) >= 30), "
+    f"WITH {S.ORDERS}, c0 AS (SELECT segment AS category, CASE WHEN year BETWEEN 1995 AND 1997 THEN 'early' WHEN year BETWEEN 1998 AND 2001 THEN 'late' END AS p, price AS v FROM o), c1 AS (SELECT category, p, count(v) AS n, avg(v) AS m FROM c0 WHERE p IS NOT NULL GROUP BY ALL HAVING count(v) >= 30), "
     "c2 AS (SELECT * FROM c1 WHERE category IN (SELECT category FROM c1 GROUP BY 1 HAVING count(*) = 2)), c3 AS (SELECT *, n / sum(n) OVER (PARTITION BY p) AS s FROM c2), c4 AS (SELECT category, max(s) FILTER (p = 'early') AS se, max(s) FILTER (p = 'late') AS sl, max(m) FILTER (p = 'early') AS me, max(m) FILTER (p = 'late') AS ml FROM c3 GROUP BY 1) "
-    "SELECT category, round((sl - se) * me, 2) AS composition, round(se * (ml - me), 2) AS within, round((sl - se) * (ml - me), 2) AS interaction FROM c4"
+    "SELECT category, round((sl - se) * me, 1) AS composition, round(se * (ml - me), 1) AS within, round((sl - se) * (ml - me), 1) AS interaction FROM c4"
 )
 def shift_share_common(spark, sf):
     out = decompose.common_only(S.orders(spark, sf), "segment", "price", _when())
-    return out.select("category", *(F.round(c, 2).alias(c) for c in ("composition", "within", "interaction")))
+    return out.select("category", *(F.round(c, 1).alias(c) for c in ("composition", "within", "interaction")))
 
 
 DECADES = f"{S.NORMS}, d0 AS (SELECT CAST(floor(year / 10) * 10 AS INTEGER) AS decade, word, sum(cnt) AS cnt FROM freqs WHERE lang = 'en' AND regexp_matches(word, '^\\p{{L}}+$') GROUP BY ALL), top AS (SELECT word FROM d0 GROUP BY word ORDER BY sum(cnt) DESC, word LIMIT 10000), d AS (SELECT * FROM d0 WHERE word IN (SELECT word FROM top))"

@@ -125,9 +125,9 @@ def tokens(spark, sf):
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("n_chars"))
 
 
-@query(r"SELECT doc_id, text = array_to_string(regexp_extract_all(text, '(?s)[\p{L}\p{N}_'']+|[^\p{L}\p{N}_'']'), '') AS lossless FROM documents WHERE length(text) > 0")
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '(?s)[\p{L}\p{N}_'']+|[^\p{L}\p{N}_'']'), '¦') AS tokens, text FROM documents WHERE length(text) > 0")
 def tokens_lossless(spark, sf):
-    return table(spark, sf, "documents").where("length(text) > 0").select("doc_id", (F.array_join(T.lossless_tokens(F.col("text")), "") == F.col("text")).alias("lossless"))
+    return table(spark, sf, "documents").where("length(text) > 0").select("doc_id", F.array_join(T.lossless_tokens(F.col("text")), "¦").alias("tokens"), F.array_join(T.lossless_tokens(F.col("text")), "").alias("text"))
 
 
 @query(

@@ -170,14 +170,14 @@ def kept_categories(spark, sf):
     return shape.kept_categories(t, "lang", "c", 4, 5).select("_id", "lang")
 
 
-@query("WITH p AS (SELECT unnest(regexp_split_to_array(p_type, ' ')) AS v FROM part) SELECT trim(v) AS value, count(*) AS count FROM p GROUP BY 1 HAVING count(*) >= 3")
+@query("WITH p AS (SELECT unnest(regexp_split_to_array(p_name || ' ' || p_type, ' ')) AS v FROM part) SELECT trim(v) AS value, count(*) AS count FROM p GROUP BY 1 HAVING count(*) >= 3")
 def multi_value_tally(spark, sf):
-    return shape.multi_values(table(spark, sf, "part"), "p_type", " ", 3)
+    return shape.multi_values(table(spark, sf, "part").withColumn("names", F.concat_ws(" ", "p_name", "p_type")), "names", " ", 3)
 
 
-@query("WITH p AS (SELECT p_partkey, regexp_split_to_array(p_type, ' ') AS l FROM part), r AS (SELECT p_partkey, unnest(l) AS label, unnest(range(len(l))) AS pos FROM p), n AS (SELECT label, count(*) AS n FROM r GROUP BY 1) SELECT p_partkey, arg_max(label, (n, -pos)) AS label FROM r JOIN n USING (label) GROUP BY 1")
+@query("WITH p AS (SELECT p_partkey, regexp_split_to_array(p_name || ' ' || p_type, ' ') AS l FROM part), r AS (SELECT p_partkey, unnest(l) AS label, unnest(range(len(l))) AS pos FROM p), n AS (SELECT label, count(*) AS n FROM r GROUP BY 1) SELECT p_partkey, arg_max(label, (n, -pos)) AS label FROM r JOIN n USING (label) GROUP BY 1")
 def main_labels(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.split("p_type", " ").alias("labels"))
+    p = table(spark, sf, "part").select("p_partkey", F.split(F.concat_ws(" ", "p_name", "p_type"), " ").alias("labels"))
     return shape.main_label(p, "p_partkey", "labels")
 
 
