@@ -1,7 +1,7 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the tree.
 
 A small reader turns a page into a tree of block-level elements; inline elements are transparent, and script,
-style and the like hold no text. Every element has features: its tag, its tokens of class, id and role, hashed, depth, subtree
+style and the like hold no text, nor do inline elements whose class or id names an advert. Every element has features: its tag, its tokens of class, id and role, hashed, depth, subtree
 text density, link share, sibling statistics, place on the page, and whether a tag or token on the way down to it is a cue. The trees give
 each element the log-odds of being main content. Decoding keeps or drops whole subtrees: an element can
 only be kept if all its ancestors are, and the choice with the largest sum over the page wins, from the leaves up.
@@ -16,7 +16,8 @@ lists of links and scraps aren't. Where the sample has neither, there are no tre
 
 Kept text: character references decoded, white space inside a block made one space, blocks trimmed and
 joined by one line feed in page order, empty blocks left out. Null and empty html gives an empty text. A tag ends at the first >
-outside a quoted value; one that never ends is text if no > follows, else it takes the rest of the page. Every input row
+outside a quoted value; one that never ends is text if no > follows, else it takes the rest of the page. A script or style without an end
+takes the rest of the page, other elements of raw text are then read on as if their tag weren't there. A header inside content belongs to it, unless most of it is links. Every input row
 gives one row; repeated and null page_ids are kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -54,6 +55,8 @@ BAD_WORDS = frozenset(
     "sidebar aside side rail widget cookie cookies consent gdpr notice notification alert popup modal overlay comment comments commentlist reply replies respond discussion disqus "
     "share sharing social related recommended more subscribe subscription newsletter signup login search form pagination pager copyright legal tags toolbar skip".split()
 )
+AD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+CUE_NAMES = frozenset(("class", "id", "role", "itemprop"))
 BLOCK_TAGS = ("p", "div", "li", "h1", "h2", "h3", "ul", "td", "section", "blockquote", "pre")
 NAMES = (
     *(f"is_{t}" for t in BLOCK_TAGS), "good_path", "bad_path",
@@ -65,12 +68,21 @@ CUES = tuple(i for i, n in enumerate(NAMES) if n.endswith("_path"))
 
 # Every alternative that begins to match goes on to an end, so no character is tried again and again.
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
-_CUE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?+|'([^']*+)'?+|([^\s>]*+)))?+")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _STOP = re.compile(r"[.!?;:,]")
 
 
+def cue_words(attributes: str) -> frozenset[str]:
+    """Tokens of class, id, role and itemprop, and of no other attribute."""
+    words: set[str] = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in CUE_NAMES:
+            words.update(w.lower() for w in _SPLIT.findall(m[2] or m[3] or m[4] or ""))
+    return frozenset(words)
+
+
 class Page:
     """Block-level elements in page order, parents first; text pieces with their element."""
 
@@ -79,6 +91,7 @@ class Page:
         self.links = [0]  # characters inside links
         self.pieces: list[tuple[int, str]] = []
         self.opened, self.silent = Counter(), 0  # open elements by tag, and how many of them are silent
+        self.hidden, self.depth, self.endless = None, 0, set()  # an inline advert's tag and how often it is open; raw tags that no end follows
         open_, link, at = [0], 0, 0
         end, last = len(text), text.rfind(">")
         while at < end:
@@ -86,7 +99,7 @@ class Page:
             if m and m.start() > last:  # no tag ends any more
                 m = None
             stop = m.start() if m else end
-            if stop > at and not self.silent:
+            if stop > at and not self.silent and not self.hidden:
                 self._say(open_[-1], entities.unescape(text[at:stop]), link)
             if not m:
                 break
@@ -95,9 +108,13 @@ class Page:
             if not name:
                 continue
             if m[1]:
+                if name == self.hidden:
+                    self.depth -= 1
+                    self.hidden = self.hidden if self.depth else None
                 if name == "a":
                     link = 0
                 elif name not in INLINE:
+                    self.hidden = None  # no inline element outlasts its block
                     self._close(open_, name)
                     self._say(open_[-1], None, 0)
                 elif name in SILENT:
@@ -110,10 +127,19 @@ class Page:
             if name in INLINE or name in VOID:
                 if name == "hr":
                     self._say(open_[-1], None, 0)
+                elif name == self.hidden:
+                    self.depth += 1
+                elif not self.hidden and name not in VOID and m[3] and cue_words(m[3]) & AD_WORDS:
+                    self.hidden, self.depth = name, 1
                 continue
             if name in RAW:
-                close = re.compile(rf"</{name}\s*>", re.I).search(text, at)
-                at = close.end() if close else end
+                close = None if name in self.endless else re.compile(rf"</{name}\s*+>", re.I).search(text, at)
+                if close:
+                    at = close.end()
+                elif name in ("script", "style"):
+                    at = end
+                else:
+                    self.endless.add(name)
                 continue
             self._open(open_, name, m[3] or "")
 
@@ -150,12 +176,11 @@ class Page:
                 if self.tag[open_[i]] in SCOPES:
                     break
         self._say(open_[-1], None, 0)
-        words: set[str] = set()
-        if attributes:
-            for m in _CUE.finditer(attributes):
-                words.update(w.lower() for w in _SPLIT.findall(m[1] or m[2] or m[3] or ""))
+        words = cue_words(attributes) if attributes else frozenset()
+        if self.hidden:  # a block inside an inline advert
+            words, self.hidden = words | {"advert"}, None
         self.tag.append(name)
-        self.words.append(frozenset(words))
+        self.words.append(words)
         self.parent.append(open_[-1])
         self.links.append(0)
         open_.append(len(self.tag) - 1)
@@ -201,7 +226,8 @@ def features(page: Page, blocks: list[tuple[int, str]]) -> np.ndarray:
     col = {name: k for k, name in enumerate(NAMES)}
     root = [t in ("#", "html", "body") for t in page.tag]
     good = np.array([not r and (t in GOOD_TAGS or bool(w & GOOD_WORDS)) for r, t, w in zip(root, page.tag, page.words)])
-    bad = np.array([not r and (t in BAD_TAGS or bool(w & BAD_WORDS)) for r, t, w in zip(root, page.tag, page.words)])
+    bad = np.array([not r and (t in BAD_TAGS and t != "header" or bool((w - {"header"}) & BAD_WORDS)) for r, t, w in zip(root, page.tag, page.words)])
+    header = np.array([not r and (t == "header" or "header" in w) for r, t, w in zip(root, page.tag, page.words)])
     depth, order, same = np.zeros(n), np.zeros(n), np.zeros(n)
     seen, tags = np.zeros(n), {}
     for i in range(1, n):
@@ -212,6 +238,8 @@ def features(page: Page, blocks: list[tuple[int, str]]) -> np.ndarray:
         tags[p, page.tag[i]] = tags.get((p, page.tag[i]), 0) + 1
         bad[i] |= bad[p]
         good[i] |= good[p]
+        if header[i]:  # of the page, but for one inside content that isn't a menu
+            bad[i] |= not good[i] or links[i] > 0.5 * chars[i]
         if (k := col.get("is_" + page.tag[i])) is not None:
             x[i, k] = 1
         for w in page.words[i]:
@@ -266,12 +294,17 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = TREES)
     binned = np.stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(edges)], 1)
     share = np.clip((weight * y).sum() / weight.sum(), 0.01, 0.99)
     start = float(np.log(share / (1 - share)))
-    z, inner, leaves = np.full(len(y), start), 2**DEPTH - 1, 2**DEPTH
+    # rows that fall into the same bins are one row with the weights of both labels
+    narrow = np.ascontiguousarray(binned.astype(np.uint8))
+    _, one, of = np.unique(narrow.view(np.dtype((np.void, narrow.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    x, binned = x[one], binned[one]
+    ones, all_ = np.bincount(of, weight * y), np.bincount(of, weight)
+    z, inner, leaves = np.full(len(x), start), 2**DEPTH - 1, 2**DEPTH
     features_, cuts, values = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-z))
-        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
-        at, feature, cut = np.zeros(len(y), dtype=np.int64), np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
+        g, h = all_ * p - ones, all_ * np.maximum(p * (1 - p), 1e-6)
+        at, feature, cut = np.zeros(len(x), dtype=np.int64), np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
         for level in range(DEPTH):
             low, count = 2**level - 1, 2**level
             best = np.full(count, 1e-9)

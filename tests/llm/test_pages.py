@@ -97,6 +97,45 @@ def test_unseen_kinds_of_boilerplate(trees):
     ]
 
 
+LONG = "First para of the story, with words that go on and on, and some punctuation."
+MORE = "Second para is also long, and has punctuation; it continues for a while."
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<article><header><h1>Headline</h1></header><p>{LONG}</p><p>{MORE}</p></article>", ["Headline", LONG, MORE]),
+        (f'<div id="content"><div class="story-header"><h1>Headline</h1></div><p>{LONG}</p></div>', ["Headline", LONG]),
+        (f'<main><header><a href=/>Home</a> <a href=/n>News</a></header><article><h1>Headline</h1><p>{LONG}</p></article></main>', ["Headline", LONG]),
+        (f"<header><h1>The site</h1><a href=/>Home</a></header><article><p>{LONG}</p></article>", [LONG]),
+        (f'<article><p>{LONG} <span class="advert">Buy now</span></p><p>{MORE}</p></article>', [LONG, MORE]),
+        (f'<article><p>{LONG} <span class="ad-slot">Buy <span>now</span> or</span> and more</p><p>{MORE}</p></article>', [LONG + " and more", MORE]),
+        (f'<article><p>{LONG} <span class="advert">Buy now</p><p>{MORE}</p></article>', [LONG, MORE]),
+        (f'<article><p>{LONG}</p><a class="sponsored"><div>Buy it, now.</div></a><p>{MORE}</p></article>', [LONG, MORE]),
+        (f'<article data-id="footer"><p data-class="comments" title="my id=footer">{LONG}</p></article>', [LONG]),
+        (f"<article><p>{LONG}</p><noscript><p>{MORE}</p></article>", [LONG, MORE]),
+        (f"<title>No end<article><p>{LONG}</p></article>", [LONG]),
+        (f"<article><p>{LONG}</p><iframe src=x><p>{MORE}</p></article>", [LONG, MORE]),
+        (f"<article><p>{LONG}</p><noscript>off</noscript><template>t</template><p>{MORE}</p></article>", [LONG, MORE]),
+        (f"<article><p>{LONG}</p><script>var x = 1;<p>{MORE}</p></article>", [LONG]),
+        (f'<article class=post id = main><p class=text role=note>{LONG}</p><footer>By us</footer></article>', [LONG]),
+    ],
+)
+def test_forms_of_pages(trees, html, want):
+    got = op5_html.main_text(f"<html><body>{html}</body></html>", trees).split("\n")
+    assert [t for t in got if not t.startswith("No end")] == want
+
+
+def test_merged_rows_boost_alike():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (400, 5)).astype(float)
+    y = (x[:, 0] + x[:, 1] > 3).astype(float)
+    y[rng.random(400) < 0.1] = 0
+    once = op5_html.boost(x, y, np.ones(400))
+    twice = op5_html.boost(np.concatenate([x, x]), np.concatenate([y, y]), np.full(800, 0.5))
+    assert np.allclose(once.log_odds(x), twice.log_odds(x)) and np.mean((once.log_odds(x) > 0) == (y > 0)) > 0.85
+
+
 def test_decoding_is_the_best_consistent_choice():
     import itertools
     import types
@@ -144,7 +183,7 @@ def test_pages_without_cues(spark, pages):
 
 
 def test_long_pages_cost_little():
-    pages = ['<a "' * 250_000, '<a "' * 250_001 + ">", '<a b="' * 150_001 + ">", "<!" * 500_000, "<div>" * 50_000 + "</ul>" * 50_000, "<div>" * 50_000 + "</div>" * 50_000, "<center>" * 50_000 + "<li>" * 50_000, "<a " * 300_000]
+    pages = ['<a "' * 250_000, '<a "' * 250_001 + ">", '<a b="' * 150_001 + ">", "<!" * 500_000, "<div>" * 50_000 + "</ul>" * 50_000, "<div>" * 50_000 + "</div>" * 50_000, "<center>" * 50_000 + "<li>" * 50_000, "<noscript>" * 100_000, "<span class=ad>" * 100_000, "<p " + "a='" * 300_000 + ">", "<a " * 300_000]
     began = time.monotonic()
     for html in pages:
         page = op5_html.Page(html)
