@@ -104,3 +104,12 @@ def fenced_json(reply: Column) -> Column:
     """What stands in a ``` fence, or the whole reply."""
     inner = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
     return F.when(inner != "", F.trim(inner)).otherwise(F.trim(reply))
+
+
+def corpus_id(corpus: Column, key: Column, widths: dict[str, int], underscored: list[str]) -> Column:
+    """_corpus/id: ids of the corpora in widths are filled to so many digits, spaces of the underscored ones' become _."""
+    out = key
+    for name, width in widths.items():
+        out = F.when(corpus == name, zero_filled(key, width)).otherwise(out)
+    out = F.when(corpus.isin(*underscored), F.replace(key, F.lit(" "), F.lit("_"))).otherwise(out) if underscored else out
+    return text_id(corpus, out)

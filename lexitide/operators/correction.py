@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexitide.runtime import Scratch
+from lexitide.sources.stores import read_version, write_version
 
 
 def component_of(edges: list[tuple[str, str]], start: str) -> set[str]:
@@ -83,3 +84,16 @@ def merged(*tables: DataFrame) -> DataFrame:
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     keep = F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("__i")))
     return out.withColumn("__n", keep).where("__n = 1").drop("__n", "__i")
+
+
+BIAS = "corpus string, coef double, se double, n long"
+
+
+def save_bias(bias: DataFrame, path: str, lang: str) -> None:
+    """Keeps the table of a language; other languages' stay."""
+    write_version(bias.select("corpus", "coef", "se", F.col("n").cast("long").alias("n")), path, lang=lang)
+
+
+def load_bias(spark: SparkSession, path: str, *langs: str) -> DataFrame:
+    """The tables of these languages as one; of a corpus in several the last one counts, a language without a table adds nothing."""
+    return merged(*(read_version(spark, path, BIAS, lang=lang) for lang in langs))

@@ -101,3 +101,9 @@ def full_merge(a: DataFrame, b: DataFrame, keys: list[str], suffixes=("_a", "_b"
 
 def first_in_order(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def bibliography(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, value: str) -> DataFrame:
+    """left with matches, the sorted values of all right rows whose normalised key is its own; null where there are none."""
+    own = right.select(right_key.alias("__k"), value).where("__k is not null").groupBy("__k").agg(F.array_sort(F.collect_list(value)).alias("matches"))
+    return left.withColumn("__k", left_key).join(own, "__k", "left").drop("__k")

@@ -118,6 +118,8 @@ def correlations(norms: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fingerprint(norms_long: DataFrame) -> DataFrame:
-    """One row: a version digest that doesn't depend on row order."""
-    row = F.xxhash64(*norms_long.columns).cast("decimal(38,0)")
-    return norms_long.agg(F.sha2(F.concat_ws("|", F.count("*"), F.sum(row)), 256).substr(1, 12).alias("version"), F.count("*").alias("n"))
+    """One row: a version digest that doesn't depend on row order, and the number of rows.
+
+    Rows are strings of their columns, nulls left out, joined by |; the first 13 hexadecimal digits of their MD5 are summed."""
+    digits = F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in norms_long.columns))), 1, 13), 16, 10).cast("decimal(38,0)")
+    return norms_long.agg(F.substring(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.coalesce(F.sum(digits), F.lit(0)).cast("string")), 256), 1, 12).alias("version"), F.count("*").alias("n"))

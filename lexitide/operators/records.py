@@ -266,12 +266,18 @@ def word_style(z: Column, top: float = 3.0) -> Column:
     return F.when(z <= 0, low).when(z > 0, high)
 
 
-def rendered(texts: DataFrame, keys: list[str], text: str, norms: DataFrame) -> DataFrame:
-    """(keys, html): paragraphs, each rated word in a span with its style. norms: word, z."""
+def rendered(texts: DataFrame, keys: list[str], text: str, norms: DataFrame, spelling: DataFrame | None = None, keep_lines: bool = False) -> DataFrame:
+    """(keys, html): paragraphs, each rated word in a span with its style. norms: word, z.
+
+    A word is looked up in its modern spelling (word, modern) where it has one, and shown as it stands. keep_lines: line feeds become <br>."""
     paragraphs = texts.select(*keys, F.posexplode(T.paragraphs(F.trim(text))).alias("__p", "__par"))
-    tokens = paragraphs.select(*keys, "__p", F.posexplode(T.lossless_tokens(F.col("__par"))).alias("__i", "__t"))
-    rated = tokens.join(norms.select(F.col("word").alias("__w"), "z"), F.lower("__t") == F.col("__w"), "left")
+    tokens = paragraphs.select(*keys, "__p", F.posexplode(T.lossless_tokens(F.col("__par"))).alias("__i", "__t")).withColumn("__l", F.lower("__t"))
+    if spelling is not None:
+        modern = spelling.groupBy(F.col("word").alias("__l")).agg(F.max("modern").alias("__m"))
+        tokens = tokens.join(modern, "__l", "left").withColumn("__l", F.coalesce("__m", "__l"))
+    rated = tokens.join(norms.select(F.col("word").alias("__w"), "z"), F.col("__l") == F.col("__w"), "left")
     safe = F.replace(F.replace(F.replace(F.col("__t"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    safe = F.replace(safe, F.lit("\n"), F.lit("<br>\n")) if keep_lines else safe
     kind = F.when(F.col("z") <= -1, "abstract").when(F.col("z") >= 1, "concrete").otherwise("neither")
     token = F.when(F.col("z").isNotNull(), F.concat(F.lit('<span class="'), kind, F.lit('" style="'), word_style(F.col("z")), F.lit('">'), safe, F.lit("</span>"))).otherwise(safe)
     joined = lambda order, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, x.alias("s")))), lambda y: y["s"]), "")
@@ -281,6 +287,19 @@ def rendered(texts: DataFrame, keys: list[str], text: str, norms: DataFrame) ->
     return body.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda y: y["s"]), "\n").alias("html"))
 
 
+#: Fixed: what the marks of a rendered passage mean.
+LEGEND = '<p class="legend"><span class="abstract">abstract</span> <span class="concrete">concrete</span></p>'
+
+
+def side_by_side(html: DataFrame, by: list[str], order: str, title: str | None = None, legend: bool = True) -> DataFrame:
+    """(by, html): the rendered passages (by, order, html[, title]) of each group as the cells of one table row."""
+    safe = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    head = F.when(F.length(title) > 0, F.concat(F.lit("<h4>"), safe(title), F.lit("</h4>"))).otherwise("") if title else F.lit("")
+    cell = F.concat(F.lit("<td>"), head, F.lit('<div class="passage">'), "html", F.lit("</div></td>"))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct(order, cell.alias("s")))), lambda x: x["s"])
+    return html.groupBy(*by).agg(F.concat(F.lit(LEGEND if legend else ""), F.lit("<table><tr>"), F.array_join(cells, ""), F.lit("</tr></table>")).alias("html"))
+
+
 def marked_passages(tokens: DataFrame, keys: list[str], bands: DataFrame) -> DataFrame:
     """(keys, passage): recognised words marked by band, other words bare, punctuation and n't set to the word before.
 

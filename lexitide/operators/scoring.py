@@ -118,3 +118,9 @@ def period_score(scores: DataFrame, year: str, periods: list[tuple[int, int, str
 def version_means(scores: DataFrame, group: str, columns: list[str], primary: str) -> DataFrame:
     """Unweighted means over the versions of a work, their number, and the primary column's deviation (0 for one)."""
     return scores.groupBy(group).agg(*(F.avg(c).alias(c) for c in columns), F.count("*").alias("n_versions"), F.coalesce(F.stddev_samp(primary), F.lit(0.0)).alias("score_sd"))
+
+
+def score_maps(means: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, scores): the columns that aren't null as one map by name."""
+    entries = F.filter(F.array(*(F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns)), lambda e: e["value"].isNotNull())
+    return means.select(*keys, F.map_from_entries(entries).alias("scores"))

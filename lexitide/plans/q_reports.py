@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexitide.operators import decompose, graphs, reports, words
+from lexitide.functions import text as T
+from lexitide.operators import decompose, graphs, joins, reports, scoring, words
 from lexitide.operators import records as R
 from lexitide.operators.norms import with_zscores
-from lexitide.plans import q_arcs
+from lexitide.plans import q_arcs, q_scoring
 from lexitide.plans import stand_in as S
 from lexitide.plans.catalog import query, rounded
 from lexitide.runtime import table
@@ -113,3 +114,47 @@ def graph_clustering(spark, sf):
     rows = li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
     edges = rows.select(F.date_format("l_shipdate", "yyyy-MM").alias("graph"), F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"))
     return rounded(graphs.statistics(edges, "graph", diameters=False).select("graph", "nodes", "edges", "clustering"))
+
+
+@query("SELECT doc_id, '_' || source || '/' || CASE WHEN source = 'src1' THEN CASE WHEN length(CAST(doc_id AS VARCHAR)) < 8 THEN lpad(CAST(doc_id AS VARCHAR), 8, '0') ELSE CAST(doc_id AS VARCHAR) END WHEN source = 'src2' THEN replace('d ' || doc_id, ' ', '_') ELSE 'd ' || doc_id END AS _id FROM documents")
+def corpus_ids(spark, sf):
+    d = table(spark, sf, "documents")
+    key = F.when(F.col("source") == "src1", F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("d "), F.col("doc_id").cast("string")))
+    return d.select("doc_id", T.corpus_id(F.col("source"), key, {"src1": 8}, ["src2"]).alias("_id"))
+
+
+@query("WITH m AS (SELECT l_partkey AS k, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) AS matches FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) SELECT p_partkey, coalesce(matches, '') AS matches FROM part LEFT JOIN m ON k = p_partkey")
+def bibliography_matches(spark, sf):
+    """Parts as 'P12', lines as 'P000012': matched by the padded key, one to many."""
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
+    li = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.format_string("P%06d", "l_partkey").alias("id"), "l_orderkey")
+    out = joins.bibliography(p, li, T.padded_id(F.col("id")), F.col("id"), "l_orderkey")
+    return out.select("p_partkey", F.coalesce(F.array_join(F.transform("matches", lambda x: x.cast("string")), ","), F.lit("")).alias("matches"))
+
+
+@query(f"WITH {S.NORMS}, s AS (SELECT _id, {', '.join(f'round(sum(cnt * {c}) / sum(cnt) FILTER ({c} IS NOT NULL), 6) AS {c}' for c in ('z_quality', 'z_toxic'))} FROM freqs JOIN norms USING (lang, word) GROUP BY _id) SELECT _id, 'z_quality' AS name, z_quality AS score FROM s WHERE z_quality IS NOT NULL UNION ALL SELECT _id, 'z_toxic', z_toxic FROM s WHERE z_toxic IS NOT NULL")
+def score_maps(spark, sf):
+    counts, norms = S.both(spark, sf, S.norms)
+    maps = scoring.score_maps(scoring.weighted_means(counts, norms, ["lang", "word"], ["_id"], ["z_quality", "z_toxic"]), ["_id"], ["z_quality", "z_toxic"])
+    return rounded(maps.select("_id", F.explode("scores").alias("name", "score")))
+
+
+@query(
+    f"WITH w AS ({q_scoring.counting_windows_sql}) SELECT '_' || source || '/' || d.doc_id AS _id, slice, CASE WHEN d.doc_id % 3 = 0 THEN 'xx' ELSE d.lang END AS lang, CAST(1500 + (d.doc_id * 7919) % 500 AS INTEGER) AS year, num_total FROM w JOIN documents d ON d.doc_id = w.doc_id"
+)
+def passages_with_texts(spark, sf):
+    """Passages joined to their texts, with the detected language where there is one."""
+    w = q_scoring.counting_windows(spark, sf)
+    detected = table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit("xx").alias("lang_detected"))
+    out = w.join(S.texts(spark, sf), "doc_id").join(detected, "doc_id", "left")
+    return out.select("_id", "slice", F.coalesce("lang_detected", "lang").alias("lang"), "year", "num_total")
+
+
+@query()
+def passages_compared(spark, sf):
+    """The first turns of a conversation side by side, words looked up in another spelling."""
+    d = table(spark, sf, "conversations").where("turn < 2").select("conv_id", "turn", "text")
+    norms = S.norms(spark, sf).where("lang = 'en'").select("word", F.col("z_quality").alias("z"))
+    spelling = norms.select(F.concat("word", F.lit("e")).alias("word"), F.col("word").alias("modern"))
+    html = R.rendered(d, ["conv_id", "turn"], "text", norms, spelling, keep_lines=True)
+    return R.side_by_side(html.withColumn("title", F.concat(F.lit("Turn "), F.col("turn").cast("string"))), ["conv_id"], "turn", "title")

@@ -302,9 +302,12 @@ def shared_values(spark, sf):
     return d.select("lang").intersect(d.groupBy("lang").count().where("count > 20").select("lang"))
 
 
-@query(f"WITH {S.RATED} SELECT count(*) AS n FROM rated")
+@query(
+    f"WITH {S.RATED}, h AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', lang, word, n)), 1, 13))::BIGINT AS HUGEINT) AS x FROM rated) SELECT substr(sha256(count(*) || '|' || coalesce(sum(x), 0)), 1, 12) AS version, count(*) AS n FROM h"
+)
 def norms_size(spark, sf):
-    return N.fingerprint(S.rated(spark, sf)).select("n")
+    """Number of rated words and the digest of what they are."""
+    return N.fingerprint(S.rated(spark, sf).select("lang", "word", "n"))
 
 
 @query("WITH c AS (SELECT l_partkey, CASE WHEN l_extendedprice / l_quantity >= 1000 THEN 'Abs' WHEN l_extendedprice / l_quantity <= -1000 THEN 'Conc' ELSE 'Neither' END AS band FROM lineitem WHERE l_quantity > 0) SELECT band, count(*) AS n FROM c GROUP BY 1")

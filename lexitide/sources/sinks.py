@@ -68,3 +68,20 @@ def stacked(passages: DataFrame, key: str, order: str, size: int = 100) -> DataF
     rows = passages.withColumn("file", at)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: F.concat(F.lit("## "), x[order].cast("string"), F.lit("\n\n"), x["text"])), "\n\n")
     return rows.groupBy(key, "file").agg(body.alias("markdown"))
+
+
+def save(df: DataFrame, path: str) -> None:
+    """Writes by the path's ending: .parquet, .orc, .csv, .tsv, .json, .jsonl or .txt (one string column), the text ones also with .gz."""
+    plain = path.removesuffix(".gz")
+    packed = "gzip" if path.endswith(".gz") else None
+    ending, out = plain.rsplit(".", 1)[-1], df.write.mode("overwrite")
+    if ending in ("parquet", "orc") and not packed:
+        out.format(ending).save(path)
+    elif ending in ("csv", "tsv"):
+        out.csv(path, header=True, sep="," if ending == "csv" else "\t", compression=packed)
+    elif ending in ("json", "jsonl"):
+        out.json(path, compression=packed)
+    elif ending == "txt":
+        out.text(path, compression=packed)
+    else:
+        raise ValueError(f"no format for {path}")

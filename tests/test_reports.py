@@ -65,3 +65,38 @@ def test_author_means_and_tags(spark):
     tags = spark.createDataFrame([("1", "form", "a"), ("1", "form", "a"), ("2", "form", "a"), ("2", "form", "b"), ("2", "mode", "a"), ("3", "unknown", "z")], "_id string, facet string, tag string")
     got = {(r.facet, r.category): (r.n_early, r.n_late) for r in reports.by_tags(scores, tags, ["form", "flat"], "s", F.col("p")).collect()}
     assert got == {("form", "a"): (1, 1), ("form", "b"): (0, 1), ("form", "(untagged)"): (0, 1), ("flat", "a"): (1, 1), ("flat", "b"): (0, 1), ("flat", "(untagged)"): (0, 1)}
+
+
+def test_rendering_with_spelling_and_lines(spark):
+    from lexitide.operators import records as R
+
+    d = spark.createDataFrame([(1, "Olde rock\nnew <b>\n\nnext olde")], "id int, text string")
+    norms = spark.createDataFrame([("old", 1.5), ("rock", -1.0)], "word string, z double")
+    spelling = spark.createDataFrame([("olde", "old")], "word string, modern string")
+    html = R.rendered(d, ["id"], "text", norms, spelling, keep_lines=True).collect()[0].html
+    assert html.count('class="concrete"') == 2 and ">Olde</span>" in html and "<br>\nnew &lt;b&gt;" in html and html.count("<p ") == 2
+    assert 'class="concrete"' not in R.rendered(d, ["id"], "text", norms).collect()[0].html
+    cells = spark.createDataFrame([("g", 2, "two", "B"), ("g", 1, "one", "A & <")], "g string, i int, html string, t string")
+    out = R.side_by_side(cells, ["g"], "i", "t").collect()[0].html
+    assert out == R.LEGEND + '<table><tr><td><h4>A &amp; &lt;</h4><div class="passage">one</div></td><td><h4>B</h4><div class="passage">two</div></td></tr></table>'
+
+
+def test_saving(spark, tmp_path):
+    from lexitide.operators import correction
+    from lexitide.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, s string")
+    for name in ("t.parquet", "t.orc", "t.csv", "t.tsv.gz", "t.jsonl.gz"):
+        sinks.save(df, str(tmp_path / name))
+        kind = name.split(".")[1]
+        back = spark.read.format({"tsv": "csv", "jsonl": "json"}.get(kind, kind)).options(header=True, sep="\t" if kind == "tsv" else ",").load(str(tmp_path / name))
+        assert sorted((int(r.n), r.s) for r in back.collect()) == [(1, "a"), (2, "b")]
+    sinks.save(df.select("s"), str(tmp_path / "t.txt"))
+    assert spark.read.text(str(tmp_path / "t.txt")).count() == 2
+    with pytest.raises(ValueError):
+        sinks.save(df, str(tmp_path / "t.xls"))
+    bias = lambda *rows: spark.createDataFrame(rows, correction.BIAS)
+    correction.save_bias(bias(("a", 1.0, 0.1, 5), ("b", 2.0, 0.1, 5)), str(tmp_path / "bias"), "en")
+    correction.save_bias(bias(("a", 3.0, 0.1, 5)), str(tmp_path / "bias"), "fr")
+    got = {r.corpus: r.coef for r in correction.load_bias(spark, str(tmp_path / "bias"), "en", "fr", "de").collect()}
+    assert got == {"a": 3.0, "b": 2.0}
