@@ -60,4 +60,4 @@ def test_awkward_documents(spark, sf, awkward, empty):
 
 def test_run_and_registry(spark, sf):
     assert len(pipeline.STAGES) == 5 and pipeline.run(spark, sf).count() > 0
-    assert [q.split("_")[0] for q in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in registry.QUERIES] == [f"op{i}" for i in range(1, 14)]
