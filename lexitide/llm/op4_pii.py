@@ -1,13 +1,16 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
 Base spans (email, ip, card, phone) follow fixed patterns, leftmost and non-overlapping for each kind, and
-always stay. Looser patterns propose further candidates: an address that is spelled out, a phone or
-card number that stands beside other digits, an IPv6 address. Each candidate, base ones included, gets votes
+always stay. Looser patterns propose further candidates: an address that is spelled out, a phone number in a
+national form, a phone or card number that stands beside other digits, an IPv6 address. Each candidate, base ones included, gets votes
 (yes, no, abstain) of five labelers: pattern, check digits or structure, gazetteer, context words,
 and boundary. The votes are counted by pattern of votes in Spark: at most kinds x 3^5 rows, however large the
-corpus. Expectation-maximisation over these counts estimates every labeler's reliabilities; the
+corpus. Expectation-maximisation over these counts estimates every labeler's reliabilities, and how often base spans
+and further candidates are right, apart: nearly all base spans are, which says nothing about the others. Abstentions say nothing. The
 posteriors label a bounded sample of distinct candidates (at most SAMPLE rows with the smallest hashes, each counted as
-often as it occurs), on which a logistic span classifier over shape and context features is trained. It alone decides about candidates that
+often as it occurs), on which a logistic span classifier over shape and context features is trained. Base spans, further candidates and
+all patterns of votes, these with the posteriors that the reliabilities give them, weigh as SHARES says; so votes that no
+sampled candidate got, such as a context word against it, count as the labelers' reliabilities want. The classifier alone decides about candidates that
 aren't base spans.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Every input row gives one
@@ -20,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 from zlib import crc32
 
 import numpy as np
@@ -32,6 +36,8 @@ from lexitide.runtime import Scratch, bound_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS, SAMPLE, FEATURES, ACCEPT = 5, 20_000, 1 << 10, 0.9
+#: Weights of base spans, further candidates and patterns of votes in training; of the votes that a labeler is worth a priori, the share of all candidates.
+SHARES, TRUST = (0.2, 0.3, 0.5), 0.02
 
 # A run of digits is tried at its start only: each pattern takes it to its end or fails at every digit of it.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -40,6 +46,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_GOES_ON, _CAME_FROM = re.compile(r"[ -][0-9]"), re.compile(r"[0-9][ -]$")
 
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?(?:dot|DOT|\.) ?[\])}]) ?[A-Za-z0-9-]{1,63})+")
 _LOOSE = (
@@ -48,9 +55,11 @@ _LOOSE = (
     (2, re.compile(r"(?<![0-9])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|3[0-9]{3}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9])")),
     (3, re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
+    (3, re.compile(r"(?<![0-9+(.])(?:\(0[0-9]{1,4}\) ?|0[0-9]{1,4}[ /-])[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9])")),
+    (3, re.compile(r"(?<![0-9+(.])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])")),
 )
 
-#: What the base patterns find inside a looser span: they were dropped there by their check.
+#: What the base patterns find inside a looser span; if they drop it by their check, it isn't right by itself either.
 _STRICT = (None, _IP, _CARD, _PHONE)
 
 # Gazetteers and context words of the labelers.
@@ -61,7 +70,7 @@ CONTEXT_YES = {
     2: frozenset("card visa mastercard amex credit debit carte karte tarjeta payment".split()),
     3: frozenset("phone tel telephone call fax mobile cell telefon téléphone teléfono".split()),
 }
-CONTEXT_NO = frozenset("isbn issn version order invoice ticket serial page pages fig no nr id".split())
+CONTEXT_NO = frozenset("isbn issn doi ean sku barcode version release build order invoice ticket serial tracking reference ref account model patent part item date page pages fig figure section no nr id".split())
 
 Span = tuple[int, int, int]  # start, kind, end: sorts as the result wants it
 
@@ -151,19 +160,27 @@ def votes(text: str, span: Span, is_base: bool) -> list[int]:
     s, k, e = span
     own, d = text[s:e], _digits(text[s:e])
     before = re.findall(r"[\w-]+", text[max(0, s - 40) : s].lower())[-4:]
-    pattern = 1 if is_base else 0 if _STRICT[k] and _STRICT[k].search(own) else -1
-    structure = (address_like(own) if k == 0 else int(":" in own or all(int(p) <= 255 for p in own.split(".") if p)) if k == 1 else int(luhn(d)) if k == 2 else int(10 <= len(d) <= 15))
+    pattern = 1 if is_base else 0 if _STRICT[k] and _STRICT[k].search(own) and all(b[1] != k for b in base_spans(own)) else -1
+    # what nearly all candidates of a kind have is no vote for them
+    if k == 0:
+        structure = -1 if address_like(own) else 0
+    elif k == 1:
+        structure = (1 if own.count(":") == 7 else -1) if ":" in own else -1 if all(int(p) <= 255 for p in own.split(".") if p) else 0
+    else:
+        structure = int(luhn(d)) if k == 2 else -1 if 10 <= len(d) <= 15 else 0
     if k == 0:
         last = re.findall(r"[A-Za-z0-9-]+", own)[-1].lower()
         listed = 1 if last in TOP_DOMAINS else 0 if last.isdigit() else -1
     elif k == 1:
-        listed = 0 if own.split(".")[0] in ("0", "00", "255") else 1 if own.count(".") == 3 else -1
+        listed = 0 if own.split(".")[0] in ("0", "00", "255") else 1 if own.startswith(("10.", "127.", "192.168.")) else -1
     elif k == 2:
-        listed = int(d[:1] in tuple("3456"))
+        listed = -1 if d[:1] in tuple("3456") else 0
     else:
         listed = 1 if own[0] == "+" and d[:1] != "0" else -1
     context = 1 if CONTEXT_YES[k] & set(before) else 0 if CONTEXT_NO & set(before[-2:]) else -1
-    edge = int(not (text[s - 1 : s] if s else "").isalnum() and not text[e : e + 1].isalnum())
+    # a number without + that goes on after a space or hyphen is part of a longer one
+    longer = own[-1:].isdigit() and own[0] != "+" and (_GOES_ON.match(text, e) or _CAME_FROM.search(text[max(0, s - 2) : s]))
+    edge = 0 if longer or (text[s - 1 : s] if s else "").isalnum() or text[e : e + 1].isalnum() else -1
     return [pattern, structure, listed, context, edge]
 
 
@@ -189,37 +206,49 @@ class Model:
         return float(1 / (1 + np.exp(-(self.bias + self.weights[active].sum()))))
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of yes for each pattern of votes, P(vote | class) as [class, labeler, vote + 1], and the prior.
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, strata: np.ndarray | None = None, trust: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of yes for each pattern of votes, P(vote | class) as [class, labeler, vote + 1], and the prior of each stratum.
 
-    Labelers are taken as independent given the class. Starts from the majority of the votes; counts are
-    smoothed, so a labeler that always abstains or agrees stays harmless."""
-    p = np.clip(0.5 + 0.4 * np.sign((patterns == 1).sum(1) - (patterns == 0).sum(1) - 0.5), 0.05, 0.95)
+    Labelers are taken as independent given the class; an abstention says nothing about it, and candidates that nobody votes on say nothing about
+    the priors. Starts from the majority of the votes, where the number of the stratum counts as votes for yes;
+    a labeler is worth trust votes a priori, nineteen of twenty of them right, so one that always abstains or agrees stays harmless."""
+    strata = np.zeros(len(patterns), dtype=np.int64) if strata is None else strata
+    p = np.clip(0.5 + 0.4 * np.sign((patterns == 1).sum(1) - (patterns == 0).sum(1) + strata - 0.5), 0.05, 0.95)
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
+    heard = counts * (patterns >= 0).any(1)
     for _ in range(rounds):
         w = np.stack([(1 - p) * counts, p * counts])
-        theta = np.einsum("cn,njv->cjv", w, onehot) + 1.0
-        theta += np.array([[0, 2.0, 0], [0, 0, 2.0]])[:, None, :]  # a labeler's vote is worth a little a priori
+        theta = np.einsum("cn,njv->cjv", w, onehot) + trust * np.array([[0.05, 0.95, 0.05], [0.05, 0.05, 0.95]])[:, None, :]
         theta /= theta.sum(2, keepdims=True)
-        prior = (w[1].sum() + 1) / (counts.sum() + 2)
-        log = np.einsum("njv,cjv->nc", onehot, np.log(theta)) + np.log([1 - prior, prior])
-        p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
+        prior = (np.bincount(strata, p * heard) + 1) / (np.bincount(strata, heard) + 2)
+        p = posterior_of(patterns, theta, prior[strata])
     return p, theta, prior
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, times: np.ndarray, rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Full-batch gradient descent on soft labels over sparse binary rows that count so many times each."""
-    weights, bias = np.zeros(FEATURES), 0.0
+def posterior_of(patterns: np.ndarray, theta: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """P(yes) of patterns of votes."""
+    told = np.log(theta[:, :, 1:] / theta[:, :, 1:].sum(2, keepdims=True))
+    odds = np.log(prior / (1 - prior)) + np.where(patterns == 1, told[1, :, 1] - told[0, :, 1], np.where(patterns == 0, told[1, :, 0] - told[0, :, 0], 0)).sum(1)
+    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+
+
+def logistic(rows: list[list[int]], y: np.ndarray, share: np.ndarray, rounds: int = 400, rate: float = 0.4, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Accelerated full-batch gradient descent on soft labels over sparse binary rows; share are the rows' weights, one in all."""
+    w = before = np.zeros(FEATURES + 1)  # the last is the bias
     if not rows:
-        return weights, -10.0
+        return w[:-1], -10.0
     at, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.array(r, dtype=np.int64) for r in rows])
-    share = times / times.sum()
-    for _ in range(rounds):
-        z = bias + np.bincount(at, weights[feature], len(rows))
+    for k in range(rounds):
+        ahead = w + k / (k + 3) * (w - before)
+        z = ahead[-1] + np.bincount(at, ahead[feature], len(rows))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        weights -= rate * (np.bincount(feature, g[at], FEATURES) + decay * weights)
-        bias -= rate * g.sum()
-    return weights, float(bias)
+        before, w = w, ahead - rate * np.append(np.bincount(feature, g[at], FEATURES) + decay * ahead[:-1], g.sum())
+    return w[:-1], float(w[-1])
+
+
+def _told(kind: int, told: tuple) -> list[int]:
+    """The features that say what labelers other than the pattern voted."""
+    return sorted({crc32(n.encode()) % FEATURES for n in (f"k{kind}", *(f"v{kind}{i}{v}" for i, v in enumerate(told)))})
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -242,19 +271,28 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     scratch = Scratch(spark, "pii")
     found = scratch.save(docs.select("text").mapInArrow(propose, "kind int, votes array<int>, features array<int>, key long"), "candidates")
     tally = found.groupBy("kind", "votes").count().collect()  # at most kinds x 3^LABELERS rows
-    posterior, reliability = {}, {}
+    posterior, reliability, taught = {}, {}, []
     for kind in range(len(KINDS)):
         own = [r for r in tally if r["kind"] == kind]
         if own:
-            p, theta, prior = expectation_maximisation(np.array([r["votes"] for r in own]), np.array([r["count"] for r in own], dtype=float))
+            patterns, counts = np.array([r["votes"] for r in own]), np.array([r["count"] for r in own], dtype=float)
+            base = patterns[:, 0] == 1
+            patterns[base, 0] = -1  # that a span is a base one is in the prior of its stratum
+            # a stratum without candidates gets the prior one half
+            p, theta, prior = expectation_maximisation(np.vstack([patterns, np.full((2, LABELERS), -1)]), np.append(counts, [0.0, 0.0]), strata=np.append(base.astype(np.int64), [0, 1]), trust=max(2.0, TRUST * counts.sum()))
             posterior |= {(kind, tuple(r["votes"])): x for r, x in zip(own, p)}
             reliability[KINDS[kind]] = {"prior": prior, "vote_given_class": theta}
+            told = np.array(list(product((-1,), *[(-1, 0, 1)] * (LABELERS - 1))))
+            taught += [(_told(kind, v[1:]), x) for v, x in zip(told.tolist(), posterior_of(told, theta, prior[:1]))]
     # copies of one context count as often as they occur, but are one row of the sample
     apart = scratch.save(found.groupBy("key", "kind", "votes", "features").agg(F.count("*").alias("times")), "contexts")
     rows = bounded(apart, sample, "key", "kind", "votes", "features").collect()
     scratch.drop(found, apart)
-    y = np.array([posterior[r["kind"], tuple(r["votes"])] for r in rows])
-    weights, bias = logistic([r["features"] for r in rows], y, np.array([float(r["times"]) for r in rows]))
+    y = np.array([posterior[r["kind"], tuple(r["votes"])] for r in rows] + [x for _, x in taught])
+    part = np.array([int(r["votes"][0] != 1) for r in rows] + [2] * len(taught), dtype=np.int64)
+    times = np.array([float(r["times"]) for r in rows] + [1.0] * len(taught))
+    times *= (np.array(SHARES) / np.maximum(np.bincount(part, times, 3), 1))[part]
+    weights, bias = logistic([r["features"] for r in rows] + [f for f, _ in taught], y, times / times.sum() if len(times) else times)
     return Model(weights, bias, reliability)
 
 
