@@ -12,8 +12,9 @@ Retrieved pairs are verified on the window's text: at least OVERLAP of the item'
 answer together, QUESTION of the question's and OVERLAP of the words of its answer. The question is what stands before the last ? or, without one,
 before the last sentence; an item of one sentence is split at three quarters.
 
-Items are collected and broadcast in shards of at most SHARD_WORDS words, one pass over the documents for each, so
-the broadcast is bounded whatever the size of the benchmark. Document frequencies and the mean length are those of all items,
+Items are collected and broadcast in shards of about SHARD_WORDS words, by the words of the index itself, one pass over the documents for each;
+what a pass finds or keeps is written before the next shard is read, so one index is in memory at a time and its
+broadcast is released, whatever the size of the benchmark. Document frequencies and the mean length are those of all items,
 counted in Spark where there are several shards, so scores don't depend on the shards. Null and empty texts, and items without words, match nothing.
 Every input row gives its own rows; null doc_ids are kept; an empty table, of either kind, gives an empty result; other
 columns are ignored.
@@ -200,8 +201,8 @@ class Indexes:
         return [m for part in self.parts for m in part.matches(own)]
 
 
-def shards(items: DataFrame, shard_words: int) -> Iterator[Indexes]:
-    """Indexes of at most shard_words words (or one item) each, read one at a time."""
+def shards(items: DataFrame, shard_words: int) -> tuple[int, Iterator[Indexes]]:
+    """Their number, and indexes of about shard_words words (or one item) each, read one at a time."""
     spark = items.sparkSession
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,9 +210,18 @@ def shards(items: DataFrame, shard_words: int) -> Iterator[Indexes]:
             own = [words(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(map(len, own), pa.int64()), pa.array([sorted(set(x)) for x in own], pa.list_(pa.string()))], ["shard", "length", "terms"])
 
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).collect()[0][0] or 0
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(words(t)) for t in b.column("text").to_pylist()], pa.int64())], ["length"])
+
+    total = items.select("text").mapInArrow(lengths, "length long").agg(F.sum("length")).collect()[0][0] or 0
     n = max(1, -(-total // shard_words))
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    return n, _indexes(items, n, terms)
+
+
+def _indexes(items: DataFrame, n: int, terms) -> Iterator[Indexes]:
+    spark = items.sparkSession
     if n > 1:
         scratch = Scratch(spark, "benchmark")
         counted = scratch.save(items.select("shard", "text").mapInArrow(terms, "shard int, length long, terms array<string>").where("length > 0"), "terms")
@@ -221,7 +231,7 @@ def shards(items: DataFrame, shard_words: int) -> Iterator[Indexes]:
     for k in range(n):
         part = [(r["item_id"], r["text"]) for r in items.where(F.col("shard") == k).orderBy("item_id", "text").collect()]
         known = None
-        if n > 1:  # the frequencies of the shard's own terms, at most shard_words
+        if n > 1:  # the frequencies of the shard's own terms, no more than its words
             known = Statistics(number, mean, dict(df.join(each.where(F.col("shard") == k).select("term").distinct(), "term").select("term", "n").toLocalIterator()))
         yield Indexes(part, known)
 
@@ -232,8 +242,9 @@ def contaminated(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WOR
     bound_batches(spark)
     kind, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
     names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
-    found = []
-    for part in shards(items.select("item_id", "text").where("text is not null"), shard_words):
+    scratch, found = Scratch(spark, "leaks"), []
+    n, parts = shards(items.select("item_id", "text").where("text is not null"), shard_words)
+    for part in parts:
         index = spark.sparkContext.broadcast(part)
 
         def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -248,16 +259,22 @@ def contaminated(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WOR
                     [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array([r[0] for r in rows], to_arrow_type(item_type)), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(1, 5))], names
                 )
 
-        found.append(docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, item_id {item_type.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double"))
+        leaks = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, item_id {item_type.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double")
+        if n > 1:
+            leaks = scratch.save(leaks, "leaks")
+            index.unpersist()
+        found.append(leaks)
     return reduce(DataFrame.unionByName, found)
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs, all columns, without the rows that hold an item."""
+    """docs, all columns, without the rows that hold an item; what passes a shard is written for the next one."""
     spark = docs.sparkSession
     bound_batches(spark)
     at = docs.columns.index("text")
-    for part in shards(items.select("item_id", "text").where("text is not null"), shard_words):
+    scratch, before = Scratch(spark, "unleaked"), None
+    n, parts = shards(items.select("item_id", "text").where("text is not null"), shard_words)
+    for k, part in enumerate(parts):
         index = spark.sparkContext.broadcast(part)
 
         def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -266,6 +283,12 @@ def uncontaminated(docs: DataFrame, items: DataFrame, shard_words: int = SHARD_W
                 yield b.filter(pa.array([not own.matches(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(work, docs.schema)
+        if k < n - 1:
+            docs = scratch.save(docs, "kept")
+            index.unpersist()
+            if before is not None:
+                scratch.drop(before)
+            before = docs
     return docs
 
 
