@@ -10,8 +10,8 @@ A document's set are its distinct word shingles; two documents are linked if 100
    threshold are dropped (the population count of the XOR estimates it), the rest is verified on the full sets.
 3. The links are joined to components. A pair that is in one component can't change the result, so what is left
    are pairs of a bucket's members in different components. Small buckets (up to SMALL members) pair them in a join. In
-   larger ones the members outside the bucket's largest component look at all members, by sketches: blocks of up to CHUNK lookers
-   meet blocks of up to CHUNK members, so members are copied once for each block of lookers. In round two the likeliest partner
+   larger ones the members outside the bucket's largest component look at all members, by sketches: blocks of about CHUNK lookers
+   meet blocks of about CHUNK members (fewer where their sets are large: BLOCK_SHINGLES), so members are copied once for each block of lookers. In round two the likeliest partner
    of each looker in every other component comes out and is verified; in round three, where members are still apart, a block verifies all
    likely partners itself, through an inverted index of its shingles, and yields one link at most between a member
    and a component. So the rows that come out don't grow with the square of a bucket.
@@ -45,6 +45,8 @@ HASHES = ROWS * BANDS
 SKETCH = 1024
 THRESHOLD, MARGIN = 0.8, 0.11
 SMALL, CHUNK = 6, 1024
+#: Shingles that one side of a block holds, about, or one member: 32 MB.
+BLOCK_SHINGLES = 1 << 22
 CACHE = 300_000
 
 _rng = np.random.default_rng(20_240_601)
@@ -252,15 +254,19 @@ def links_between(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def in_blocks(held: DataFrame, work) -> DataFrame:
-    """work over blocks of large buckets (key, id, n, component, most, apart, ...): (a, b).
-
-    The apart members outside the component most look; blocks of them meet blocks of all n members, each in a group of its own."""
-    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("id"), chunks(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
-    lookers = held.where("component <> most").withColumn("low", own("apart")).withColumn("high", each("n")).withColumn("looks", F.lit(True))
-    everyone = held.withColumn("high", own("n")).withColumn("low", each("apart")).withColumn("looks", F.lit(False))
-    dealt = lookers.unionByName(everyone).drop("n", "most", "apart")
+    """work over blocks of large buckets (key, id, n, component, most, apart, n_shingles, ...): (a, b).
+
+    The apart members outside the component most look; blocks of them meet blocks of all n members, each in a group of its own.
+    How many blocks a bucket has follows from its members and from the size of their sets."""
+    looks = F.col("component") != F.col("most")
+    sizes = held.groupBy("key").agg(F.sum("n_shingles").alias("heavy"), F.sum(F.when(looks, F.col("n_shingles"))).alias("heavy_apart"))
+    chunks = lambda n, heavy: F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(heavy) / BLOCK_SHINGLES)).cast("int")
+    held = held.join(sizes, "key").withColumn("high_chunks", chunks("n", "heavy")).withColumn("low_chunks", chunks("apart", "heavy_apart"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lookers = held.where(looks).withColumn("low", own("low_chunks")).withColumn("high", each("high_chunks")).withColumn("looks", F.lit(True))
+    everyone = held.withColumn("high", own("high_chunks")).withColumn("low", each("low_chunks")).withColumn("looks", F.lit(False))
+    dealt = lookers.unionByName(everyone).drop("n", "most", "apart", "n_shingles", "heavy", "heavy_apart", "high_chunks", "low_chunks")
     return dealt.groupBy("key", "low", "high").applyInPandas(work, "a long, b long")
 
 
@@ -276,13 +282,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, by_text: bool = False) -> D
     full = signed.where("n_shingles > 0")
     classes = full.select("print", "doc_id").distinct().groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    heads = full.join(classes.select("print", "doc_id", "id"), ["print", "doc_id"]).dropDuplicates(["print", "doc_id"]).select("id", "keys", "sketch")
+    heads = full.join(classes.select("print", "doc_id", "id"), ["print", "doc_id"]).dropDuplicates(["print", "doc_id"]).select("id", "keys", "sketch", "n_shingles")
     heads = scratch.save(heads, "heads")
     keyed = heads.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     buckets = scratch.save(keyed.join(shared, "key").select("key", "id", "n", "first"), "buckets")
     bucketed = scratch.save(buckets.select("id").distinct(), "bucketed")
-    sketches = scratch.save(heads.select("id", "sketch").join(bucketed, "id", "left_semi"), "sketches")
+    sketches = scratch.save(heads.select("id", "sketch", "n_shingles").join(bucketed, "id", "left_semi"), "sketches")
     sets = scratch.save(shingle_sets(docs, classes.select("id", "doc_id", "print").join(bucketed, "id", "left_semi"), width), "sets")
     scratch.drop(heads)
 

@@ -40,6 +40,8 @@ from lexitide.runtime import Scratch, bound_batches, table
 
 THRESHOLD, CODE, SIGMAS = 0.9, 128, 4.5
 CENTRE_SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK, SEEN = 20_000, 4096, 16_384, 16_384, 16_384
+#: Components that a block or chunk holds at most (or one row): 64 MB in double precision.
+COMPONENTS = 1 << 23
 
 
 @lru_cache(maxsize=4)
@@ -252,8 +254,9 @@ def _meet(scratch: Scratch, classes: DataFrame, threshold: float, block: int) ->
     coded = classes.select("key", "dim", "vec", "copies").mapInArrow(index, "key long, dim int, vec binary, copies long, code binary, factor double, home int, visits array<int>")
     coded = scratch.save(coded, "coded")
     # by cell, the numbers of blocks of home rows and of chunks of rows that are there; one row for each cell
-    at_home = coded.groupBy("dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    there = coded.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(F.ceil(F.count("*") / SEEN).cast("int").alias("chunks"))
+    rows_of = lambda most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(COMPONENTS) / F.greatest("dim", F.lit(1)))))
+    at_home = coded.groupBy("dim", F.col("home").alias("cell")).agg(F.count("*").alias("rows")).select("dim", "cell", F.ceil(F.col("rows") / rows_of(block)).cast("int").alias("blocks"))
+    there = coded.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("rows")).select("dim", "cell", F.ceil(F.col("rows") / rows_of(SEEN)).cast("int").alias("chunks"))
     sizes = scratch.save(at_home.join(there, ["dim", "cell"]), "cells")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
