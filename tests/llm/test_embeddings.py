@@ -46,6 +46,17 @@ def test_like_brute_force(spark, block, monkeypatch):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_long_vectors_in_small_blocks(spark, monkeypatch):
+    """Blocks hold a number of components, not of rows: long vectors lie in more of them, and no link is lost."""
+    monkeypatch.setattr(op9, "COMPONENTS", 60 * 2048)
+    vectors = groups(np.random.default_rng(8), 300, 2048)
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").repartition(3)
+    want, got = brute(vectors), {r.vec_id: r for r in op9.linked(df).collect()}
+    total = sum(n for n, _ in want.values())
+    assert total > 1000 and sum(r.n_links for r in got.values()) >= 0.99 * total and all(r.n_links <= want[i][0] for i, r in got.items())
+    assert np.mean([r.component_id == want[i][1] for i, r in got.items()]) > 0.99
+
+
 def test_every_pair_meets_without_groups(spark, monkeypatch):
     """Vectors around no centres, pairs just above the threshold: none is lost, whatever the number of cells."""
     monkeypatch.setattr(op9, "CELL_ROWS", 100, raising=False)
