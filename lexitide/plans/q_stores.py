@@ -9,7 +9,7 @@ from lexitide.operators import norms as N
 from lexitide.operators import records as R
 from lexitide.plans.catalog import query, rounded
 from lexitide.runtime import Scratch, table
-from lexitide.sources import readers, stores
+from lexitide.sources import readers, registers, stores
 
 _Z = "SELECT word, '{0}' AS source, (value - avg(value) OVER ()) / nullif(stddev_pop(value) OVER (), 0) AS z FROM {0}"
 
@@ -75,3 +75,20 @@ def exact_sample_by_group(spark, sf):
 @query("SELECT p_brand, count(*) AS occurrences FROM part GROUP BY 1 HAVING count(*) >= 8")
 def frequent_vocabulary(spark, sf):
     return readers.frequent(table(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("occurrences")), 8, "occurrences")
+
+
+def _first_name(column: str) -> str:
+    return f"regexp_replace(regexp_extract({column}, '^[\\s\"]*(\\S+)', 1), '^[,.;:''\"\\-]+|[,.;:''\"\\-]+$', '', 'g')"
+
+
+@query(
+    "WITH r AS (SELECT p_name, p_type, regexp_replace(o_orderpriority, '^[0-9]-', '') AS priority, year(l_shipdate) AS shipped, year(o_orderdate) AS ordered FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey), "
+    f"w AS (SELECT {_first_name('p_name')} AS w, shipped AS y, 'parts' AS register FROM r UNION ALL SELECT {_first_name('p_type')}, shipped, 'parts' FROM r UNION ALL SELECT {_first_name('priority')}, ordered, 'orders' FROM r) "
+    "SELECT lower(w) AS name, count(*) AS n, count(DISTINCT register) AS n_registers, min(y) AS first_year, max(y) AS last_year FROM w "
+    "WHERE regexp_matches(w, '^[A-Za-zÀ-ÿ''\\-]{3,}$') AND y BETWEEN 1996 AND 1999 GROUP BY 1 HAVING count(*) >= 5"
+)
+def register_names(spark, sf):
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.expr("l_partkey = p_partkey")).join(table(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey"))
+    rows = rows.withColumn("priority", F.regexp_replace("o_orderpriority", "^[0-9]-", ""))
+    parts = registers.wide(rows, {"p_name": "l_shipdate", "p_type": "l_shipdate"}, 1996, 1999)
+    return registers.tally({"parts": parts, "orders": registers.wide(rows, {"priority": "o_orderdate"}, 1996, 1999)}, 5)

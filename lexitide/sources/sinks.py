@@ -61,11 +61,13 @@ def word_list(df: DataFrame, path: str) -> None:
 
 
 def stacked(passages: DataFrame, key: str, order: str, size: int = 100) -> DataFrame:
-    """Markdown of size passages for each file number; numbers go on through key's order."""
-    from pyspark.sql import Window
+    """Markdown of size passages for each file number; numbers go on through key's order, equal ones share a file.
 
-    at = F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / size)
-    rows = passages.withColumn("file", at)
+    Places come from sorted ranges, so a key with all passages isn't one task."""
+    from lexitide.operators.order import places
+
+    at = places(passages, [key], [order]).select(F.col(key).alias("__key"), F.col(order).alias("__order"), F.floor((F.col("__last") - F.col("__n")) / size).alias("file"))
+    rows = passages.join(at, F.col(key).eqNullSafe(F.col("__key")) & F.col(order).eqNullSafe(F.col("__order"))).drop("__key", "__order")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: F.concat(F.lit("## "), x[order].cast("string"), F.lit("\n\n"), x["text"])), "\n\n")
     return rows.groupBy(key, "file").agg(body.alias("markdown"))
 
