@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.functions import text as T
+from lexitide.operators.scoring import looked_up
 
 
 def token_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,7 +27,9 @@ def window_counts(texts: DataFrame, contrasts: DataFrame, keys: list[str], size:
         rows = rows.withColumn("contrast", F.explode(F.array(*(F.lit(n) for n in names))) if len(names) > 1 else F.lit(names[0]))
     else:
         rows = rows.join(contrasts.select(*on, "contrast").distinct(), on) if on else rows.crossJoin(contrasts.select("contrast").distinct())  # a few contrasts for each key
-    rows = rows.join(contrasts, [*on, "contrast", "word"], "left")
+    rows = looked_up(rows, contrasts, [*on, "contrast", "word"], "left")
+    # other tokens, as spaces, are counted nowhere
+    rows = rows.withColumn("__letter", T.starts_with_letter(F.col("token"))).where("band is not null or __letter").drop("token")
     seen = F.sum(F.when(F.col("band").isNotNull(), 1).otherwise(0))
     before = seen.over(Window.partitionBy(*keys, "contrast").orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("window", F.floor(F.coalesce(before, F.lit(0)) / size).cast("int"))
@@ -36,7 +39,7 @@ def window_counts(texts: DataFrame, contrasts: DataFrame, keys: list[str], size:
         count("pos").alias("num_conc"),
         count("neither").alias("num_neither"),
         F.count("band").alias("num_total"),
-        F.count_if(T.starts_with_letter(F.col("token"))).alias("num_words"),
+        F.count_if("__letter").alias("num_words"),
         F.countDistinct(F.when(F.col("band").isNotNull(), F.col("word"))).alias("num_types"),
     )
     out = out.where("num_total > 0")
@@ -46,7 +49,7 @@ def window_counts(texts: DataFrame, contrasts: DataFrame, keys: list[str], size:
 
 def top_words(texts: DataFrame, contrasts: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """The k most frequent words of each band of a text, joined by commas; ties by word."""
-    counted = token_rows(texts, keys).withColumn("word", F.lower("token")).join(contrasts, "word").groupBy(*keys, "contrast", "band", "word").count()
+    counted = looked_up(token_rows(texts, keys).withColumn("word", F.lower("token")).drop("token", "position"), contrasts, ["word"]).groupBy(*keys, "contrast", "band", "word").count()
     ranked = counted.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "contrast", "band").orderBy(F.desc("count"), "word")))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]), ",")
     return ranked.where(F.col("n") <= k).groupBy(*keys, "contrast", "band").agg(listed.alias("words"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexitide.functions import bins
 from lexitide.functions import text as T
 
+#: Ratings that are broadcast at most.
+HEAD = 200_000
+
 
 def word_counts(texts: DataFrame, keys: list[str], letters: bool = False) -> DataFrame:
     """(keys, word, cnt): the long bag of words. The partial counts of a task shrink before the shuffle."""
@@ -17,19 +22,70 @@ def word_counts(texts: DataFrame, keys: list[str], letters: bool = False) -> Dat
     return out.groupBy(*keys, "word").agg(F.count("*").alias("cnt"))
 
 
+def bags(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bag): the words of each row with their counts, in the row itself: nothing is shuffled. Rows without words have null.
+
+    Words are sorted; a count is the distance between two places where the word changes."""
+
+    def counted(w):
+        changes = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        # arrays of one bind a value to a name, so that it is computed once for a row
+        runs = F.transform(F.array(changes), lambda c: F.transform(c, lambda at, k: F.struct(F.get(w, at).alias("word"), (F.coalesce(F.get(c, k + 1), F.size(w)) - at).cast("long").alias("cnt"))))
+        return F.when(F.size(w) > 0, F.get(runs, F.lit(0)))
+
+    return texts.select(*keys, F.get(F.transform(F.array(F.sort_array(T.words(F.col("text")))), counted), F.lit(0)).alias("bag"))
+
+
+def of_one_text(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """bags() of saved rows in which no word of a key stands twice; only rows whose key is repeated meet, as a row for each word."""
+    again = rows.groupBy(*keys).count().where("count > 1").select(*(F.col(k).alias(f"__{k}") for k in keys))
+    if again.isEmpty():
+        return rows
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    met = rows.join(again, same, "left_semi").select(*keys, F.inline("bag")).groupBy(*keys, "word").agg(F.sum("cnt").alias("cnt"))
+    return rows.join(again, same, "left_anti").unionByName(met.select(*keys, F.array(F.struct("word", "cnt")).alias("bag")))
+
+
+def frequent(rated: DataFrame, n: str = "n") -> DataFrame:
+    """rated with the column frequent: true for at most HEAD rows, those of the largest n (by eighths of its binary logarithm)."""
+    step = F.floor(F.log2(F.col(n)) * 8)
+    most, total = None, 0
+    for r in sorted(rated.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["step"]):  # some hundred
+        total += r["rows"]
+        if total > HEAD:
+            break
+        most = r["step"]
+    return rated.withColumn("frequent", step >= most if most is not None else F.lit(False))
+
+
+def looked_up(freqs: DataFrame, ratings: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """freqs joined to ratings. With a column frequent in ratings, these rows are broadcast, so most words stay where they are; the others are shuffled."""
+    if "frequent" not in ratings.columns:
+        return freqs.join(ratings, on, how)
+    few, rest = ratings.where("frequent").drop("frequent"), ratings.where("not frequent").drop("frequent")
+    if rest.isEmpty():
+        return freqs.join(F.broadcast(few), on, how)
+    seldom = freqs.join(F.broadcast(few.select(*on).distinct()), on, "left_anti").join(rest, on, how)
+    return freqs.join(F.broadcast(few), on).unionByName(seldom)
+
+
+def _columns(ratings: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    return ratings.select(*on, *columns, *(c for c in ratings.columns if c == "frequent"))
+
+
 def weighted_means(freqs: DataFrame, norms: DataFrame, on: list[str], keys: list[str], columns: list[str], keep_unrated: bool = False) -> DataFrame:
     """Mean of each rating column over a text's words, weighted by count.
 
     Each column's weight counts only words that have a value in it. Texts without any rated word are absent, or, with
-    keep_unrated, have nulls. The rating table isn't broadcast by hint: its size decides."""
-    joined = freqs.join(norms.select(*on, *columns), on, "left" if keep_unrated else "inner")
+    keep_unrated, have nulls. Of the rating table only frequent rows are broadcast (looked_up)."""
+    joined = looked_up(freqs, _columns(norms, on, columns), on, "left" if keep_unrated else "inner")
     means = [(F.sum(F.col("cnt") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("cnt")))).alias(c) for c in columns]
     return joined.groupBy(*keys).agg(*means)
 
 
 def proportions(freqs: DataFrame, norms: DataFrame, on: list[str], keys: list[str], columns: list[str], cuts=((0.5, "05"), (1.0, "10"))) -> DataFrame:
     """Shares of rated words at or beyond each cut: pct_abs, pct_conc, and their difference, for each column."""
-    joined = freqs.join(norms.select(*on, *columns), on)
+    joined = looked_up(freqs, _columns(norms, on, columns), on)
     out = []
     for c in columns:
         z, total = F.col(c), F.sum(F.when(F.col(c).isNotNull(), F.col("cnt")))
@@ -41,7 +97,7 @@ def proportions(freqs: DataFrame, norms: DataFrame, on: list[str], keys: list[st
 
 def histogram(freqs: DataFrame, norms_long: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
     """(keys, norm, bin, cnt): counts by 0.1-wide z bin, named by its upper edge in tenths; beyond 3 dropped."""
-    joined = freqs.join(norms_long, on).withColumn("bin", bins.histogram_bin(F.col("z")))
+    joined = looked_up(freqs, norms_long, on).withColumn("bin", bins.histogram_bin(F.col("z")))
     return joined.where("bin is not null").groupBy(*keys, "norm", "bin").agg(F.sum("cnt").alias("cnt"))
 
 

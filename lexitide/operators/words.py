@@ -21,6 +21,13 @@ def most_frequent(decades: DataFrame, top: int) -> DataFrame:
     return decades.join(best, "word", "left_semi")
 
 
+def by_decade_of_most_frequent(freqs: DataFrame, top: int, size: int = 10) -> DataFrame:
+    """most_frequent of by_decade: the top words are found first and broadcast, so only their counts by decade are shuffled. freqs is read twice."""
+    own = freqs.select("year", F.lower("word").alias("word"), "cnt").where(only_letters(F.col("word")))
+    best = own.groupBy("word").agg(F.sum("cnt").alias("n")).orderBy(F.desc("n"), "word").limit(top).select("word")
+    return own.join(F.broadcast(best), "word", "left_semi").groupBy(bin_start(F.col("year"), size).alias("decade"), "word").agg(F.sum("cnt").alias("cnt"))
+
+
 def added(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

@@ -189,8 +189,7 @@ SHARES = (
 
 
 def _decades(spark, sf):
-    by_decade = kept(spark, "decades", table_state(spark, sf, "documents"), lambda: words.by_decade(S.counted(spark, sf).where("lang = 'en'")))
-    return words.most_frequent(by_decade, 10_000)
+    return kept(spark, "decades", table_state(spark, sf, "documents"), lambda: words.by_decade_of_most_frequent(S.counted(spark, sf).where("lang = 'en'"), 10_000))
 
 
 def _shares(spark, sf):

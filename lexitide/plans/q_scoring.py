@@ -174,7 +174,7 @@ PERIODS = [(1500 + 100 * i, 1600 + 100 * i, f"C{16 + i}") for i in range(4)] + [
     "SELECT _id, round(coalesce(v, m), 6) AS period_score, CASE WHEN v IS NULL THEN 'z_quality' ELSE l END AS period_score_source FROM p"
 )
 def period_score(spark, sf):
-    both = S.norms(spark, sf).join(S.century_norms(spark, sf), ["lang", "word"])
+    both = S.norms(spark, sf, True).join(S.century_norms(spark, sf), ["lang", "word"])
     cols = ["z_quality", *(f"C{c}" for c in S.CENTURIES)]
     out = scoring.weighted_means(S.freqs(spark, sf, "_id", "lang", "year"), both, ["lang", "word"], ["_id", "year"], cols)
     return rounded(scoring.period_score(out, "year", PERIODS, "z_quality").select("_id", "period_score", "period_score_source"))
@@ -197,7 +197,7 @@ counting_windows_sql = (
 @query(counting_windows_sql)
 def counting_windows(spark, sf):
     docs = table(spark, sf, "documents").where("lang = 'en'")
-    return counting.window_counts(docs, S.contrasts(spark, sf), ["doc_id"], 50, names=["quality"]).drop("contrast", "window")
+    return counting.window_counts(docs, S.contrasts(spark, sf, True), ["doc_id"], 50, names=["quality"]).drop("contrast", "window")
 
 
 @query(
@@ -205,7 +205,7 @@ def counting_windows(spark, sf):
 )
 def counting_top_words(spark, sf):
     docs = table(spark, sf, "documents").where("lang = 'en'")
-    return counting.top_words(docs, S.contrasts(spark, sf), ["doc_id"]).drop("contrast")
+    return counting.top_words(docs, S.contrasts(spark, sf, True), ["doc_id"]).drop("contrast")
 
 
 @query()

@@ -24,10 +24,21 @@ def texts(spark: SparkSession, sf: str, columns: tuple = ()) -> DataFrame:
     return spread(out) if "text" in columns else out
 
 
+KEYS = ["_id", "doc_id", "corpus", "lang", "year"]
+
+
+def bags(spark: SparkSession, sf: str) -> DataFrame:
+    """(_id, doc_id, corpus, lang, year, bag of (word, cnt)): texts are tokenised once in a session, for all scores and ratings, and stay in their tasks."""
+
+    def make() -> DataFrame:
+        return scoring.of_one_text(Scratch(spark, "bags").save(scoring.bags(texts(spark, sf, ("text",)), KEYS), "rows"), KEYS)
+
+    return kept(spark, "counted", table_state(spark, sf, "documents"), make)
+
+
 def counted(spark: SparkSession, sf: str) -> DataFrame:
-    """(_id, doc_id, corpus, lang, year, word, cnt): texts are tokenised once in a session, for all scores and ratings."""
-    keys = ["_id", "doc_id", "corpus", "lang", "year"]
-    return kept(spark, "counted", table_state(spark, sf, "documents"), lambda: scoring.word_counts(texts(spark, sf, ("text",)), keys))
+    """(_id, doc_id, corpus, lang, year, word, cnt)."""
+    return bags(spark, sf).select(*KEYS, F.inline("bag"))
 
 
 def freqs(spark: SparkSession, sf: str, *keys: str) -> DataFrame:
@@ -39,7 +50,7 @@ def freqs(spark: SparkSession, sf: str, *keys: str) -> DataFrame:
 
 def both(spark: SparkSession, sf: str, ratings) -> tuple[DataFrame, DataFrame]:
     """Saved word counts, and ratings made of them."""
-    return counted(spark, sf), ratings(spark, sf)
+    return counted(spark, sf), ratings(spark, sf, True)
 
 
 def _states(spark: SparkSession, sf: str) -> tuple:
@@ -50,25 +61,28 @@ def rated(spark: SparkSession, sf: str, century: bool = False) -> DataFrame:
     """(lang[, century], word, quality, toxic, n): means over labelled documents that hold the word, at least 3."""
 
     def make() -> DataFrame:
-        words = counted(spark, sf).join(table(spark, sf, "labels"), "doc_id").withColumn("century", bins.century_label(F.col("year")))
+        # texts meet their labels before their words are rows
+        own = bags(spark, sf).withColumn("century", bins.century_label(F.col("year"))).select("doc_id", "lang", "century", "bag")
+        words = own.join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id").select("lang", "century", "quality", "toxic", F.inline("bag"))
         keys = ["lang", *(["century"] if century else []), "word"]
         return words.groupBy(*keys).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.count("*").alias("n")).where("n >= 3")
 
     return kept(spark, f"rated-{century}".lower(), _states(spark, sf), make)
 
 
-def norms(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide ratings: (lang, word, z_quality, z_toxic, z_median)."""
+def norms(spark: SparkSession, sf: str, frequent: bool = False) -> DataFrame:
+    """Wide ratings: (lang, word, z_quality, z_toxic, z_median), and for look-ups whether the word is frequent."""
 
     def make() -> DataFrame:
-        out = N.with_zscores(rated(spark, sf), ["lang"], {"z_quality": "quality", "z_toxic": "toxic"}, 9)
-        return out.select("lang", "word", "z_quality", "z_toxic", F.round(N.row_median(F.col("z_quality"), F.col("z_toxic")), 9).alias("z_median"))
+        out = N.with_zscores(scoring.frequent(rated(spark, sf)), ["lang"], {"z_quality": "quality", "z_toxic": "toxic"}, 9)
+        return out.select("lang", "word", "z_quality", "z_toxic", F.round(N.row_median(F.col("z_quality"), F.col("z_toxic")), 9).alias("z_median"), "frequent")
 
-    return kept(spark, "norms", _states(spark, sf), make)
+    out = kept(spark, "norms", _states(spark, sf), make)
+    return out if frequent else out.drop("frequent")
 
 
-def norms_long(spark: SparkSession, sf: str) -> DataFrame:
-    return N.long(norms(spark, sf), ["lang", "word"], ["z_quality", "z_toxic", "z_median"])
+def norms_long(spark: SparkSession, sf: str, frequent: bool = False) -> DataFrame:
+    return N.long(norms(spark, sf, frequent), ["lang", "word", *(["frequent"] if frequent else [])], ["z_quality", "z_toxic", "z_median"])
 
 
 def century_norms(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +99,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     """_id, corpus, lang, year, genre, score."""
 
     def make() -> DataFrame:
-        own = scoring.weighted_means(counted(spark, sf), norms(spark, sf), ["lang", "word"], ["_id"], ["z_quality"])
+        own = scoring.weighted_means(*both(spark, sf, norms), ["lang", "word"], ["_id"], ["z_quality"])
         return texts(spark, sf, ("genre",)).join(own.select("_id", F.col("z_quality").alias("score")), "_id")
 
     return kept(spark, "scores", _states(spark, sf), make)
@@ -104,11 +118,11 @@ def groups(spark: SparkSession, sf: str) -> DataFrame:
     return kept(spark, "groups", table_state(spark, sf, "documents"), make)
 
 
-def contrasts(spark: SparkSession, sf: str) -> DataFrame:
-    """(contrast, word, band) of the English words, by z of quality."""
-    out = norms(spark, sf).where("lang = 'en' and z_quality is not null")
+def contrasts(spark: SparkSession, sf: str, frequent: bool = False) -> DataFrame:
+    """(contrast, word, band) of the English words, by z of quality; with frequent for look-ups."""
+    out = norms(spark, sf, frequent).where("lang = 'en' and z_quality is not null")
     band = F.when(F.col("z_quality") <= -1, "neg").when(F.col("z_quality") >= 0.3, "pos").otherwise("neither")
-    return out.select(F.lit("quality").alias("contrast"), "word", band.alias("band"))
+    return out.select(F.lit("quality").alias("contrast"), "word", band.alias("band"), *(["frequent"] if frequent else []))
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
