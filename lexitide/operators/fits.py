@@ -113,7 +113,8 @@ def least_squares(df: DataFrame, y: str, x: list[str], fixed: str | None = None)
     names = [f"__{i}" for i in range(len(x) + 1)]
     rows = Scratch(df.sparkSession, "regression").save(rows, "rows")
     means = rows.groupBy("__g").agg(*(F.avg(c).alias(f"m{c}") for c in names), F.count("*").alias("__n"))
-    centred = rows.join(means, "__g").select(*((F.col(c) - F.col(f"m{c}")).alias(c) for c in names))
+    # without effects all rows have one key, whose mean is one row
+    centred = (rows.join(means, "__g") if fixed else rows.drop("__g").join(F.broadcast(means))).select(*((F.col(c) - F.col(f"m{c}")).alias(c) for c in names))
     cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     got = centred.agg(*(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in cells), F.count("*").alias("n")).collect()[0]
     groups = means.count()
