@@ -19,6 +19,8 @@ def bipartite(df: DataFrame, left: str, right: str, weight: str, k: int) -> Data
 def degrees(edges: DataFrame, by: list[str]) -> DataFrame:
     """(by, node, degree) of undirected edges a, b; repeated edges count once."""
     own = edges.where("a <> b").select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # written, so that a task doesn't hold the edges and the nodes at once
+    own = Scratch(edges.sparkSession, "graphs").save(own, "edges")
     return own.select(*by, F.explode(F.array("a", "b")).alias("node")).groupBy(*by, "node").agg(F.count("*").alias("degree"))
 
 
