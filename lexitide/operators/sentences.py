@@ -32,7 +32,7 @@ def pieces(text: Column) -> Column:
 
 def core(piece: Column) -> Column:
     """The token without marks around it."""
-    return F.regexp_replace(F.trim(F.regexp_replace(piece, r"\s+", " ")), f"^{OPEN}|{CLOSE}$", "")
+    return F.regexp_replace(F.btrim(piece, F.lit(" \t\n\x0b\f\r")), f"^{OPEN}|{CLOSE}$", "")  # white space is at the ends only
 
 
 def has_period(token: Column) -> Column:
@@ -46,8 +46,7 @@ def has_mark(token: Column) -> Column:
 
 def kind(token: Column) -> Column:
     """Lower-cased type without the last period; numbers are one type."""
-    low = F.lower(F.regexp_replace(token, r"[.,;:!?]+$", ""))
-    return F.when(low.rlike(r"^\d[\d.,]*$"), F.lit("##number##")).otherwise(low)
+    return bound(F.lower(F.regexp_replace(token, r"[.,;:!?]+$", "")), lambda low: F.when(low.rlike(r"^\d[\d.,]*$"), F.lit("##number##")).otherwise(low))
 
 
 def upper_first(token: Column) -> Column:
@@ -58,16 +57,30 @@ def lower_first(token: Column) -> Column:
     return token.rlike(r"^\p{Ll}")
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def neighbours(texts: DataFrame, text: str = "text") -> DataFrame:
     """(first, dotted, marked, second, upper, lower, n): how often a piece follows another; first is null at the start of a text, second at its end."""
-    cores = F.transform(pieces(F.col(text)), core)
-    rows = texts.where(F.col(text).isNotNull()).select(F.concat(F.array(F.lit(None).cast("string")), cores, F.array(F.lit(None).cast("string"))).alias("c"))
+    told = lambda c: F.struct(kind(c).alias("kind"), has_period(c).alias("dotted"), has_mark(c).alias("marked"), upper_first(c).alias("upper"), lower_first(c).alias("lower"))
+    none = F.array(F.lit(None).cast("struct<kind:string,dotted:boolean,marked:boolean,upper:boolean,lower:boolean>"))
+    own = F.transform(pieces(F.col(text)), lambda p: bound(core(p), told))  # each piece once, though it stands in two pairs
+    rows = texts.where(F.col(text).isNotNull()).select(F.concat(none, own, none).alias("c"))
     both = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(F.get("c", i).alias("a"), F.get("c", i + 1).alias("b")))).alias("p"))
     a, b = F.col("p.a"), F.col("p.b")
-    cells = [kind(a).alias("first"), has_period(a).alias("dotted"), has_mark(a).alias("marked"), kind(b).alias("second"), upper_first(b).alias("upper"), lower_first(b).alias("lower")]
+    cells = [a["kind"].alias("first"), a["dotted"].alias("dotted"), a["marked"].alias("marked"), b["kind"].alias("second"), b["upper"].alias("upper"), b["lower"].alias("lower")]
     return both.select(*cells).groupBy("first", "dotted", "marked", "second", "upper", "lower").agg(F.count("*").alias("n"))
 
 
+def types_of(texts: DataFrame, text: str = "text") -> DataFrame:
+    """types() of texts whose neighbours aren't asked for: equal pieces are counted first, and only different ones are looked at."""
+    different = texts.select(F.explode(pieces(F.col(text))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    told = different.select(core(F.col("p")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
+    return types(told.select(kind(F.col("c")).alias("first"), has_period(F.col("c")).alias("dotted"), "n"))
+
+
 def types(near: DataFrame) -> DataFrame:
     """(type, n, dotted): how often a type stands in the texts, and how often a period ends it."""
     return near.where("first is not null").groupBy(F.col("first").alias("type")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("dotted"), F.col("n")).otherwise(0)).alias("dotted"))

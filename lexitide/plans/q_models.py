@@ -79,7 +79,7 @@ _TYPES = (
 
 @query(f"{_TYPES} SELECT type, n, dotted FROM types")
 def period_types(spark, sf):
-    return sentences.types(sentences.neighbours(table(spark, sf, "documents")))
+    return sentences.types_of(table(spark, sf, "documents"))
 
 
 _LL = "dotted * ln({p}) + CASE WHEN n > dotted THEN (n - dotted) * ln(1 - {p}) ELSE 0 END"
@@ -90,7 +90,7 @@ _LL = "dotted * ln({p}) + CASE WHEN n > dotted THEN (n - dotted) * ln(1 - {p}) E
     "f AS (SELECT type, r * exp(-(length(type) - dots)) * (dots + 1) * power(greatest(length(type) - dots, 1), -free) AS score FROM s) SELECT type, round(score, 6) AS score FROM f WHERE score >= 0.3"
 )
 def abbreviation_scores(spark, sf):
-    counted = Scratch(spark, "types").save(sentences.types(sentences.neighbours(table(spark, sf, "documents"))), "types")
+    counted = Scratch(spark, "types").save(sentences.types_of(table(spark, sf, "documents")), "types")
     return rounded(sentences.abbreviations(counted, counted.agg(F.sum("n").alias("n"), F.sum("dotted").alias("dotted"))))
 
 
