@@ -270,6 +270,12 @@ def in_blocks(held: DataFrame, work) -> DataFrame:
     return dealt.groupBy("key", "low", "high").applyInPandas(work, "a long, b long")
 
 
+def with_own(held: DataFrame, own: DataFrame) -> DataFrame:
+    """held (id, ...), at most BANDS rows for an id, with the columns of own (id, ...), one row for each id: an id is joined once."""
+    rows = held.groupBy("id").agg(F.collect_list(F.struct(*(c for c in held.columns if c != "id"))).alias("__rows"))
+    return rows.join(own, "id").select("id", *(c for c in own.columns if c != "id"), F.inline("__rows"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, by_text: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document of docs (doc_id, text).
 
@@ -301,13 +307,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, by_text: bool = False) -> D
         mixed = held.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(size).alias("top"))
         mixed = mixed.where("parts > 1").select("key", F.col("top.component").alias("most"), (F.col("all") - F.col("top.size")).alias("apart"))
         held = scratch.save(held.join(mixed, "key"), "mixed")
-        large = held.where(F.col("n") > SMALL).join(sketches, "id")
+        large = held.where(F.col("n") > SMALL)
         if last:
-            new = in_blocks(large.join(sets, "id"), links_between)
+            new = in_blocks(with_own(large, sketches.join(sets, "id")), links_between)
         else:
             x, y = held.where(F.col("n") <= SMALL).alias("x"), held.where(F.col("n") <= SMALL).alias("y")
             apart = x.join(y, "key").where("x.component <> y.component and x.id < y.id")
-            pairs = in_blocks(large, best_partners).unionByName(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+            pairs = in_blocks(with_own(large, sketches), best_partners).unionByName(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
             new = verified(scratch, scratch.save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs"), sketches, sets)
         links = scratch.save(links.unionByName(new), "links")
     grouped = components(scratch, links)
