@@ -6,22 +6,23 @@ large that is, and training is the same on every layout.
 
 Words are hashed to shards. In a round each task holds the inner vectors of one shard, the outer vectors of another and the
 counts of their pairs; no two tasks of a round share a word, so all shards are trained at once, and after as many rounds as there are shards every pair was met
-(stratified gradient descent). A task's matrices have the size of two shards, whatever the corpus and the frequency of a
-word. Many models (corpora, periods, runs) are trained side by side.
+(stratified gradient descent). Within a task shards are cut into parts, which meet each other in the same way. A task holds two shards' vectors, their pairs and
+a few rows of likelihoods, whatever the corpus and the frequency of a word. Many models (corpora, periods, runs) are trained side by side.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexitide.operators import embeddings
+from lexitide.operators import embeddings, scoring
 from lexitide.operators.norms import wide
 from lexitide.runtime import Scratch, find_package
 
-SHARD = 2048  # words of a shard, about
+SHARD, PARTS, TILE = 2048, 8, 256  # words of a part of a shard, about; parts of a shard at most; rows of likelihoods in memory
 NEGATIVES, NOISE, FREQUENT = 5, 0.75, 1e-3
 RATE, STEPS = 0.1, 3
 
@@ -31,14 +32,54 @@ def vocabulary(sentences: DataFrame, models: list[str], least: int) -> DataFrame
     return sentences.select(*models, F.explode("words").alias("word")).groupBy(*models, "word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def _windows(sentences: DataFrame, models: list[str], window: int, first, second) -> DataFrame:
+    """(models, a, b, w): a stands before b within the window; w is window + 1 less their distance. first and second look at the words of each side."""
+    at = F.sequence(F.lit(1), F.least(F.lit(window), F.size("words") - 1 - F.col("__i")))
+    rows = sentences.where(F.size("words") > 1).select(*models, "words", F.posexplode("words").alias("__i", "a")).where(F.col("__i") < F.size("words") - 1)
+    met = F.explode(F.transform(at, lambda d: F.struct(F.get("words", F.col("__i") + d).alias("b"), (window + 1 - d).cast("long").alias("w")))).alias("__p")
+    rows = first(rows)
+    left = [c for c in rows.columns if c not in (*models, "words", "__i")]
+    return second(rows.select(*models, *left, met).select(*models, *left, F.col("__p.b").alias("b"), F.col("__p.w").alias("w")))
+
+
 def pairs(sentences: DataFrame, models: list[str], window: int) -> DataFrame:
     """(models, a, b, n): a stands before b within the window; n counts a distance of d as (window + 1 - d) / window.
 
     That is how often windows of all widths up to the largest hold the pair. Counts are added up before the shuffle."""
-    at = F.sequence(F.lit(1), F.least(F.lit(window), F.size("words") - 1 - F.col("__i")))
-    rows = sentences.where(F.size("words") > 1).select(*models, "words", F.posexplode("words").alias("__i", "a")).where(F.col("__i") < F.size("words") - 1)
-    rows = rows.select(*models, "a", F.explode(F.transform(at, lambda d: F.struct(F.get("words", F.col("__i") + d).alias("b"), ((window + 1 - d) / window).alias("w")))).alias("__p"))
-    return rows.groupBy(*models, "a", F.col("__p.b").alias("b")).agg(F.sum("__p.w").alias("n"))
+    rows = _windows(sentences, models, window, lambda r: r, lambda r: r)
+    return rows.groupBy(*models, "a", "b").agg((F.sum("w") / window).alias("n"))
+
+
+def numbered_pairs(sentences: DataFrame, models: list[str], window: int, words: DataFrame) -> DataFrame:
+    """(models, a, b, n, kept): pairs() in either order, by the ids of words (models, word, n, id, kept), a <= b; kept is the product of theirs.
+
+    Words that aren't known go before pairs are made, but keep their places. The frequent known words (scoring.HEAD) are broadcast; pairs with another
+    are counted by its name first and then meet it in a shuffle. Weights are added up as whole numbers, so their order doesn't matter."""
+    words = scoring.frequent(words)
+    seldom = words.where("not frequent")
+    how = "inner" if seldom.isEmpty() else "left"
+
+    def known(c: str, of: DataFrame) -> DataFrame:
+        return of.select(*models, F.col("word").alias(c), F.col("id").alias(f"__i{c}"), F.col("kept").alias(f"__k{c}"))
+
+    def look(c: str):
+        def joined(rows: DataFrame) -> DataFrame:
+            out = rows.join(F.broadcast(known(c, words.where("frequent"))), [*models, c], how)
+            return out.withColumn(c, F.when(F.col(f"__i{c}").isNull(), F.col(c))) if how == "left" else out.drop(c)
+
+        return joined
+
+    rows = _windows(sentences, models, window, look("a"), look("b"))
+    sides = ["__ia", "__ka", "__ib", "__kb"]
+    if how == "left":
+        rows = Scratch(sentences.sparkSession, "pairs").save(rows.groupBy(*models, "a", "b", *sides).agg(F.sum("w").alias("w")), "named")
+        whole, rest = rows.where("a is null and b is null"), rows.where("a is not null or b is not null")
+        for c in "ab":
+            found = rest.where(f"{c} is not null").drop(f"__i{c}", f"__k{c}").join(known(c, seldom), [*models, c])
+            rest = rest.where(f"{c} is null").select(*models, *sides, "a", "b", "w").unionByName(found.select(*models, *sides, "a", "b", "w"))
+        rows = whole.select(*models, *sides, "w").unionByName(rest.select(*models, *sides, "w"))
+    ids = [F.least("__ia", "__ib").alias("a"), F.greatest("__ia", "__ib").alias("b")]
+    return rows.groupBy(*models, *ids).agg((F.sum("w") / window).alias("n"), F.first(F.col("__ka") * F.col("__kb")).alias("kept"))
 
 
 def visit(count: np.ndarray, negative: np.ndarray, inner: np.ndarray, outer: np.ndarray, seen_inner: np.ndarray, seen_outer: np.ndarray, rate: float, steps: int) -> None:
@@ -53,6 +94,41 @@ def visit(count: np.ndarray, negative: np.ndarray, inner: np.ndarray, outer: np.
             one += rate * step / np.sqrt(seen + 1e-12)[:, None]
 
 
+def _pull(pairs: tuple, f: np.ndarray, noise: np.ndarray, inner: np.ndarray, outer: np.ndarray, turned: bool) -> np.ndarray:
+    """visit()'s step for pairs that are few among the cells: rows and columns (sorted by row) with their counts; negatives are NEGATIVES * f * noise.
+
+    Likelihoods are single precision, for TILE rows at a time."""
+    a, b, n = pairs
+    inner, outer = inner.astype(np.float32), outer.astype(np.float32)
+    f, noise = (NEGATIVES * f).astype(np.float32)[:, None], noise.astype(np.float32)[:, None]
+    out, weight, noisy = np.zeros((outer if turned else inner).shape), np.empty(len(n)), noise * outer
+    for t in range(0, len(inner), TILE):
+        part = slice(t, t + TILE)
+        likely = inner[part] @ -outer.T
+        np.exp(np.clip(likely, -30, 30, out=likely), out=likely)
+        likely += 1
+        np.reciprocal(likely, out=likely)
+        lo, hi = np.searchsorted(a, (t, t + TILE))
+        weight[lo:hi] = n[lo:hi] * (1 - likely[a[lo:hi] - t, b[lo:hi]])
+        if turned:
+            out -= noise * (likely.T @ (f[part] * inner[part]))
+        else:
+            out[part] = -f[part] * (likely @ noisy)
+    to, two = (b, inner[a]) if turned else (a, outer[b])
+    for k in range(out.shape[1]):
+        out[:, k] += np.bincount(to, weight * two[:, k], len(out))
+    return out
+
+
+def visit_few(pairs: tuple, f: np.ndarray, noise: np.ndarray, inner: np.ndarray, outer: np.ndarray, seen_inner: np.ndarray, seen_outer: np.ndarray, rate: float, steps: int) -> None:
+    """visit() by _pull()."""
+    for _ in range(steps):
+        for one, seen, turned in ((inner, seen_inner, False), (outer, seen_outer, True)):
+            step = _pull(pairs, f, noise, inner, outer, turned)
+            seen += (step**2).mean(1)
+            one += rate * step / np.sqrt(seen + 1e-12)[:, None]
+
+
 def _start(words: DataFrame, models: list[str], size: int, seed: int) -> DataFrame:
     """(models, word, f, side, shard, vector, seen): inner vectors by hash, outer ones smaller."""
     draw = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (F.pmod(F.xxhash64("word", F.lit(seed), *models, "side", i), F.lit(1 << 20)) / float(1 << 20) - 0.5) * F.when(F.col("side") == 0, 1.0 / size).otherwise(0.1 / size))
@@ -60,51 +136,69 @@ def _start(words: DataFrame, models: list[str], size: int, seed: int) -> DataFra
     return both.withColumn("vector", draw).withColumn("seen", F.lit(0.0))
 
 
-def train(sentences: DataFrame, models: list[str], size: int = 100, window: int = 10, least: int = 10, epochs: int = 5, seed: int = 0, shard: int = SHARD) -> DataFrame:
-    """(models, word, vector) of sentences (models, words array): a model for each value of the columns models."""
+def train(sentences: DataFrame, models: list[str], size: int = 100, window: int = 10, least: int = 10, epochs: int = 5, seed: int = 0, shard: int = SHARD, runs: int = 0) -> DataFrame:
+    """(models, word, vector) of sentences (models, words array): a model for each value of the columns models.
+
+    With runs so many of each, from other starts, told apart by a further column run; their pairs are counted once."""
     spark = sentences.sparkSession
     find_package(spark)
     scratch = Scratch(spark, "vectors")
+    named = [*models, "run"] if runs else models
     words = scratch.save(vocabulary(sentences, models, least), "words")
     total = words.groupBy(*models).agg(F.sum("n").alias("__all"), F.sum(F.col("n") ** NOISE).alias("__noise"), F.count("*").alias("__words"))
     largest = total.agg(F.max("__words").alias("w"), F.count("*").alias("m")).collect()[0]
     if not largest["m"]:
-        return words.select(*models, "word", F.array().cast("array<double>").alias("vector"))
-    # enough shards for the memory, and for the cores
-    shards = max(1, -(-largest["w"] // shard), min(-(-spark.sparkContext.defaultParallelism // largest["m"]), -(-largest["w"] // 64)))
+        return words.withColumn("run", F.lit(0)).select(*named, "word", F.array().cast("array<double>").alias("vector"))
+    # enough shards for the memory, and for the cores; a shard is visited in parts of about `shard` words
+    shards = max(1, -(-largest["w"] // (shard * PARTS)), min(-(-spark.sparkContext.defaultParallelism // (largest["m"] * max(1, runs))), -(-largest["w"] // 64)))
+    parts = -(-largest["w"] // (shard * shards))
     share = F.col("n") / F.col("__all")
     kept = F.least(F.lit(1.0), F.sqrt(FREQUENT / share) + FREQUENT / share)  # of frequent words some places are passed over
-    deal = F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int")
-    words = scratch.save(words.join(total, models).select(*models, "word", deal.alias("shard"), kept.alias("kept"), (F.col("n") ** NOISE / F.col("__noise")).alias("noise")), "weights")
-
-    known = lambda c: words.select(*models, F.col("word").alias(c), F.col("kept").alias(f"__k{c}"), F.col("shard").alias(f"__s{c}"))
-    half = pairs(sentences, models, window).join(known("a"), [*models, "a"]).join(known("b"), [*models, "b"])
-    half = half.select(*models, "a", "b", "__sa", "__sb", (F.col("n") * F.col("__ka") * F.col("__kb")).alias("n"))
-    half = scratch.save(half, "half")
-    both = half.unionByName(half.select(*models, F.col("b").alias("a"), F.col("a").alias("b"), F.col("__sb").alias("__sa"), F.col("__sa").alias("__sb"), "n"))
-    # a round meets the inner shard i with the outer shard i + round; by name a word's number in its shard isn't needed
-    met = both.groupBy(*models, "a", "b").agg(F.sum("n").alias("n"), F.first("__sa").alias("block"), F.pmod(F.first("__sb") - F.first("__sa"), F.lit(shards)).alias("round"))
+    deal = F.pmod(F.xxhash64("word"), F.lit(shards * parts)).cast("int")
+    words = words.join(total, models).select(*models, "word", "n", deal.alias("deal"), kept.alias("kept"), (F.col("n") ** NOISE / F.col("__noise")).alias("noise"))
+    # an id tells its word's shard, so that pairs carry it
+    words = scratch.save(words.withColumn("id", F.monotonically_increasing_id() * shards + F.col("deal") % shards), "weights")
+    half = scratch.save(numbered_pairs(sentences, models, window, words).select(*models, "a", "b", (F.col("n") * F.col("kept")).alias("n")), "half")
+    # each pair is met from both its words, one with itself twice
+    both = half.select(*models, "a", "b", F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n")).alias("n"))
+    both = both.unionByName(half.where("a < b").select(*models, F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    # a round meets the inner shard i with the outer shard i + round
+    met = both.select(*models, "a", "b", "n", F.pmod("a", F.lit(shards)).cast("int").alias("block"), F.pmod(F.col("b") - F.col("a"), F.lit(shards)).cast("int").alias("round"))
     path = f"{scratch.base}/met"
     met.write.partitionBy("round").parquet(path)
     met = spark.read.schema(met.schema).parquet(path)
-    weight = met.groupBy(*models, F.col("a").alias("word")).agg(F.sum("n").alias("f"))
-    state = scratch.save(_start(words.join(weight, [*models, "word"]).drop("kept"), models, size, seed), "state")
+    weight = met.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("f"))
+    own = words.join(weight, "id").select(*models, *([F.explode(F.array(*(F.lit(r) for r in range(runs)))).alias("run")] if runs else []), "word", "id", F.pmod("id", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("deal") / shards).cast("int").alias("part"), "noise", "f")
+    state = scratch.save(_start(own, named, size, seed), "state")
 
     def block(key, own: pa.Table, params: pa.Table) -> pa.Table:
-        side = params["side"].to_numpy()
-        order = np.argsort(side, kind="stable")
-        params = params.take(pa.array(order)).combine_chunks()
-        n_inner = int((side == 0).sum())
+        # by run, side, part and word: steps don't depend on the layout
+        params = params.take(pc.sort_indices(params, sort_keys=[(c, "ascending") for c in ([*named[len(models) :], "side", "part", "word"])])).combine_chunks()
+        side, part, ids = (params[c].to_numpy() for c in ("side", "part", "id"))
         vectors = params["vector"].combine_chunks().flatten().to_numpy().reshape(len(side), -1).copy()
         seen = params["seen"].to_numpy().copy()
-        names = params["word"].to_pylist()
-        if len(own) and 0 < n_inner < len(side):
-            inner = {w: i for i, w in enumerate(names[:n_inner])}
-            outer = {w: i for i, w in enumerate(names[n_inner:])}
-            count = np.zeros((len(inner), len(outer)))
-            count[[inner[a] for a in own["a"].to_pylist()], [outer[b] for b in own["b"].to_pylist()]] = own["n"].to_numpy()
-            f, noise = params["f"].to_numpy()[:n_inner], params["noise"].to_numpy()[n_inner:]
-            visit(count, NEGATIVES * f[:, None] * noise[None, :], vectors[:n_inner], vectors[n_inner:], seen[:n_inner], seen[n_inner:], RATE, STEPS)
+        n_all = len(side) // max(1, runs)
+        n_inner = int((side[:n_all] == 0).sum())
+        if len(own) and 0 < n_inner < n_all:
+            f, noise = params["f"].to_numpy()[:n_inner], params["noise"].to_numpy()[n_inner:n_all]
+            place = []
+            for c, known in (("a", ids[:n_inner]), ("b", ids[n_inner:n_all])):
+                order = np.argsort(known)
+                place.append(order[np.searchsorted(known, own[c].to_numpy(), sorter=order)])
+            ends = [np.searchsorted(part[at], np.arange(parts + 1)) for at in (slice(0, n_inner), slice(n_inner, n_all))]
+            cell = (part[:n_inner][place[0]].astype(np.int64) * parts) + part[n_inner:n_all][place[1]]
+            order = np.lexsort((place[1], place[0], cell))
+            a, b, n = place[0][order], place[1][order], own["n"].to_numpy()[order]
+            cells = np.searchsorted(cell[order], np.arange(parts * parts + 1))
+            for turn in range(parts):
+                for i in range(parts):
+                    j = (i + turn) % parts
+                    (i0, i1), (j0, j1), (c0, c1) = ends[0][i : i + 2], ends[1][j : j + 2], cells[i * parts + j : i * parts + j + 2]
+                    if i0 < i1 and j0 < j1 and c0 < c1:
+                        few = (a[c0:c1] - i0, b[c0:c1] - j0, n[c0:c1])
+                        for r in range(0, len(side), n_all):
+                            one, two = slice(r + i0, r + i1), slice(r + n_inner + j0, r + n_inner + j1)
+                            visit_few(few, f[i0:i1], noise[j0:j1], vectors[one], vectors[two], seen[one], seen[two], RATE, STEPS)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(side) + 1) * vectors.shape[1], pa.int32()), pa.array(vectors.ravel()))
         return params.set_column(params.schema.get_field_index("vector"), "vector", flat).set_column(params.schema.get_field_index("seen"), "seen", pa.array(seen)).drop_columns(["block"])
 
@@ -117,7 +211,7 @@ def train(sentences: DataFrame, models: list[str], size: int = 100, window: int
             new = scratch.save(new.select(state.columns), "state")
             scratch.drop(state)
             state = new
-    return state.where("side = 0").select(*models, "word", "vector")
+    return state.where("side = 0").select(*named, "word", "vector")
 
 
 def vector_norms(sentences: DataFrame, poles: DataFrame, runs: int = 1, **how) -> tuple[DataFrame, list[str]]:
@@ -125,10 +219,9 @@ def vector_norms(sentences: DataFrame, poles: DataFrame, runs: int = 1, **how) -
 
     A model for each corpus, period and run; z-scores of the cosine with each contrast's axis; medians over runs, then over corpora.
     poles: contrast, word, band (pos, neg). Runs start from different vectors."""
-    seeds = F.explode(F.array(*(F.lit(r) for r in range(runs)))).alias("run")
     scratch = Scratch(sentences.sparkSession, "norms")
     by = ["corpus", "period", "run"]
-    vectors = scratch.save(train(sentences.select("corpus", "period", seeds, "words"), by, **how), "vectors")
+    vectors = scratch.save(train(sentences.select("corpus", "period", "words"), by[:2], runs=runs, **how), "vectors")
     scores = scratch.save(embeddings.axis_scores(vectors, embeddings.axes(vectors, poles, by), by), "scores")
     out = embeddings.over_runs(scores).withColumn("name", F.concat_ws(".", "contrast", "period"))
     out = scratch.save(out, "medians")

@@ -60,6 +60,54 @@ def test_a_visit_lowers_the_loss():
     assert loss() < 0.9 * before
 
 
+def test_few_pairs_like_all_cells():
+    """A block with few pairs takes the steps of the dense visit."""
+    draw = np.random.default_rng(4)
+    count, f, noise = draw.poisson(0.1, (300, 40)).astype(float), draw.random(300) * 3, draw.random(40)
+    plain = [(draw.random((300, 8)) - 0.5) / 8, (draw.random((40, 8)) - 0.5) / 80, np.zeros(300), np.zeros(40)]
+    few = [x.copy() for x in plain]
+    vectors.visit(count, vectors.NEGATIVES * f[:, None] * noise[None, :], *plain, vectors.RATE, 3)
+    at = np.nonzero(count)
+    vectors.visit_few((*at, count[at]), f, noise, *few, vectors.RATE, 3)
+    for a, b in zip(plain, few):
+        assert b == pytest.approx(a, rel=1e-4, abs=1e-5)
+
+
+@pytest.mark.parametrize("head", [200_000, 50, 0])
+def test_numbered_pairs_like_pairs(spark, lines, monkeypatch, head):
+    """Pairs of known words only, in either order, with and without words beyond the broadcast ones; places of unknown words count."""
+    monkeypatch.setattr(vectors.scoring, "HEAD", head)
+    some = spark.createDataFrame(lines[1][:200] + [("x", "C18", []), ("x", "C18", ["w1"]), ("x", "C18", None), ("x", "C19", ["w0", None, "rare", "w1"])], lines[0].schema)
+    words = vectors.vocabulary(some, ["period"], 5).where("word is not null")
+    numbers = {(r.period, r.word): (i, 0.5 if r.word == "w0" else 1.0, r.n) for i, r in enumerate(words.collect())}
+    known = spark.createDataFrame([(*k, *v) for k, v in numbers.items()], "period string, word string, id long, kept double, n long")
+    want = Counter()
+    for r in vectors.pairs(some, ["period"], 3).collect():
+        a, b = numbers.get((r.period, r.a)), numbers.get((r.period, r.b))
+        if a and b:
+            want[r.period, min(a[0], b[0]), max(a[0], b[0])] += r.n
+    got = vectors.numbered_pairs(some, ["period"], 3, known).collect()
+    assert {(r.period, r.a, r.b): r.n for r in got} == pytest.approx(dict(want)) and len(got) == len(want)
+    kept = {v[0]: v[1] for v in numbers.values()}
+    assert all(r.kept == kept[r.a] * kept[r.b] for r in got)
+
+
+def test_runs_share_their_pairs(spark, lines, monkeypatch):
+    """Runs start differently and are trained as alone, but their pairs are counted once; rounds don't grow with the parts of a shard."""
+    counted, saved = [], []
+    pairs, save = vectors.numbered_pairs, vectors.Scratch.save
+    monkeypatch.setattr(vectors, "numbered_pairs", lambda *a: counted.append(1) or pairs(*a))
+    monkeypatch.setattr(vectors.Scratch, "save", lambda self, df, name="t": saved.append(name) or save(self, df, name))
+    how = dict(size=8, window=3, least=5, epochs=1, shard=12)
+    one = lines[0].where("period = 'C18'")
+    both = vectors.train(one, ["corpus"], runs=2, **how)
+    assert len(counted) == 1 and saved.count("state") - 1 <= max(4, spark.sparkContext.defaultParallelism)  # 240 words are twenty shards of 12
+    got = {(r.run, r.word): r.vector for r in both.collect()}
+    assert {k for k, _ in got} == {0, 1} and got[0, "w0"] != got[1, "w0"]
+    alone = vectors.train(one.withColumn("run", F.lit(1)), ["corpus", "run"], **how).collect()
+    assert max(abs(x - y) for r in alone for x, y in zip(r.vector, got[1, r.word])) < 1e-5
+
+
 def test_from_texts_to_norms(spark, lines):
     poles = spark.createDataFrame([("c", f"w{i}", "pos" if i % TOPICS == 0 else "neg") for i in range(24) if i % TOPICS < 2], "contrast string, word string, band string")
     out, names = vectors.vector_norms(lines[0], poles, runs=2, size=12, window=5, least=5, epochs=2)
