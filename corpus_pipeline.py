@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from lexitide.llm import op3_packing, op4_pii, op6_neardup, op7_language, op8_decontaminate
 from lexitide.runtime import Scratch, table
 
+#: Documents that go or repeat (ids and hashes) are broadcast, up to this number; more of them are joined in a shuffle.
+LOOKED_UP = 2_000_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels teach; the rest goes."""
@@ -27,6 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # only what goes or repeats travels on: a document that is neither meets nothing
     known = found.join(rows, ["doc_id", "text_key"]).where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("kept").alias("__kept"))
     known = Scratch(spark, "pipeline").save(known, "copies")
+    if known.count() <= LOOKED_UP:
+        known = F.broadcast(known)  # the texts stay where they are
     here = (docs["doc_id"].cast("long") == known["__id"]) & (text_key == known["__key"])
     clean = docs.join(known, here, "left_anti")
     first = Window.partitionBy("__id", "__key").orderBy(F.to_json(F.struct(*docs.columns)))

@@ -61,3 +61,18 @@ def test_awkward_documents(spark, sf, awkward, empty):
 def test_run_and_registry(spark, sf):
     assert len(pipeline.STAGES) == 5 and pipeline.run(spark, sf).count() > 0
     assert [q.split("_")[0] for q in registry.QUERIES] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_copies_go_without_a_shuffle_of_texts(spark, awkward, monkeypatch):
+    """What goes is looked up, however low Spark's own limit for broadcasts; beyond the pipeline's bound it is joined with the same result."""
+    docs = awkward.unionByName(awkward)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        looked = pipeline.near_duplicates(spark, docs, "")
+        assert "SortMergeJoin" not in looked._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(pipeline, "LOOKED_UP", 0)
+        joined = pipeline.near_duplicates(spark, docs, "")
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, looked.collect())) == sorted(map(repr, joined.collect())) and looked.count() == len(awkward_rows()) - 1  # the row without a doc_id stays twice
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
