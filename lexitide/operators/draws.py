@@ -19,21 +19,23 @@ def draws(df: DataFrame, by: list[str], key: str, n: int, weight: str | None = N
     """df's rows with the column draw: n for each stratum, with replacement, each row as often as its number came up.
 
     key tells a stratum's rows apart. With a weight (whole numbers, none or less is never drawn) a row's chance is its share of the stratum's sum. Draws are found by a join
-    on slices of the running counts, in which a row stands once for each slice that it reaches into."""
+    on slices of the running counts, in which a row stands once for each slice that it reaches into. Draws, and what they fall on, are saved: few rows of a known size are broadcast, so
+    that df and its running counts aren't shuffled for them."""
     scratch = Scratch(df.sparkSession, "draws")
     own = df.select(*by, F.col(key).alias("__key"), (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("__w")).where("__w > 0")
-    own = own.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__key").cast("string"))))
+    own = own.withColumn("__h", F.unhex(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__key").cast("string")))))
     rows = scratch.save(_running(own, by, scratch), "running")
     total = rows.groupBy(*by).agg(F.max("__last").alias("__all"))
     named = F.concat_ws("|", F.lit(f"draw {seed}"), F.col("draw").cast("string"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by))
     share = F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     drawn = total.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__at", F.least(F.floor(share * F.col("__all")), F.col("__all") - 1))
     drawn = drawn.select(*(F.col(c).alias(f"__d_{c}") for c in by), "draw", "__at", F.floor(F.col("__at") / STEP).alias("__slice"))
+    drawn = scratch.save(drawn, "drawn")
     reach = rows.withColumn("__s", F.explode(F.sequence(F.floor((F.col("__last") - F.col("__w")) / STEP), F.floor((F.col("__last") - 1) / STEP))))
     here = (F.col("__s") == F.col("__slice")) & (F.col("__at") < F.col("__last")) & (F.col("__at") >= F.col("__last") - F.col("__w"))
     for c in by:
         here = here & F.col(c).eqNullSafe(F.col(f"__d_{c}"))
-    found = reach.join(drawn, here).select("__key", "draw", *(f"__d_{c}" for c in by))
+    found = scratch.save(reach.join(drawn, here).select("__key", "draw", *(f"__d_{c}" for c in by)), "found")
     same = F.col(key).eqNullSafe(F.col("__key"))
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"__d_{c}"))
@@ -69,4 +71,4 @@ def book_passages(passages: DataFrame, keys: list[str], n: int = 100, seed: int
     scored = scored.withColumn("zbin", band).withColumn("ybin", period).where("zbin is not null and ybin is not null")
     scored = scratch.save(scored.withColumn("__id", F.concat_ws("|", *(F.col(k).cast("string") for k in keys))), "scored")
     drawn = draws(scored.select("__id", "ybin", "zbin"), ["ybin", "zbin"], "__id", n, seed=seed).select("__id").distinct()
-    return scored.join(drawn, "__id", "left_semi").drop("__id")
+    return scored.join(scratch.save(drawn, "drawn"), "__id", "left_semi").drop("__id")

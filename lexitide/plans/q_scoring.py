@@ -10,7 +10,7 @@ from lexitide.operators import counting, scoring
 from lexitide.operators import norms as N
 from lexitide.plans import stand_in as S
 from lexitide.plans.catalog import query, rounded, t_p_sql
-from lexitide.runtime import table
+from lexitide.runtime import spread, table
 
 PCT = ", ".join(
     f"round(coalesce(sum(cnt) FILTER (z_quality {op} {c}), 0) / sum(cnt) FILTER (z_quality IS NOT NULL), 6) AS pct_{n}_{t}_z_quality" for t, c in (("05", 0.5), ("10", 1.0)) for n, op, c in (("abs", "<=", -c), ("conc", ">=", c))
@@ -196,7 +196,7 @@ counting_windows_sql = (
 
 @query(counting_windows_sql)
 def counting_windows(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = spread(table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "text"))
     return counting.window_counts(docs, S.contrasts(spark, sf, True), ["doc_id"], 50, names=["quality"]).drop("contrast", "window")
 
 

@@ -63,6 +63,36 @@ def test_windows_and_top_words_with_frequent_contrasts(spark, monkeypatch, head)
         assert rows_of(work(split)) == rows_of(work(plain))
 
 
+@pytest.mark.parametrize("head", [0, 2, 1000])
+def test_windows_of_texts_are_those_of_token_rows(spark, monkeypatch, head):
+    """Two contrasts, repeated and missing keys, odd texts, words with odd bands, marks that are listed."""
+    import numpy as np
+
+    monkeypatch.setattr(scoring, "HEAD", head)
+    draw = np.random.default_rng(head)
+    known = ["rock", "virtue", "man", "9", "été", "don't", "."]
+    rows = [(int(i), "en", " ".join(draw.choice(["Rock", "VIRTUE", "zzz", "9", "man", "Été", "don't", ". ", "_a", "-"], draw.integers(0, 60)))) for i in range(40)]
+    rows += [(100, "en", None), (101, "en", ""), (102, None, "man"), (None, "en", "rock man"), (None, None, "rock"), (7, "en", None), (103, "en", ";;"), (104, "en", "zzz zzz")]
+    texts = spark.createDataFrame(rows, "id long, lang string, text string").repartition(3)
+    rated = [("b", w, ["neg", "pos", "neither", "odd"][i % 4], 2 ** (i + 1)) for i, w in enumerate(known)] + [("é", w, ["pos", "neg"][i % 2], 3**i) for i, w in enumerate(known[:5])]
+    rated = spark.createDataFrame([*rated, ("b", "zzz", None, 5), ("other", "zzz", "neg", 99)], "contrast string, word string, band string, n long")
+    plain, split = rated.drop("n"), scoring.frequent(rated).drop("n")
+    for size in (1, 3, 50):
+        got = counting.window_counts(texts, split, ["id", "lang"], size, names=["é", "b"])
+        want = counting.window_counts(texts, plain, ["id", "lang"], size, names=["é", "b"])
+        assert got.dtypes == want.dtypes and rows_of(got) == rows_of(want)
+    # a text whose key is repeated is counted with the other
+    twice = texts.union(spark.createDataFrame([(101, "en", "rock virtue man"), (None, None, None)], texts.schema))
+    got, want = (counting.window_counts(twice, c, ["id", "lang"], 50, names=["b"]) for c in (split, plain))
+    assert rows_of(got) == rows_of(want) and (101, "en", "b", 0) in {r[:4] for r in rows_of(got)}
+
+
+def test_windows_of_a_session_shuffle_no_tokens(spark, sf):
+    from lexitide.plans import q_scoring
+
+    assert "Window" not in plan(q_scoring.counting_windows(spark, sf)) and "posexplode" not in plan(q_scoring.counting_windows(spark, sf))
+
+
 def test_regression_without_effects_deals_no_rows_by_one_key(spark, monkeypatch):
     from lexitide.operators import fits
 

@@ -87,6 +87,14 @@ def test_large_weights_reach_over_slices(spark):
     assert set(n) == {0, 1} and abs(n[0] - 2000) < 130
 
 
+def test_few_draws_are_broadcast(spark):
+    """Neither a large table nor its running counts are shuffled to meet some draws, whatever Spark takes their size for."""
+    df = spark.createDataFrame([(i % 3, i, 1600, i % 7, i % 5, 1) for i in range(300)], "id int, seq int, year int, num_abs int, num_conc int, num_neither int")
+    for out in (D.draws(df, ["id"], "seq", 5), D.book_passages(df, ["id", "seq"], 5)):
+        own = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in own and "SortMergeJoin" not in own and "hashpartitioning" not in own
+
+
 def test_book_passages(spark):
     draw = np.random.default_rng(8)
     rows = [(f"t{i % 9}", i, None if i % 50 == 0 else int(draw.integers(1450, 1900)), int(a), int(b), int(c)) for i, (a, b, c) in enumerate(draw.integers(0, 30, (600, 3)))]
