@@ -70,15 +70,17 @@ def rated(spark: SparkSession, sf: str, century: bool = False) -> DataFrame:
     return kept(spark, f"rated-{century}".lower(), _states(spark, sf), make)
 
 
-def norms(spark: SparkSession, sf: str, frequent: bool = False) -> DataFrame:
-    """Wide ratings: (lang, word, z_quality, z_toxic, z_median), and for look-ups whether the word is frequent."""
-
+def _norms(spark: SparkSession, sf: str) -> DataFrame:
     def make() -> DataFrame:
         out = N.with_zscores(scoring.frequent(rated(spark, sf)), ["lang"], {"z_quality": "quality", "z_toxic": "toxic"}, 9)
-        return out.select("lang", "word", "z_quality", "z_toxic", F.round(N.row_median(F.col("z_quality"), F.col("z_toxic")), 9).alias("z_median"), "frequent")
+        return out.select("lang", "word", "z_quality", "z_toxic", F.round(N.row_median(F.col("z_quality"), F.col("z_toxic")), 9).alias("z_median"), "frequent", "n")
+
+    return kept(spark, "norms", _states(spark, sf), make)
 
-    out = kept(spark, "norms", _states(spark, sf), make)
-    return out if frequent else out.drop("frequent")
+
+def norms(spark: SparkSession, sf: str, frequent: bool = False) -> DataFrame:
+    """Wide ratings: (lang, word, z_quality, z_toxic, z_median), and for look-ups whether the word is frequent."""
+    return _norms(spark, sf).drop("n", *([] if frequent else ["frequent"]))
 
 
 def norms_long(spark: SparkSession, sf: str, frequent: bool = False) -> DataFrame:
@@ -119,8 +121,9 @@ def groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contrasts(spark: SparkSession, sf: str, frequent: bool = False) -> DataFrame:
-    """(contrast, word, band) of the English words, by z of quality; with frequent for look-ups."""
-    out = norms(spark, sf, frequent).where("lang = 'en' and z_quality is not null")
+    """(contrast, word, band) of the English words, by z of quality; for look-ups whether the word is frequent, of these alone: other languages take none of their places."""
+    out = _norms(spark, sf).where("lang = 'en' and z_quality is not null").drop("frequent")
+    out = scoring.frequent(out) if frequent else out
     band = F.when(F.col("z_quality") <= -1, "neg").when(F.col("z_quality") >= 0.3, "pos").otherwise("neither")
     return out.select(F.lit("quality").alias("contrast"), "word", band.alias("band"), *(["frequent"] if frequent else []))
 

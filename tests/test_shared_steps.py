@@ -87,6 +87,12 @@ def test_windows_of_texts_are_those_of_token_rows(spark, monkeypatch, head):
     assert rows_of(got) == rows_of(want) and (101, "en", "b", 0) in {r[:4] for r in rows_of(got)}
 
 
+def test_contrasts_are_frequent_among_themselves(spark, sf, monkeypatch):
+    monkeypatch.setattr(scoring, "HEAD", S.contrasts(spark, sf).count())
+    assert S.norms(spark, sf).count() > scoring.HEAD and S.contrasts(spark, sf, True).where("not frequent").isEmpty()
+    assert S.contrasts(spark, sf, True).columns == ["contrast", "word", "band", "frequent"] and "n" not in S.norms(spark, sf, True).columns
+
+
 def test_windows_of_a_session_shuffle_no_tokens(spark, sf):
     from lexitide.plans import q_scoring
 
