@@ -21,10 +21,11 @@ from lexitide.streaming import sessions
 def _lines(spark, sf):
     """English documents as lines of 25 words, by corpus and half of the time."""
     t = S.texts(spark, sf, ("text",)).where("lang = 'en'")
-    words = T.words(F.col("text"))
-    line = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size("w") - 1) / 25), F.lit(0)).cast("int")), lambda i: F.slice("w", i * 25 + 1, 25)))
+    # an array of one binds the words to a name, so that a text is cut into words once and not once for each line
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(w) - 1) / 25), F.lit(0)).cast("int")), lambda i: F.slice(w, i * 25 + 1, 25))
+    line = F.explode(F.get(F.transform(F.array(T.words(F.col("text"))), cut), F.lit(0)))
     period = F.when(F.col("year") < 1750, "early").otherwise("late")
-    return t.withColumn("w", words).where(F.size("w") > 0).select(F.lit("en").alias("corpus"), period.alias("period"), "doc_id", line.alias("words"))
+    return t.select(F.lit("en").alias("corpus"), period.alias("period"), "doc_id", line.alias("words")).where(F.size("words") > 0)
 
 
 @query(
@@ -49,7 +50,7 @@ def word_vectors(spark, sf):
 @query()
 def vector_norms(spark, sf):
     """From texts to norms: models by period and run, axes, z-scores, medians."""
-    lines = Scratch(spark, "lines").save(_lines(spark, sf).select("corpus", "period", "words"), "lines")
+    lines = _lines(spark, sf).select("corpus", "period", "words")
     out, names = vectors.vector_norms(lines, S.contrasts(spark, sf).where("band in ('pos', 'neg')"), runs=2, size=16, window=5, least=20, epochs=2)
     return rounded(out.select("word", *(F.col(f"`{n}`").alias(n.replace(".", "_")) for n in names)))
 
