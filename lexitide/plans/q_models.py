@@ -39,9 +39,10 @@ def skipgram_pairs(spark, sf):
 @query()
 def word_vectors(spark, sf):
     """Vectors of one model, and each word's nearest of the model's ten most frequent words."""
-    lines = Scratch(spark, "lines").save(_lines(spark, sf).select(F.lit(0).alias("run"), "words"), "lines")
-    v = Scratch(spark, "vectors").save(vectors.train(lines, ["run"], size=16, window=5, least=20, epochs=3), "vectors")
-    often = vectors.vocabulary(lines, ["run"], 20).orderBy(F.desc("n"), "word").limit(10).select("run", F.col("word").alias("near"))
+    lines = _lines(spark, sf).select(F.lit(0).alias("run"), "words")
+    words = Scratch(spark, "lines").save(vectors.vocabulary(lines, ["run"], 20), "words")
+    v = Scratch(spark, "vectors").save(vectors.train(lines, ["run"], size=16, window=5, least=20, epochs=3, words=words), "vectors")
+    often = words.orderBy(F.desc("n"), "word").limit(10).select("run", F.col("word").alias("near"))
     near = v.join(often.withColumnRenamed("near", "word"), ["run", "word"]).select("run", F.col("word").alias("near"), F.col("vector").alias("u"))
     met = v.join(F.broadcast(near), "run").where("word <> near").select("run", "word", "near", F.round(embeddings.cosine(F.col("vector"), F.col("u")), 6).alias("cosine"))
     return met.groupBy("run", "word").agg(F.max_by("near", F.struct("cosine", "near")).alias("near"), F.max("cosine").alias("cosine"))
