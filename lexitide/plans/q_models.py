@@ -11,7 +11,7 @@ from lexitide.operators import draws, effects, embeddings, gram, order, quotes,
 from lexitide.plans import q_scoring
 from lexitide.plans import stand_in as S
 from lexitide.plans.catalog import query, rounded
-from lexitide.runtime import Scratch, table
+from lexitide.runtime import Scratch, spread, table
 from lexitide.sources.buckets import Buckets
 from lexitide.streaming import sessions
 
@@ -99,7 +99,7 @@ def abbreviation_scores(spark, sf):
 @query()
 def sentence_spans(spark, sf):
     """Sentences of all texts by learned boundaries; they add up to the texts."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return sentences.split(d, ["doc_id"], sentences.train(d))
 
 
