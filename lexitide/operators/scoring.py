@@ -152,12 +152,13 @@ def chunks(texts: DataFrame, keys: list[str], size: int) -> DataFrame:
 
 
 def trajectories(texts: DataFrame, norms: DataFrame, on: list[str], keys: list[str], column: str, size: int) -> DataFrame:
-    """Chunk scores, and the text's unweighted mean over its chunks."""
+    """Chunk scores, and the text's unweighted mean over its chunks. With a column frequent in norms these are broadcast (looked_up)."""
     part = [*keys, "chunk"]
-    # each white-space word with its position once; words never reach over white space, so the chunk's text isn't built
-    pieces = texts.select(*keys, F.posexplode(F.split(F.trim("text"), r"\s+")).alias("__p", "__w"))
-    rows = pieces.select(*keys, F.floor(F.col("__p") / size).cast("int").alias("chunk"), F.explode(T.words(F.col("__w"))).alias("word"))
-    counts = rows.groupBy(*part, "word").agg(F.count("*").alias("cnt"))
+    # tokens stay in their text's task, where their sums shrink to a row for each chunk
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size)), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+    pieces = F.get(F.transform(F.array(F.split(F.trim("text"), r"\s+")), cut), F.lit(0))  # an array of one binds the words to a name
+    rows = texts.select(*keys, F.posexplode(pieces).alias("chunk", "__t")).select(*part, F.explode(T.words(F.col("__t"))).alias("word"))
+    counts = rows.withColumn("cnt", F.lit(1))
     scores = weighted_means(counts, norms, on, part, [column])
     return scores.withColumn("text_mean", F.avg(column).over(Window.partitionBy(*keys)))
 

@@ -161,7 +161,7 @@ def text_chunks(spark, sf):
 )
 def trajectories(spark, sf):
     t = S.texts(spark, sf, ("text",)).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
-    return rounded(scoring.trajectories(t, S.norms(spark, sf), ["lang", "word"], ["_id", "lang"], "z_quality", 200).drop("lang"))
+    return rounded(scoring.trajectories(t, S.norms(spark, sf, True), ["lang", "word"], ["_id", "lang"], "z_quality", 200).drop("lang"))
 
 
 PERIODS = [(1500 + 100 * i, 1600 + 100 * i, f"C{16 + i}") for i in range(4)] + [(1900, 2101, "C20")]
